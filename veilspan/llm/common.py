@@ -54,7 +54,7 @@ def tune(spark: SparkSession) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the input's bytes, from file sizes; counted if there is none."""
-    n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if n >= 1 << 55:  # an in-memory relation has no estimate
         texts = [c for c, kind in df.dtypes if kind in ("string", "binary")]
         total = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(8)).cast("long")
