@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe as _bpe
 from . import exact_dedup as _exact
+from . import langid as _langid
+from . import ogg as _ogg
+from . import secrets as _secrets
 from . import simhash as _simhash
 from . import token_store as _store
 
@@ -26,15 +29,30 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _secrets.span_digests(_secrets.secret_spans(_table(spark, sf_dir, "documents")))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
     return _bpe.digests(_bpe.encode(_table(spark, sf_dir, "documents"), path), path)
 
 
+def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _ogg.media_features(_ogg.with_media(docs))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = _langid.with_language(docs.select("doc_id", "text"), _langid.train(docs))
+    return out.select("doc_id", _langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "mixture")
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _store.store_and_read(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
