@@ -39,17 +39,18 @@ def stage(df: DataFrame, name: str, partition_by: Sequence[str] = (), codec: str
     return out
 
 
-def unstage(*frames: DataFrame) -> None:
-    """Delete staged tables that nothing lazy reads any more."""
-    for df in frames:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        p = jvm.org.apache.hadoop.fs.Path(df._veilspan_path)
-        p.getFileSystem(conf).delete(p, True)
+def unstage(df: DataFrame, part: str = "") -> None:
+    """Delete a staged table, or one partition folder of it, that nothing lazy reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    p = jvm.org.apache.hadoop.fs.Path(f"{df._veilspan_path}/{part}".rstrip("/"))
+    p.getFileSystem(conf).delete(p, True)
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes as well as rows, so long texts do not fill a worker."""
+    """Bound Arrow batches by bytes as well as rows, so long texts do not fill a worker, and
+    drop the shuffle files of a finished query: what is needed later has been staged."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -66,8 +67,8 @@ def parts_for(df: DataFrame, bytes_each: int, least: int = 8) -> int:
     return max(least, -(-input_bytes(df) // bytes_each))
 
 
-def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], count_col: str, total: int, share: int = 1000) -> DataFrame:
-    """Left join of rows with per-key stats where one key may hold a third of all rows.
+def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], count_col: str, total: int, share: int = 1000, how: str = "left") -> DataFrame:
+    """Join (left or inner) of rows with per-key stats where one key may hold a third of all rows.
 
     A key with at least total/share rows is hot; there can be at most `share` of those, so
     their stats are broadcast and their rows never shuffle. All other keys hold few rows
@@ -80,4 +81,4 @@ def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], count_col: st
     marked = rows.join(hot, list(keys), "left")
     there = marked.filter(F.col("_hot")).drop("_hot")
     rest = marked.filter(F.col("_hot").isNull()).select(*rows.columns)
-    return there.select(*rows.columns, *names).unionByName(rest.join(cold, list(keys), "left").select(*rows.columns, *names))
+    return there.select(*rows.columns, *names).unionByName(rest.join(cold, list(keys), how).select(*rows.columns, *names))

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from . import bpe as _bpe
 from . import exact_dedup as _exact
 from . import langid as _langid
+from . import mixing as _mixing
 from . import ogg as _ogg
 from . import secrets as _secrets
 from . import simhash as _simhash
+from . import spans_dedup as _spans
 from . import token_store as _store
 
 
@@ -25,10 +27,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans.dedup_spans(_table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+#: Target weights of the mixture; names that are not here weigh 1.
+WEIGHTS = {
+    "domain": {"domain0": 4, "domain1": 3, "domain2": 2},
+    "lang": {"en": 4, "de": 2, "fr": 2},
+    "source": {},
+}
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixing.mix(_table(spark, sf_dir, "documents"), fraction=(3, 4), weights=WEIGHTS, max_epochs=4, seed=7)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _secrets.span_digests(_secrets.secret_spans(_table(spark, sf_dir, "documents")))
 
@@ -75,5 +93,40 @@ FROM d
 """
 
 
+def _share_sql(nodes: str, parent: str, child: str, weights: dict[str, int]) -> str:
+    case = "CASE " + "".join(f"WHEN {child} = '{k}' THEN {w} " for k, w in weights.items()) + "ELSE 1 END" if weights else "1"
+    up = f"PARTITION BY {parent}"
+    return f"""
+  SELECT *, CAST(part + CASE WHEN NOT is_full AND row_number() OVER ({up} ORDER BY is_full, {child}) <= least(up, sum(cap) OVER ({up})) - sum(part) OVER ({up}) THEN 1 ELSE 0 END AS BIGINT) AS budget
+  FROM (SELECT *, CASE WHEN is_full THEN cap ELSE (up - coalesce(sum(CASE WHEN is_full THEN cap END) OVER ({up}), 0)) * w // nullif(sum(CASE WHEN NOT is_full THEN w END) OVER ({up}), 0) END AS part
+    FROM (SELECT *, cap * sum(w) OVER ({up} ORDER BY cap / w, {child} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+            <= (up - coalesce(sum(cap) OVER ({up} ORDER BY cap / w, {child} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w AS is_full
+      FROM (SELECT *, CAST({case} AS BIGINT) AS w FROM {nodes})))"""
+
+
+SQL["op4_source_mixing"] = f"""
+WITH d AS (
+  SELECT doc_id, coalesce('domain' || (TRY_CAST(regexp_extract(source, '[0-9]+') AS INTEGER) % 4), 'other') AS domain,
+    coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) AS BIGINT) AS n_tokens
+  FROM documents
+), docs AS (SELECT * FROM d WHERE n_tokens > 0),
+leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS supply, CAST(sum(n_tokens) * 4 AS BIGINT) AS cap FROM docs GROUP BY ALL),
+root AS (SELECT CAST(least(sum(supply) * 3 // 4, sum(cap)) AS BIGINT) AS up FROM leaves),
+n1 AS (SELECT domain, CAST(sum(cap) AS BIGINT) AS cap, any_value(up) AS up FROM leaves, root GROUP BY domain),
+b1 AS ({_share_sql("n1", "up", "domain", WEIGHTS["domain"])}),
+n2 AS (SELECT l.domain, l.lang, CAST(sum(l.cap) AS BIGINT) AS cap, any_value(b1.budget) AS up FROM leaves l JOIN b1 USING (domain) GROUP BY l.domain, l.lang),
+b2 AS ({_share_sql("n2", "domain", "lang", WEIGHTS["lang"])}),
+n3 AS (SELECT l.*, b2.budget AS up FROM leaves l JOIN b2 USING (domain, lang)),
+b3 AS ({_share_sql("n3", "domain, lang", "source", WEIGHTS["source"])}),
+plan AS (SELECT domain, lang, source, budget // supply AS epochs, budget % supply AS rest FROM b3),
+j AS (SELECT docs.*, epochs, rest, md5('7:' || epochs || ':' || doc_id) AS h FROM docs JOIN plan USING (domain, lang, source)),
+tail AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY substr(h, 1, 8), doc_id, n_tokens ROWS UNBOUNDED PRECEDING) - n_tokens AS ahead FROM j WHERE rest > 0)
+SELECT doc_id, domain, lang, source, n_tokens, CAST(unnest(range(epochs)) AS BIGINT) AS epoch, n_tokens AS taken FROM j
+UNION ALL
+SELECT doc_id, domain, lang, source, n_tokens, CAST(epochs AS BIGINT) AS epoch, CAST(least(n_tokens, rest - ahead) AS BIGINT) AS taken FROM tail WHERE ahead < rest
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

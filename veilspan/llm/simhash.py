@@ -140,7 +140,8 @@ def components(edges: DataFrame) -> DataFrame:
         from_a = edges.join(twice.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
         on_both = from_a.join(twice.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").filter("ra <> rb")
         nxt = stage(on_both.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct(), "edges")
-        unstage(edges, step)
+        unstage(edges)
+        unstage(step)
         edges = nxt
     if not maps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
