@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe as _bpe
 from . import exact_dedup as _exact
 from . import langid as _langid
+from . import lm_score as _lm
 from . import mixing as _mixing
 from . import ogg as _ogg
 from . import secrets as _secrets
@@ -27,6 +29,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = _lm.quality_targets(_table(spark, sf_dir, "labels"))
+    out = _lm.score(_table(spark, sf_dir, "documents"), targets)
+    return out.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans.dedup_spans(_table(spark, sf_dir, "documents"))
 
@@ -81,6 +89,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 SQL: dict[str, str] = {}
 
+SQL["op1_lm_score"] = f"""
+WITH good AS (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL GROUP BY doc_id ORDER BY md5(CAST(doc_id AS VARCHAR)) LIMIT {_lm.TARGET_DOCS}),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS w, unnest(list_prepend('', ws[1:len(ws) - 1])) AS v, doc_id IN (SELECT doc_id FROM good) AS good FROM w WHERE len(ws) > 0),
+one AS (SELECT w, count(*) AS cb, count(*) FILTER (good) AS ct FROM t GROUP BY w),
+ctx AS (SELECT w, cb, ct FROM one UNION ALL SELECT '', count(*), count(*) FILTER (good) FROM t WHERE v = ''),
+two AS (SELECT v, w, count(*) AS cb, count(*) FILTER (good) AS ct FROM t GROUP BY v, w),
+n AS (SELECT count(*) AS vocabulary, sum(cb) AS tb, sum(ct) AS tt FROM one),
+p AS (
+  SELECT two.v, two.w,
+    -ln((two.cb + {_lm.ALPHA} * ((one.cb + {_lm.BETA}) / (tb + {_lm.BETA} * vocabulary))) / (ctx.cb + {_lm.ALPHA})) AS lb,
+    -ln((two.ct + {_lm.ALPHA} * ((one.ct + {_lm.BETA}) / (tt + {_lm.BETA} * vocabulary))) / (ctx.ct + {_lm.ALPHA})) AS lt
+  FROM two JOIN one ON two.w = one.w JOIN ctx ON two.v = ctx.w CROSS JOIN n)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_tokens, round(x.lt, 6) AS target_loss, round(x.lb, 6) AS background_loss, round(x.lt - x.lb, 6) AS score
+FROM w LEFT JOIN (SELECT doc_id, avg(lt) AS lt, avg(lb) AS lb FROM t JOIN p USING (v, w) GROUP BY doc_id) x USING (doc_id)
+"""
+
 SQL["op3_exact_dedup"] = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
