@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.text import clean_marks
 from ..operators.redact import tagged
-from ..operators.windows import document_spans, rules_detector
+from ..operators.windows import chain, document_spans, rules_detector
 
 
 def redact_stream(calls: DataFrame, text_col: str = "text") -> DataFrame:
@@ -24,7 +25,11 @@ def read_calls(spark: SparkSession, path: str, schema: str, files_per_trigger: i
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Process what is there to a Parquet sink and stop; a restart goes on after it."""
+    """Process what is there to a Parquet sink and stop; a restart goes on after it.
+
+    Batches without data are off: with timers they would go on for ever.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
@@ -47,8 +52,8 @@ class ValueMemory(StatefulProcessor):
         for batch in rows:
             out = []
             for _, r in batch.sort_values("turn").iterrows():
-                for value, label in zip(r["found_values"], r["found_labels"]):
-                    self.seen.updateValue((value,), (label,))
+                for f in r["found"]:
+                    self.seen.updateValue((f["value"],), (f["label"],))
                 text = r["text"]
                 known = sorted(((k[0], v[0]) for k, v in self.seen.iterator()), key=lambda x: (-len(x[0]), x[0]))
                 for value, label in known:
@@ -64,9 +69,10 @@ def redact_conversations(turns: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame
     """A stream of turns (conv_id, turn, text) with values masked from the turn that names them on."""
     from ..operators.predicates import propagates
 
-    df = document_spans(turns, rules_detector(), "text", "_s")
-    own = F.filter("_s", lambda m: propagates(m["text"], m["label"]))
-    rows = df.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), F.transform(own, lambda m: m["text"]).alias("found_values"), F.transform(own, lambda m: m["label"]).alias("found_labels"))
+    # One column, named once: Spark would copy the chain to every place that names it.
+    spans = chain(clean_marks(F.coalesce("text", F.lit(""))), rules_detector())
+    own = F.transform(F.filter(spans, lambda m: propagates(m["text"], m["label"])), lambda m: F.struct(m["text"].alias("value"), m["label"].alias("label")))
+    rows = turns.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), own.alias("found"))
     kind = turns.schema["conv_id"].dataType.simpleString()
     turn = turns.schema["turn"].dataType.simpleString()
     return rows.groupBy("conv_id").transformWithStateInPandas(ValueMemory(ttl_ms), f"conv_id {kind}, turn {turn}, redacted string", "Append", "processingTime")
