@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions.text import around, clean_marks, cut, found, let, overlaps, spans_of, standalone, strip
+from ..session import ship
 from .normalize import normalized, to_original
 from .predicates import address_words, context_ok, least_confidence, phone_ok, postal_context_ok, propagates, slice_of_number, valid
 
@@ -217,6 +218,7 @@ def model_spans(df: DataFrame, load: Callable[[], Detector], labels: list[str],
     load is called once in each worker. Predictions are canonical spans over the normalized
     text, fit for replay_detector; a label the vocabulary does not know is an error.
     """
+    ship(df.sparkSession)
     names = {x[0]: x[1] for x in X.LABELS}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..functions.text import clean_marks
 from ..operators.redact import tagged
 from ..operators.windows import chain, document_spans, rules_detector
+from ..session import ship
 
 
 def redact_stream(calls: DataFrame, text_col: str = "text") -> DataFrame:
@@ -69,6 +70,7 @@ def redact_conversations(turns: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame
     """A stream of turns (conv_id, turn, text) with values masked from the turn that names them on."""
     from ..operators.predicates import propagates
 
+    ship(turns.sparkSession)
     # One column, named once: Spark would copy the chain to every place that names it.
     spans = chain(clean_marks(F.coalesce("text", F.lit(""))), rules_detector())
     own = F.transform(F.filter(spans, lambda m: propagates(m["text"], m["label"])), lambda m: F.struct(m["text"].alias("value"), m["label"].alias("label")))
