@@ -12,22 +12,26 @@ import functools
 import json
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .blocks import gather
 from .bpe import load_tokenizer
-from .common import parts_for, scratch_path, tune
+from .common import give_back, parts_for, scratch_path, tune
 
 END_ID = 1
 FILE_BYTES = 16 << 20
-#: Entries of a worker's memo of encoded words; it is emptied when full.
-MEMO = 1 << 18
+#: Text bytes encoded at a time, and words in a worker's memo; it is emptied once there are more.
+STEP_BYTES, MEMO = 4 << 20, 1_000_000
 
 LAYOUT = {
     "compression": "zstd",
@@ -53,22 +57,134 @@ def _splits_at_space(tokenizer: str) -> bool:
     return bool(steps) and known and drops and plain
 
 
+_PIECE = re.compile(r"[^\W\d_]+|[\W\d_]+")
+
+
+@functools.lru_cache(maxsize=4)
+def _word_ends(tokenizer: str) -> np.ndarray:
+    """Whether each id closes a word."""
+    vocab = load_tokenizer(tokenizer).get_vocab(with_added_tokens=True)
+    out = np.zeros(max(vocab.values()) + 1, bool)
+    out[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+    return out
+
+
+#: Latin letters; in lower case they are one word to the pre-tokenizer.
+_LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+").fullmatch
+_BEYOND = re.compile("[\u0250-\U0010ffff]")
+
+
+def _is_plain(piece: str) -> bool:
+    return bool(_LATIN(piece)) and (piece.isascii() or piece == piece.lower())
+
+
+class _Pool:
+    """Items numbered as they come, each with its ids in one flat array."""
+
+    def __init__(self) -> None:
+        self.slots: defaultdict = defaultdict(count().__next__)
+        self.lengths, self.starts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<i4")
+
+    def number(self, items: Iterable, n: int, resolve: Callable) -> np.ndarray:
+        """Slots of n items; resolve(new items) -> (flat ids, lengths) is called for those not seen."""
+        known = len(self.slots)
+        got = np.fromiter(map(self.slots.__getitem__, items), np.int64, n)
+        if len(self.slots) > known:
+            flat, lengths = resolve(list(islice(self.slots, known, None)))
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+            self.flat, self.lengths = np.concatenate([self.flat, flat]), np.concatenate([self.lengths, lengths])
+        return got
+
+    def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.lengths[slots]
+        return self.flat[gather(self.starts[slots], n)], n
+
+
+def _flat(lists: list) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(chain.from_iterable(lists), "<i4"), np.fromiter(map(len, lists), np.int64, len(lists))
+
+
+def _resolve_pieces(tokenizer: str):
+    """Ids of new pieces. Plain ones are encoded many at a time, each ending at a word end."""
+    t, ends = load_tokenizer(tokenizer), _word_ends(tokenizer)
+
+    def run(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain, rest = [], []
+        for i, p in enumerate(pieces):
+            (plain if _is_plain(p) else rest).append(i)
+        flat, lengths = [], []
+        for k in range(0, len(plain), 1 << 14):
+            part = [pieces[i] for i in plain[k : k + (1 << 14)]]
+            ids = np.concatenate([np.array(e.ids, "<i4") for e in t.encode_batch_fast([" ".join(part[a : a + 128]) for a in range(0, len(part), 128)], add_special_tokens=False)])
+            cuts = np.nonzero(ends[ids])[0] + 1
+            if len(cuts) != len(part):
+                raise ValueError("a word did not end where its letters do")
+            flat.append(ids)
+            lengths.append(np.diff(cuts, prepend=0))
+        for k in range(0, len(rest), 4096):
+            ids, n = _flat([e.ids for e in t.encode_batch_fast([pieces[i] for i in rest[k : k + 4096]], add_special_tokens=False)])
+            flat.append(ids)
+            lengths.append(n)
+        n = np.concatenate(lengths)
+        back = np.argsort(np.array([*plain, *rest]), kind="stable")
+        return np.concatenate(flat)[gather((np.cumsum(n) - n)[back], n[back])], n[back]
+
+    return run
+
+
+def _split_words(words: list[str]) -> tuple[list[str], np.ndarray]:
+    """(pieces, pieces of each word): runs of letters and of other characters, in lower case.
+
+    The pre-tokenizer never joins such runs unless an apostrophe stands between them; words with
+    one, and those beyond Latin, stay whole and as they are.
+    """
+    pieces: list[str] = []
+    n = np.ones(len(words), np.int64)
+    for i, (w, low) in enumerate(zip(words, " ".join(words).lower().split(" "))):
+        if _is_plain(low):
+            pieces.append(low)
+        elif "'" in w or "<|" in w or _BEYOND.search(low):
+            pieces.append(w)
+        else:
+            own = _PIECE.findall(low)
+            n[i] = len(own)
+            pieces += own
+    return pieces, n
+
+
+@functools.lru_cache(maxsize=2)
 def _encoder(tokenizer: str):
-    """texts -> (flat ids, lengths), as the library encodes each whole text."""
-    t, memo, by_word = load_tokenizer(tokenizer), {}, _splits_at_space(tokenizer)
-
-    def run(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        split = [x.split() if by_word else [x] for x in texts]
-        if len(memo) > MEMO:
-            memo.clear()
-        new = list(dict.fromkeys(w for x in split for w in x if w not in memo))
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for w, e in zip(part, t.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                memo[w] = np.array(e.ids, "<i4")
-        none = np.zeros(0, "<i4")
-        out = [np.concatenate([*map(memo.__getitem__, x), [END_ID]]).astype("<i4", copy=False) if x else np.array([END_ID], "<i4") for x in split]
-        return (np.concatenate(out) if out else none), np.fromiter(map(len, out), np.int64, len(out))
+    """texts -> (flat ids, lengths), as the library encodes each whole text, END_ID after it.
+
+    A worker that is used again keeps its memo from task to task.
+    """
+    t, by_word = load_tokenizer(tokenizer), _splits_at_space(tokenizer)
+    words, pieces, resolve = _Pool(), _Pool(), _resolve_pieces(tokenizer) if by_word else None
+
+    def resolve_words(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        own, n = _split_words(new)
+        got, lengths = pieces.ids(pieces.number(own, len(own), resolve))
+        return got, np.add.reduceat(lengths, np.cumsum(n) - n)
+
+    def run(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal words, pieces
+        if not by_word:
+            return _flat([[*e.ids, END_ID] for e in t.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)])
+        if len(words.slots) > MEMO:
+            words, pieces = _Pool(), _Pool()
+        # Split and told apart by Arrow, so that Python sees each distinct word of a step once.
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        which, distinct = np.asarray(coded.indices), coded.dictionary.to_pylist()
+        doc = np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(split)))
+        if "" in distinct:  # white space at an end of a text
+            keep = which != distinct.index("")
+            which, doc = which[keep], doc[keep]
+            distinct[distinct.index("")] = "a"  # nothing refers to it now
+        slots = words.number(distinct, len(distinct), resolve_words)
+        ids, lengths = words.ids(slots[which])
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(np.bincount(doc, minlength=len(texts)))]
+        return np.insert(ids, ends, END_ID), np.diff(ends, prepend=0) + 1
 
     return run
 
@@ -77,17 +193,22 @@ def _rows(tokenizer: str, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard, before = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         for b in batches:
-            texts = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
-            if not texts:
+            texts = pc.fill_null(b.column(1), "")
+            if not len(texts):
                 continue
-            flat, n = encode(texts)
-            ends = np.concatenate([[0], np.cumsum(n)])
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype("<i4")), pa.array(flat))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(id_type), pa.array(np.full(len(n), shard, "<i4")), pa.array(before + ends[:-1]), pa.array(n), lists],
-                ["id", "shard", "before", "n_tokens", "tokens"],
-            )
-            before += int(ends[-1])
+            sizes, at = np.cumsum(np.asarray(pc.binary_length(texts)), dtype=np.int64), 0
+            while at < len(texts):  # so many bytes at a time, one document at least
+                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + STEP_BYTES, "right")))
+                flat, n = encode(texts.slice(at, to - at))
+                ends = np.concatenate([[0], np.cumsum(n)])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype("<i4")), pa.array(flat))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(at, to - at).cast(id_type), pa.array(np.full(len(n), shard, "<i4")), pa.array(before + ends[:-1]), pa.array(n), lists],
+                    ["id", "shard", "before", "n_tokens", "tokens"],
+                )
+                before += int(ends[-1])
+                at = to
+        give_back()
 
     return run
 
