@@ -95,3 +95,15 @@ def test_conversations_stream(spark, tmp_path):
     redaction.run_available(redaction.redact_conversations(stream), str(tmp_path / "out"), str(tmp_path / "state"))
     got = {(r[0], r[1]): r[2] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got[1, 0] == "Account <ACCOUNT_NUMBER> please" and got[1, 1] == "Thanks, <ACCOUNT_NUMBER> it is" and got[2, 1] == ""
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from veilspan.__main__ import main
+
+    spark.createDataFrame([(1, "It is 8000000001.", ["8000000001"])], "doc_id long, text string, accounts array<string>").write.parquet(str(tmp_path / "c"))
+    main(["redact", str(tmp_path / "c"), str(tmp_path / "r")])
+    assert spark.read.parquet(str(tmp_path / "r")).first()["redacted"] == "It is <ACCOUNT_NUMBER>."
+    spark.createDataFrame([(1, 0, "a b", "FULL_NAME")], "doc_id long, i int, text string, label string").write.parquet(str(tmp_path / "p"))
+    spark.createDataFrame([(1, 0, "a b", "FULL_NAME")], "doc_id long, j int, text string, label string").write.parquet(str(tmp_path / "g"))
+    main(["benchmark", str(tmp_path / "p"), str(tmp_path / "g"), "--gate", "-o", str(tmp_path / "o")])
+    assert "FULL_NAME" in capsys.readouterr().out

@@ -512,8 +512,8 @@ _OCC = "(length(text) - length(replace(text, {v}, ''))) // length({v})"
 
 
 @query(f"""{WITH} SELECT doc_id, v AS value, CAST(length(v) AS INTEGER) AS digits, CAST({_OCC.format(v='v')} AS INTEGER) AS total,
-  CASE WHEN {_ACCT_COND} THEN 1 ELSE 0 END AS redacted, CASE WHEN {_ACCT_COND} THEN 'ACCOUNT_NUMBER=1' ELSE '' END AS labels
-  FROM (SELECT doc_id, text, account AS v FROM calls WHERE {FULL} UNION ALL SELECT doc_id, text, substr(account, 1, 4) FROM calls WHERE {FULL})""")
+  CAST(CASE WHEN {_ACCT_COND} THEN n ELSE 0 END AS INTEGER) AS redacted, CASE WHEN {_ACCT_COND} THEN 'ACCOUNT_NUMBER=' || CAST(n AS INTEGER) ELSE '' END AS labels
+  FROM (SELECT *, {_OCC.format(v='v').replace('text', 'account')} AS n FROM (SELECT doc_id, text, account, account AS v FROM calls WHERE {FULL} UNION ALL SELECT doc_id, text, account, substr(account, 1, 4) FROM calls WHERE {FULL}))""")
 def acct_survival(spark, sf_dir):
     df = leaks.account_survival(_account_calls(spark, sf_dir))
     pairs = F.transform(F.map_entries("labels"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string")))
@@ -541,8 +541,9 @@ def leak_rule(spark, sf_dir):
   count(DISTINCT cust) FILTER (doc_id % 5 < 3 AND doc_id % 9 <> 0) AS leaked_customers FROM calls WHERE {FULL}""")
 def leak_rate_file_customer(spark, sf_dir):
     df = _leaky(spark, sf_dir)
-    files = df.filter("line % 9 <> 0").select(F.col("redacted").alias("input"), F.format_string("call_%d_x", "cust").alias("file"))
-    names = leaks.file_names(df.select("line", F.col("redacted").alias("input")), files.dropDuplicates(["input"]))
+    own = F.concat("redacted", F.lit(" #"), F.col("line").cast("string")).alias("input")
+    files = df.filter("line % 9 <> 0").select(own, F.format_string("call_%d_x", "cust").alias("file"))
+    names = leaks.file_names(df.select("line", own), files)
     return leaks.leak_rates(names, leaks.residual_leaks(df))
 
 
