@@ -131,8 +131,9 @@ def test_components_of_chains_and_stars(spark):
     assert all(got[i] == 0 for i in range(61)) and all(got[i] == 1000 for i in range(1000, 1040)) and got[5001] == 5000
 
 
-def test_drop_near_copies(spark):
-    kept = simhash.drop_near_copies(table(spark, ODD))
+@pytest.mark.parametrize("cap", [256 << 20, 0])
+def test_drop_near_copies(spark, cap):
+    kept = simhash.drop_near_copies(table(spark, ODD), max_filter_bytes=cap)
     ids = sorted((r["doc_id"] for r in kept.collect()), key=str)
     assert kept.columns == table(spark, ODD).columns and ids.count(9) == 1 and 1 in ids and 2 not in ids and ids.count(None) == 2
 

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Rows of a document batch sent to a Python worker hold at most about this many bytes.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,10 +54,18 @@ def unstage(df: DataFrame, part: str = "") -> None:
 def tune(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes as well as rows, so long texts do not fill a worker, and
     drop the shuffle files of a finished query: what is needed later has been staged."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
+def give_back() -> None:
+    """Return a worker's free memory to the system: workers wait for more tasks between stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the input's bytes, from file sizes; counted if there is none."""
     n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -20,21 +20,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, stage, tune
+from .common import attach, give_back, stage, tune
 
 SEGMENT_BITS = 17
 PROBES = 4
 
 
+def _digests(text: pa.Array) -> list[bytes]:
+    """SHA-256 of each text with A-Z lower-cased, in UTF-8; null counts as empty."""
+    sha = hashlib.sha256
+    return [sha((t or b"").lower()).digest() for t in text.cast(pa.binary()).to_pylist()]
+
+
+def _hashes(digests: list[bytes]) -> np.ndarray:
+    """The first eight bytes of each digest."""
+    return np.frombuffer(b"".join(d[:8] for d in digests), "<i8")
+
+
 def digest_udf():
-    """SHA-256 of the text with A-Z lower-cased, in UTF-8; null counts as empty."""
+    """struct<digest, h> of a text."""
 
-    @F.arrow_udf("binary")
-    def digest(text: pa.Array) -> pa.Array:
-        sha = hashlib.sha256
-        return pa.array([sha((t or b"").lower()).digest() for t in text.cast(pa.binary()).to_pylist()], pa.binary())
+    @F.arrow_udf("digest binary, h bigint")
+    def run(text: pa.Array) -> pa.Array:
+        d = _digests(text)
+        out = pa.StructArray.from_arrays([pa.array(d, pa.binary()), pa.array(_hashes(d))], ["digest", "h"])
+        give_back()
+        return out
 
-    return digest
+    return run
 
 
 def _positions(h: np.ndarray, n_segments: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,8 +85,8 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.table({"segment": table.column("segment").slice(0, 1), "bits": pa.array([np.packbits(n >= 2).tobytes()], pa.binary())})
 
 
-def _tester(spark, hashes: DataFrame, n_rows: int, bits_per_row: int):
-    """A UDF that is true for every hash that occurs twice in `hashes`, and for few others."""
+def _filter_bits(spark, hashes: DataFrame, n_rows: int, bits_per_row: int) -> tuple:
+    """Segment count and broadcast bits of the filter of those hashes that occur twice."""
     n_segments = max(1, -(-n_rows * bits_per_row >> SEGMENT_BITS))
     merged = (
         hashes.mapInArrow(_build(n_segments), "segment int, once binary, twice binary")
@@ -82,23 +95,50 @@ def _tester(spark, hashes: DataFrame, n_rows: int, bits_per_row: int):
     bits = np.zeros((n_segments, (1 << SEGMENT_BITS) // 8), np.uint8)
     for row in merged.toLocalIterator():  # n_segments rows, bounded by max_filter_bytes
         bits[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
-    shared = spark.sparkContext.broadcast(bits)
+    return n_segments, spark.sparkContext.broadcast(bits)
+
+
+def _test(h: np.ndarray, n_segments: int, bits: np.ndarray) -> np.ndarray:
+    """True for every hash that occurs twice, and for few others."""
+    seg, pos = _positions(h.astype(np.int64), n_segments)
+    return ((bits[seg[:, None], pos >> 3] >> (7 - (pos & 7)).astype(np.uint8)) & 1).all(axis=1)
+
+
+def _tester(spark, hashes: DataFrame, n_rows: int, bits_per_row: int):
+    """The test as a function of a hash column."""
+    n_segments, shared = _filter_bits(spark, hashes, n_rows, bits_per_row)
 
     @F.arrow_udf("boolean")
     def maybe(h: pa.Array) -> pa.Array:
-        seg, pos = _positions(np.asarray(h).astype(np.int64), n_segments)
-        byte = shared.value[seg[:, None], pos >> 3]
-        return pa.array(((byte >> (7 - (pos & 7)).astype(np.uint8)) & 1).all(axis=1))
+        return pa.array(_test(np.asarray(h), n_segments, shared.value))
 
     return maybe
 
 
+def member_test(hashes: DataFrame, n_rows: int, bits_per_row: int = 16):
+    """A UDF on a hash column that is true for all of `hashes` (one column), and for few others."""
+    return _tester(hashes.sparkSession, hashes.unionByName(hashes), n_rows, bits_per_row)
+
+
+def _text_tester(spark, hashes: DataFrame, n_rows: int, bits_per_row: int):
+    """struct<digest, maybe> of a text column, in one pass through a worker."""
+    n_segments, shared = _filter_bits(spark, hashes, n_rows, bits_per_row)
+
+    @F.arrow_udf("digest binary, maybe boolean")
+    def run(text: pa.Array) -> pa.Array:
+        d = _digests(text)
+        out = pa.StructArray.from_arrays([pa.array(d, pa.binary()), pa.array(_test(_hashes(d), n_segments, shared.value))], ["digest", "maybe"])
+        give_back()
+        return out
+
+    return run
+
+
 def _filters(keys: DataFrame, n: int, bits_per_row: int, max_filter_bytes: int) -> tuple[int, Callable]:
     """Number of hash ranges, and a function that makes the tester of one range."""
     rounds = max(1, -(-n * bits_per_row // 8 // max_filter_bytes))
     size = n if rounds == 1 else -(-n * 5 // (4 * rounds))
-    hashed = keys.select(F.xxhash64("_digest").alias("_h"))
-    return rounds, lambda r: _tester(keys.sparkSession, hashed.filter(_in_range(rounds, r)), size, bits_per_row)
+    return rounds, lambda r, make=_tester: make(keys.sparkSession, keys.select("_h").filter(_in_range(rounds, r)), size, bits_per_row)
 
 
 def _in_range(rounds: int, r: int):
@@ -107,7 +147,7 @@ def _in_range(rounds: int, r: int):
 
 def _mark(rows: DataFrame, rounds: int, tester: Callable) -> DataFrame:
     """rows with `_maybe`: false only where the digest occurs once."""
-    rows, out = rows.withColumn("_h", F.xxhash64("_digest")), None
+    out = None
     for r in range(rounds):
         part = rows.filter(_in_range(rounds, r)).withColumn("_maybe", tester(r)(F.col("_h"))).drop("_h")
         out = part if out is None else out.unionByName(part)
@@ -119,6 +159,12 @@ def _groups(maybe: DataFrame) -> DataFrame:
     return maybe.groupBy("_digest").agg(F.max("_id").alias("keep_id"), F.sum("_rows").alias("group_size"))
 
 
+def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Staged (_id, _digest, _h) of every row: the one pass over the texts."""
+    rows = docs.select(F.col(id_col).alias("_id"), digest_udf()(F.col(text_col)).alias("_d"))
+    return stage(rows.select("_id", F.col("_d.digest").alias("_digest"), F.col("_d.h").alias("_h")), "digests")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bits_per_row: int = 8, max_filter_bytes: int = 64 << 20) -> DataFrame:
     """One row per input row: id_col, keep_id, group_size, kept, text_sha256.
 
@@ -128,7 +174,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Other columns of docs are ignored, whatever their names.
     """
     tune(docs.sparkSession)
-    keys = stage(docs.select(F.col(id_col).alias("_id"), digest_udf()(F.col(text_col)).alias("_digest")), "digests")
+    keys = _keys(docs, id_col, text_col)
     n = keys.count()
     marked = stage(_mark(keys, *_filters(keys, n, bits_per_row, max_filter_bytes)), "marked")
     # Rows of one id and text are counted first, so that ties need no window.
@@ -149,21 +195,20 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cannot hold all digests, rows meet the ids that stay in a join instead.
     """
     tune(docs.sparkSession)
-    digest = digest_udf()(F.col(text_col))
-    keys = stage(docs.select(F.col(id_col).alias("_id"), digest.alias("_digest")), "digests")
+    keys = _keys(docs, id_col, text_col)
     rounds, tester = _filters(keys, keys.count(), bits_per_row, max_filter_bytes)
-    full = docs.withColumn("_digest", digest)
+    maybe = _mark(keys, rounds, tester).filter("_maybe")
+    groups = stage(_groups(maybe.withColumn("_rows", F.lit(1))), "groups")
     if rounds == 1:
-        test = tester(0)
-        marked = full.withColumn("_h", F.xxhash64("_digest")).withColumn("_maybe", test(F.col("_h")))
-        groups = stage(_groups(keys.withColumn("_h", F.xxhash64("_digest")).filter(test(F.col("_h"))).withColumn("_rows", F.lit(1))), "groups")
+        marked = docs.withColumn("_d", tester(0, _text_tester)(F.col(text_col)))
+        marked = marked.select(*docs.columns, F.col("_d.digest").alias("_digest"), F.col("_d.maybe").alias("_maybe"))
         once, some = marked.filter(~F.col("_maybe")).select(*docs.columns), marked.filter("_maybe")
     else:
-        maybe = _mark(keys, rounds, tester).filter("_maybe")
-        groups = stage(_groups(maybe.withColumn("_rows", F.lit(1))), "groups")
-        dropped = maybe.join(groups, "_digest").filter(~F.col("_id").eqNullSafe(F.col("keep_id"))).select("_id", "_digest")
-        once, some = full.join(dropped.unionByName(groups.filter("group_size > 1").select(F.col("keep_id").alias("_id"), "_digest")), (full[id_col].eqNullSafe(F.col("_id"))) & (full["_digest"] == dropped["_digest"]), "left_anti").select(*docs.columns), full
+        full = docs.withColumn("_digest", digest_udf()(F.col(text_col))["digest"])
         groups = groups.filter("group_size > 1")
+        again = maybe.join(groups.select("_digest"), "_digest").select(F.col("_id").alias("_again_id"), F.col("_digest").alias("_again_digest")).distinct()
+        same = full[id_col].eqNullSafe(again["_again_id"]) & (full["_digest"] == again["_again_digest"])
+        once, some = full.join(again, same, "left_anti").select(*docs.columns), full.join(again, same, "left_semi")
     keep = groups.select(F.col("_digest").alias("_keep_digest"), "keep_id")
     tops = some.join(keep, (F.col("_digest") == F.col("_keep_digest")) & F.col(id_col).eqNullSafe(F.col("keep_id")))
     return once.unionByName(tops.dropDuplicates(["_digest"]).select(*docs.columns))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import give_back, tune
 
 BUCKETS = 1 << 15
 UNKNOWN = "und"
@@ -146,6 +146,7 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> Data
             mix = mixture(shared.value, t)
             top, score = mix[0] if mix else (UNKNOWN, 0.0)
             out.append({"lang_pred": top, "score": min(1.0, max(0.0, score)), "mixture": [{"lang": a, "share": b} for a, b in mix]})
+        give_back()
         return pa.array(out, kind)
 
     new = ("lang_pred", "score", "mixture")

@@ -22,12 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, stage, tune, unstage
+from .common import attach, give_back, stage, tune, unstage
+from .exact_dedup import member_test
 
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 2
 _CHUNK = 1 << 16
+GONE_BITS = 16
 
 
 def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
@@ -52,6 +54,7 @@ def fingerprint_udf(width: int = SHINGLE):
     @F.arrow_udf("bigint")
     def run(text: pa.Array) -> pa.Array:
         fps = [fingerprint(t, width) for t in text.cast(pa.binary()).to_pylist()]
+        give_back()
         return pa.array(np.array(fps, np.uint64).view(np.int64))
 
     return run
@@ -176,14 +179,23 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_filter_bytes: int = 256 << 20, **options) -> DataFrame:
     """docs with one row of each near-duplicate class: that of the smallest id. All columns stay.
 
-    Rows with a null id stay; rows that repeat the id that stays are one row.
+    Rows with a null id stay; rows that repeat the id that stays are one row. Ids that go are
+    told by a Bloom filter where one of max_filter_bytes holds them, and by a join else.
     """
     groups = stage(simhash_groups(docs, id_col, text_col, **options), "near")
-    gone = groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    kept = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = stage(groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "gone")
+    n = gone.count()
+    here = lambda df: df.join(gone, df[id_col] == gone["_gone"], "left_anti").select(*docs.columns)
+    if n * GONE_BITS // 8 <= max_filter_bytes:
+        # Ids that are surely not among those that go stay in the scan's tasks, texts and all.
+        test = member_test(gone.select(F.xxhash64("_gone").alias("h")), n, GONE_BITS)
+        marked = docs.withColumn("_maybe", test(F.xxhash64(id_col)))
+        kept = marked.filter(~F.col("_maybe")).select(*docs.columns).unionByName(here(marked.filter("_maybe")))
+    else:
+        kept = here(docs)
     twice = groups.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias("_twice"))
     if not twice.head(1):
         return kept
