@@ -21,53 +21,74 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import stage
+from .common import give_back, stage, unstage
 
-#: Text bytes after which a block is closed; one longer document is a block of its own.
-BLOCK_BYTES = 8 << 20
+#: Text bytes after which a block is closed; one longer document is a block of its own. Larger
+#: blocks shuffle less and take more of a worker's memory.
+BLOCK_BYTES = 20 << 20
 
-BLOCK_SCHEMA = "block bigint, part int, own binary, ask binary"
+BLOCK_SCHEMA = "block bigint, part int, payload binary, kind int"
 
 
 def pack(*arrays: np.ndarray | bytes) -> bytes:
-    """Arrays or bytes as one compressed value."""
-    raw = [a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes() for a in arrays]
-    kinds = [("|S1" if isinstance(a, bytes) else a.dtype.str).encode().ljust(4) for a in arrays]
-    head = len(raw).to_bytes(4, "little") + b"".join(k + len(r).to_bytes(8, "little") for k, r in zip(kinds, raw))
-    return zstandard.compress(head + b"".join(raw), 1)
+    """Arrays or bytes as one compressed value; numbers of four bytes or more go byte plane by
+    byte plane."""
+    parts, head = [], bytearray([len(arrays)])
+    for a in arrays:
+        if isinstance(a, bytes):
+            kind, raw = b"S", a
+        else:
+            a = np.ascontiguousarray(a)
+            kind, raw = a.dtype.str.encode(), (a.view(np.uint8).reshape(-1, a.itemsize).T if a.itemsize > 2 else a).tobytes()
+        head += kind.ljust(4) + len(raw).to_bytes(8, "little")
+        parts.append(raw)
+    return zstandard.compress(bytes(head) + b"".join(parts), 9)
 
 
 def unpack(data: bytes) -> list:
-    raw = zstandard.decompress(data)
-    n, at, out = int.from_bytes(raw[:4], "little"), 4, []
-    sizes = []
-    for _ in range(n):
-        sizes.append((raw[at : at + 4].strip().decode(), int.from_bytes(raw[at + 4 : at + 12], "little")))
-        at += 12
-    for kind, size in sizes:
-        out.append(raw[at : at + size] if kind == "|S1" else np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
+    raw, out = zstandard.decompress(data), []
+    at = 1 + 12 * raw[0]
+    for k in range(1, at, 12):
+        kind, size = raw[k : k + 4].strip(), int.from_bytes(raw[k + 4 : k + 12], "little")
+        if kind == b"S":
+            out.append(raw[at : at + size])
+        else:
+            dtype = np.dtype(kind.decode())
+            if dtype.itemsize > 2:
+                planes = np.frombuffer(raw, np.uint8, size, at).reshape(dtype.itemsize, -1)
+                out.append(np.ascontiguousarray(planes.T).view(dtype).ravel())
+            else:
+                out.append(np.frombuffer(raw, dtype, size // dtype.itemsize, at))
         at += size
     return out
 
 
-def _blocks(make: Callable, arrow_id: pa.DataType):
-    """mapInArrow body over (id, text): make(ids, texts) -> (own, [ask of part 0, ...])."""
+def narrow(a: np.ndarray) -> np.ndarray:
+    """The same whole numbers in the narrowest unsigned type."""
+    return a.astype(np.min_scalar_type(int(a.max())) if len(a) else "u1")
+
+
+def _blocks(make: Callable, arrow_id: pa.DataType, block_bytes: int):
+    """mapInArrow body over (id, text): make(ids, texts) -> (own, [ask of part 0, ...]).
+
+    make may empty the list of texts as it goes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, size, k = [], [], 0, TaskContext.get().partitionId() << 32
 
         def close():
             own, asks = make(pa.array(ids, arrow_id), texts)
-            n = len(asks)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([k] * (n + 1), pa.int64()), pa.array([-1, *range(n)], pa.int32()), pa.array([own] + [None] * n, pa.binary()), pa.array([None, *asks], pa.binary())],
-                ["block", "part", "own", "ask"],
-            )
+            some = [(p, a) for p, a in enumerate(asks) if a is not None]
+            n = len(some)
+            parts, payloads = zip((-1, own), *some)
+            kinds = [0] + [1] * n
+            return pa.RecordBatch.from_arrays([pa.array([k] * (n + 1), pa.int64()), pa.array(parts, pa.int32()), pa.array(payloads, pa.binary()), pa.array(kinds, pa.int32())], ["block", "part", "payload", "kind"])
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
                 t = t or b""
-                if texts and size + len(t) > BLOCK_BYTES:
+                if texts and size + len(t) > block_bytes:
                     yield close()
                     ids, texts, size, k = [], [], 0, k + 1
                 ids.append(i)
@@ -75,6 +96,8 @@ def _blocks(make: Callable, arrow_id: pa.DataType):
                 size += len(t) + 64
         if texts:
             yield close()
+        ids, texts = [], []
+        give_back()
 
     return run
 
@@ -90,31 +113,34 @@ def ids_from_bytes(raw: bytes) -> pa.Array:
     return pa.ipc.open_stream(raw).read_all().column(0).combine_chunks()
 
 
-def exchange(docs: DataFrame, make: Callable, answer: Callable, summary: Callable | None, fill: Callable, fill_schema: str, name: str) -> DataFrame:
+def exchange(docs: DataFrame, make: Callable, answer: Callable, summary: Callable | None, fill: Callable, fill_schema: str, name: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs (id, text) through blocks, parts and back.
 
     make(ids, texts) -> own bytes and one ask (or None) per part; answer(asks) -> one reply per
     ask plus a summary string per part; summary(list of all parts' strings) -> what fill gets as
     its second argument; fill(own, made, replies by part) -> a table of fill_schema.
     """
-    blocks = stage(docs.mapInArrow(_blocks(make, to_arrow_type(docs.schema[0].dataType)), BLOCK_SCHEMA), f"{name}-blocks", codec="none")
+    blocks = stage(docs.mapInArrow(_blocks(make, to_arrow_type(docs.schema[0].dataType), block_bytes), BLOCK_SCHEMA), f"{name}-blocks", ["kind"], codec="none")
 
     def serve(table: pa.Table) -> pa.Table:
-        replies, said = answer(table.column("ask").to_pylist())
+        replies, said = answer(table.column("payload").to_pylist())
         n = len(replies)
+        give_back()
         return pa.table({"block": table.column("block"), "part": table.column("part"), "reply": pa.array(replies, pa.binary()), "said": pa.array([said] + [None] * (n - 1), pa.string())})
 
-    asks = blocks.filter(F.col("ask").isNotNull()).select("block", "part", "ask")
+    asks = blocks.filter("kind = 1").select("block", "part", "payload")
     served = stage(asks.groupBy("part").applyInArrow(serve, "block bigint, part int, reply binary, said string"), f"{name}-replies", codec="none")
+    unstage(blocks, "kind=1")
     made = None
     if summary is not None:  # one short string per part
         made = summary([r["said"] for r in served.filter(F.col("said").isNotNull()).select("said").collect()])
 
     def join(own: pa.Table, replies: pa.Table) -> pa.Table:
         by_part = dict(zip(replies.column("part").to_pylist(), replies.column("reply").to_pylist()))
-        return fill(own.column("own")[0].as_py(), made, by_part)
+        give_back()  # what the last block left
+        return fill(own.column("payload")[0].as_py(), made, by_part)
 
-    own = blocks.filter("part < 0").select("block", "own")
+    own = blocks.filter("kind = 0").select("block", "payload")
     return own.groupBy("block").cogroup(served.select("block", "part", "reply").groupBy("block")).applyInArrow(join, fill_schema)
 
 

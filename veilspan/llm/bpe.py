@@ -9,12 +9,13 @@ word is encoded once by the library; ids go back to the documents by position.
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 import os
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable
 from itertools import count
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import exchange, gather, ids_from_bytes, ids_to_bytes, pack, unpack
+from .blocks import BLOCK_BYTES, exchange, gather, ids_from_bytes, ids_to_bytes, narrow, pack, unpack
 from .common import parts_for, tune
 
 _WORDS = re.compile(r"\s*\S+|\s+")
@@ -31,6 +32,8 @@ _WORDS = re.compile(r"\s*\S+|\s+")
 _ODD = re.compile("[\x1c-\x1f]")
 #: Input bytes for each part of the word table.
 PART_BYTES = 16 << 20
+#: Words filled in at a time.
+FILL_WORDS = 1 << 18
 
 
 def split_words(text: str) -> list[str]:
@@ -53,15 +56,25 @@ def load_tokenizer(path: str):
 def _make(n_parts: int):
     def make(ids: pa.Array, texts: list[bytes]) -> tuple[bytes, list[bytes | None]]:
         slots: defaultdict[str, int] = defaultdict(count().__next__)
-        seqs = [np.fromiter(map(slots.__getitem__, split_words(t.decode("utf-8", "replace"))), "<u4") for t in texts]
+        seqs = []
+        for k, t in enumerate(texts):
+            seqs.append(np.fromiter(map(slots.__getitem__, split_words(t.decode("utf-8", "replace"))), "<u4"))
+            texts[k] = b""  # its words are counted; a block's texts and words are not held at once
         words = [w.encode() for w in slots]
-        part = np.fromiter((zlib.crc32(w) % n_parts for w in words), "<u2", len(words))
+        slots.clear()
+        seq, lengths = np.concatenate(seqs), np.fromiter(map(len, seqs), "<u4", len(seqs))
+        seqs.clear()
+        # Frequent words get small numbers, which pack well.
+        order = np.argsort(-np.bincount(seq, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), "<u4")
+        rank[order] = np.arange(len(words))
+        part = np.fromiter((zlib.crc32(words[i]) % n_parts for i in order), "<u2", len(words))
+        by_part = np.argsort(part, kind="stable")
         asks: list[bytes | None] = []
-        for p in range(n_parts):
-            own = [words[i] for i in np.nonzero(part == p)[0]]
-            asks.append(pack(np.fromiter(map(len, own), "<u4", len(own)), b"".join(own)) if own else None)
-        lengths = np.fromiter(map(len, seqs), "<u4", len(seqs))
-        return pack(ids_to_bytes(ids), lengths, np.concatenate(seqs) if seqs else np.zeros(0, "<u4"), part), asks
+        for at in np.split(by_part, np.searchsorted(part[by_part], np.arange(1, n_parts))):
+            own = [words[i] for i in order[at]]
+            asks.append(pack(narrow(np.fromiter(map(len, own), "<u4", len(own))), b"".join(own)) if own else None)
+        return pack(ids_to_bytes(ids), lengths, rank[seq], narrow(part)), asks
 
     return make
 
@@ -87,17 +100,19 @@ def _answer(path: str):
         flat = np.concatenate(ids) if ids else np.zeros(0, "<u4")
         starts = np.cumsum(lengths, dtype="<i8") - lengths
         small = flat.astype("<u2") if not len(flat) or flat.max() < 1 << 16 else flat
-        return [pack(lengths[s], small[gather(starts[s], lengths[s].astype("<i8"))]) for s in seqs], ""
+        return [pack(narrow(lengths[s]), small[gather(starts[s], lengths[s].astype("<i8"))]) for s in seqs], ""
 
     return answer
 
 
-def _fill(own: bytes, _made: None, replies: dict[int, bytes]) -> pa.Table:
+def _id_lists(ids: pa.Array, lists: pa.ListArray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, lists], ["id", "ids"])
+
+
+def _fill(finish: Callable, own: bytes, _made: None, replies: dict[int, bytes]) -> pa.Table:
     raw_ids, doc_lengths, seq, part = unpack(own)
     lengths, starts, flat, base = np.zeros(len(part), "<i8"), np.zeros(len(part), "<i8"), [], 0
     for p, reply in replies.items():
-        if reply is None:
-            continue
         n, ids = unpack(reply)
         at = np.nonzero(part == p)[0]
         lengths[at] = n
@@ -105,11 +120,17 @@ def _fill(own: bytes, _made: None, replies: dict[int, bytes]) -> pa.Table:
         flat.append(ids)
         base += len(ids)
     values = np.concatenate(flat) if flat else np.zeros(0, "<u2")
-    tokens = values[gather(starts[seq], lengths[seq])].astype("<i4")
-    ends = np.concatenate([[0], np.cumsum(lengths[seq])])
     words = np.concatenate([[0], np.cumsum(doc_lengths, dtype="<i8")])
-    lists = pa.ListArray.from_arrays(pa.array(ends[words].astype("<i4")), pa.array(tokens))
-    return pa.table({"id": ids_from_bytes(raw_ids), "ids": lists})
+    doc_ids, out, at = ids_from_bytes(raw_ids), [], 0
+    while at < len(doc_ids):  # a bounded number of words at a time, one document at least
+        to = max(at + 1, int(np.searchsorted(words, words[at] + FILL_WORDS, "right")) - 1)
+        some = seq[words[at] : words[to]]
+        n = lengths[some]
+        ends = np.concatenate([[0], np.cumsum(n)])[words[at : to + 1] - words[at]]
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype("<i4")), pa.array(values[gather(starts[some], n)].astype("<i4")))
+        out.append(finish(doc_ids.slice(at, to - at), lists))
+        at = to
+    return pa.Table.from_batches(out)
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,6 +142,11 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     `tokenizer` is the path of a byte-level tokenizer file without a normalizer, readable
     by every executor.
     """
+    kind = docs.schema[id_col].dataType.simpleString()
+    return _encode(docs, tokenizer, id_col, text_col, _id_lists, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+
+
+def _encode(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, finish: Callable, schema: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     with open(tokenizer) as f:
         spec = json.load(f)
     if spec["normalizer"] is not None or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
@@ -130,9 +156,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     n_parts = min(parts_for(docs, PART_BYTES), 1 << 16)
-    kind = rows.schema["id"].dataType.simpleString()
-    out = exchange(rows, _make(n_parts), _answer(tokenizer), None, _fill, f"id {kind}, ids array<int>", "bpe")
-    return out.withColumnRenamed("id", id_col)
+    return exchange(rows, _make(n_parts), _answer(tokenizer), None, functools.partial(_fill, finish), schema, "bpe", block_bytes)
 
 
 @functools.lru_cache(maxsize=4)
@@ -176,20 +200,25 @@ def join_pieces(ids: pa.ListArray, pieces: pa.Array) -> pa.Array:
     return pa.array(texts, pa.string(), mask=np.asarray(ids.is_null()))
 
 
-def digests(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """id_col, n_tokens, and SHA-256 of the ids (little-endian u32) and of the decoded text."""
-    import hashlib
+def _digest_rows(ids: pa.ListArray, pieces: pa.Array) -> list[pa.Array]:
+    """Token counts and SHA-256 of ids (little-endian u32) and of the decoded text."""
+    flat, off = np.asarray(ids.values).astype("<u4", copy=False), np.asarray(ids.offsets)
+    shas = [hashlib.sha256(flat[i:j]).hexdigest() for i, j in zip(off[:-1], off[1:])]
+    texts = join_pieces(ids, pieces).cast(pa.binary())
+    return [pa.array(np.diff(off).astype(np.int64)), pa.array(shas, pa.string()), pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in texts], pa.string())]
+
+
+def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """id_col, n_tokens, ids_sha256, decoded_sha256 of every row: encode, then decode by piece.
+
+    The same work as decode(encode(docs)), in the worker that fills a block in, so that ids do
+    not travel to the JVM and back. Rows are those of encode.
+    """
+    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, texts = b.column(1), b.column(2).cast(pa.binary()).to_pylist()
-            flat, off = np.asarray(ids.values).astype("<u4", copy=False), np.asarray(ids.offsets)
-            shas = [hashlib.sha256(flat[i:j].tobytes()).hexdigest() for i, j in zip(off[:-1], off[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.diff(off).astype(np.int64)), pa.array(shas), pa.array([hashlib.sha256(t).hexdigest() for t in texts])],
-                [id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+    def finish(ids: pa.Array, lists: pa.ListArray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, *_digest_rows(lists, piece_table(tokenizer))], names)
 
-    kind = encoded.schema[id_col].dataType.simpleString()
-    rows = decode(encoded, tokenizer, ids_col, "decoded").select(id_col, ids_col, "decoded")
-    return rows.mapInArrow(run, f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return _encode(docs, tokenizer, id_col, text_col, finish, schema, block_bytes).withColumnRenamed("id", id_col)

@@ -60,8 +60,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path("byte_bpe_50k.json")
-    return _bpe.digests(_bpe.encode(_table(spark, sf_dir, "documents"), path), path)
+    return _bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
