@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from veilspan.llm import blocks, bpe, langid, lm_score, mixing, secrets, token_store
+from veilspan.llm import blocks, bpe, langid, lm_score, mixing, queries, secrets, token_store
 from veilspan.llm.queries import tokenizer_path
 
 LONG = "naïve café l'eau " * 20_000
@@ -115,6 +115,15 @@ def test_lm_score_brute_force(spark):
     assert lm_score.score(table(spark, texts).limit(0), target).count() == 0
 
 
+def test_lm_target_counts_all_labelled(spark, tmp_path):
+    """Where every document is labelled of quality, both models are one, however many there are."""
+    ids = spark.range(21_000).withColumnRenamed("id", "doc_id")
+    ids.selectExpr("doc_id", "concat('the w', doc_id, ' is w', doc_id % 7) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    ids.selectExpr("doc_id", "1 AS quality").write.parquet(f"{tmp_path}/labels.parquet")
+    out = queries.op1_lm_score(spark, str(tmp_path))
+    assert out.count() == 21_000 and out.filter("score <> 0 OR target_loss <> background_loss").count() == 0
+
+
 def test_language_mixtures(spark):
     rng = random.Random(2)
     vocab = {"aa": ["zorba", "wikto", "zunka", "krazo"], "bb": ["ellune", "aimere", "outelle", "ramie"]}

@@ -1,7 +1,7 @@
 """Cross-entropy difference: how much better a target model predicts a text than the corpus.
 
 Two interpolated bigram models of the same order, smoothing and vocabulary (every word of the
-corpus): the background is counted over all documents, the target over a bounded set of them.
+corpus): the background is counted over all documents, the target over all those marked as such.
 
     p(w)     = (count(w) + BETA) / (tokens + BETA * vocabulary)
     p(w | v) = (count(v, w) + ALPHA * p(w)) / (count(v) + ALPHA)
@@ -32,7 +32,7 @@ from .common import parts_for, tune
 ALPHA, BETA = 10.0, 1.0
 KEY_BITS = 40
 PART_BYTES = 16 << 20
-#: The target model is fitted on at most so many labelled documents.
+#: The LIMIT in the query's SQL. The operator has no such bound: above it, SQL and operator differ.
 TARGET_DOCS = 20_000
 _START = 0  # slot of the start mark in every block
 
@@ -73,10 +73,10 @@ def _bounds(part: np.ndarray, n_parts: int) -> np.ndarray:
     return np.searchsorted(part, np.arange(n_parts + 1))
 
 
-def _make(n_parts: int, target: frozenset):
+def _make(n_parts: int):
     def make(ids: pa.Array, texts: list[bytes]) -> tuple[bytes, list[bytes | None]]:
         b = _Block(texts, n_parts)
-        in_target = np.array([i in target for i in ids.to_pylist()], bool)
+        in_target = ids.field("target").to_numpy(zero_copy_only=False).astype(bool)
         of_target = np.repeat(in_target, b.lengths)
         word, pair = b.word_place[b.tokens - 1], b.pair_place[b.pair_of]
         counts = [(np.bincount(x, minlength=n), np.bincount(x[of_target], minlength=n)) for x, n in ((word, len(b.word_place)), (pair, len(b.pair_place)))]
@@ -92,7 +92,7 @@ def _make(n_parts: int, target: frozenset):
             deltas = [narrow(np.diff(k, prepend=np.uint64(0))) for k in (b.word_key[w], b.pair_key[q])]
             asks.append(pack(starts if not p else starts * 0, *deltas, *(narrow(n[s]) for c, s in zip(counts, (w, q)) for n in c)))
         # The texts themselves are smaller than their token numbers; they are split again later.
-        return pack(ids_to_bytes(ids), np.fromiter(map(len, texts), "<i8", len(texts)), b"".join(texts)), asks
+        return pack(ids_to_bytes(ids.field("id")), np.fromiter(map(len, texts), "<i8", len(texts)), b"".join(texts)), asks
 
     return make
 
@@ -144,24 +144,29 @@ def _fill(n_parts: int):
     return fill
 
 
-def score(docs: DataFrame, target_ids: Iterable, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, targets: DataFrame | Iterable, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col, n_tokens, target_loss, background_loss, score.
 
-    Tokens are white-space separated, A-Z lower-cased. target_ids (at most some ten thousand)
-    name the documents of the target model; every row of such an id counts. Null texts count as
-    empty; losses and score of a text without tokens are null. Repeated rows each count and
-    each get a row; an empty table gives none; other columns are ignored, whatever their names.
+    Tokens are white-space separated, A-Z lower-cased. targets (a table whose first column has
+    ids, of any size, or a few ids) names the documents of the target model; every row of such
+    an id counts, a null id is none. Null texts count as empty; losses and score of a text
+    without tokens are null. Repeated rows each count and each get a row; an empty table gives
+    none; other columns are ignored, whatever their names.
     """
     tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     n_parts = min(parts_for(docs, PART_BYTES), 1 << 16)
     kind = rows.schema["id"].dataType.simpleString()
+    if not isinstance(targets, DataFrame):
+        targets = docs.sparkSession.createDataFrame([(i,) for i in targets], f"target {kind}")
+    named = targets.select(F.col(targets.columns[0]).alias("_target")).distinct()
+    marked = rows.join(named, F.col("id") == F.col("_target"), "left")
+    marked = marked.select(F.struct("id", F.col("_target").isNotNull().alias("target")).alias("id"), "text")
     schema = f"id {kind}, n_tokens bigint, target_loss double, background_loss double, score double"
-    out = exchange(rows, _make(n_parts, frozenset(target_ids)), _answer, _summary, _fill(n_parts), schema, "lm")
+    out = exchange(marked, _make(n_parts), _answer, _summary, _fill(n_parts), schema, "lm")
     return out.withColumnRenamed("id", id_col)
 
 
-def quality_targets(labels: DataFrame, most: int = TARGET_DOCS) -> list:
-    """Ids of documents labelled of quality, at most `most`, those with the smallest MD5 of the id."""
-    good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return [r[0] for r in good.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary"))).limit(most).collect()]
+def quality_targets(labels: DataFrame) -> DataFrame:
+    """Ids of all documents labelled of quality."""
+    return labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
