@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from veilspan.llm import exact_dedup, simhash, spans_dedup
+from veilspan.llm import exact_dedup, queries, simhash, spans_dedup
 from veilspan.llm.common import attach
 
 LONG = "lorem ipsum dolor sit amet " * 30_000
@@ -177,6 +177,16 @@ def test_substring_dedup_brute_force(spark):
     assert got[4][1] == 0 == got[5][1] and got[500][1] > 0 and got[100][1] == 0
 
 
+def test_spans_reach_the_end_of_a_repeat(spark, tmp_path):
+    """The last sentences of a repeated passage go, though too few words remain from them on."""
+    many, few = " ".join(f"a{i}" for i in range(12)) + ".", "Five words are in here."
+    passage = f"{many} {many.upper()} {few} Bye then."
+    rows = [(1, f"Own words first. {passage}"), (2, f"Something else came before. {passage} And this is after it.")]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in queries.op2_substring_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("Something else came before. And this is after it.", 4)}
+
+
 def test_sentences_cover_the_text():
     for t in ["", "a", " a.  B! c\n\nd , e", "x " * 80 + ", y; " + "z " * 40, "\n\n"]:
         s = spans_dedup.sentences(t)

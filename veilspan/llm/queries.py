@@ -36,7 +36,7 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans.dedup_spans(_table(spark, sf_dir, "documents"))
+    return _spans.dedup_spans(_table(spark, sf_dir, "documents"), both_ways=True)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 A sentence ends at . ! ? before white space or at a line break; one of more than LONG_WORDS
 words is cut at , ; : | as well, so that a run-on sentence cannot hide a passage. From every
 sentence of every document a span runs on over consecutive sentences, at least MIN_SENTENCES of
-them, to the first that brings it to MIN_WORDS words. Spans are equal when their lower-cased
+them, to the first that brings it to MIN_WORDS words; both ways, the shortest such span that
+ends at each sentence counts too, and together they cover whatever longer runs cover. Spans are
+equal when their lower-cased
 words are. All spans meet by hash; sentences covered by a span that is not the first of its
 kind (by document id, then place) are removed, and the rest of each text stays as it was.
 """
@@ -49,44 +51,52 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     return out
 
 
-def spans(text: str) -> list[tuple[int, int, int]]:
-    """(hash, first, last) of the span from each sentence that reaches the least length."""
+def spans(text: str, both_ways: bool = False) -> list[tuple[int, int, int]]:
+    """(hash, first, last) of the shortest spans of the least length from each sentence, or from and to each."""
     units = [w for _, _, w in sentences(text)]
     joined, n = [" ".join(w).encode() for w in units], [len(w) for w in units]
     ends = np.concatenate([[0], np.cumsum(n)])
     last = np.maximum(np.searchsorted(ends, ends[:-1] + MIN_WORDS) - 1, np.arange(len(n)) + MIN_SENTENCES - 1)
+    runs = {(i, j) for i, j in enumerate(last.tolist()) if j < len(n)}
+    if both_ways:
+        first = np.minimum(np.searchsorted(ends, ends[1:] - MIN_WORDS, "right") - 1, np.arange(len(n)) - MIN_SENTENCES + 1)
+        runs |= {(i, j) for j, i in enumerate(first.tolist()) if i >= 0}
     h = xxhash.xxh3_64_intdigest
-    return [(h(b"\n".join(joined[i : j + 1])), i, j) for i, j in enumerate(last.tolist()) if j < len(n)]
-
-
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        hs, at, firsts, lasts = [], [], [], []
-        for k, t in enumerate(b.column(2).to_pylist()):
-            got = spans(t or "")
-            at += [k] * len(got)
-            for h, i, j in got:
-                hs.append(h)
-                firsts.append(i)
-                lasts.append(j)
-        pick = pa.array(at, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0).take(pick), b.column(1).take(pick), pa.array(np.array(hs, np.uint64).view(np.int64)), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())],
-            ["id", "t", "h", "i", "j"],
-        )
-
-
-def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return [(h(b"\n".join(joined[i : j + 1])), i, j) for i, j in sorted(runs)]
+
+
+def _emit(both_ways: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hs, at, firsts, lasts = [], [], [], []
+            for k, t in enumerate(b.column(2).to_pylist()):
+                got = spans(t or "", both_ways)
+                at += [k] * len(got)
+                for h, i, j in got:
+                    hs.append(h)
+                    firsts.append(i)
+                    lasts.append(j)
+            pick = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pick), b.column(1).take(pick), pa.array(np.array(hs, np.uint64).view(np.int64)), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())],
+                ["id", "t", "h", "i", "j"],
+            )
+
+    return run
+
+
+def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, both_ways: bool = False) -> DataFrame:
     """One row per input row: id_col, n_sentences, n_removed, text (what stays).
 
-    Of equal spans the one of the smallest id (null ids first) and then place stays. Rows that
+    both_ways takes the whole of a repeated run of sentences; without it, its last sentences may
+    stay. Of equal spans the one of the smallest id (null ids first) and then place stays. Rows that
     repeat both id and text are one document: they are treated alike. Null text counts as
     empty and gives an empty text; an empty table gives no rows; other columns are ignored.
     """
     tune(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = stage(rows.mapInArrow(_emit, f"id {kind}, t bigint, h bigint, i int, j int"), "spans")
+    found = stage(rows.mapInArrow(_emit(both_ways), f"id {kind}, t bigint, h bigint, i int, j int"), "spans")
     place = F.struct("id", "t", "i")
     groups = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     groups = stage(groups.filter("n > 1"), "repeated")
