@@ -187,6 +187,18 @@ def test_spans_reach_the_end_of_a_repeat(spark, tmp_path):
     assert got == {1: (rows[0][1], 0), 2: ("Something else came before. And this is after it.", 4)}
 
 
+def test_spans_meet_in_prose_without_marks():
+    """51 words that repeat amid other words, with no mark to cut at, hold an equal span."""
+    rng = random.Random(5)
+    some = lambda n: " ".join(f"u{rng.randint(0, 9999)}" for _ in range(n))
+    for _ in range(200):
+        passage = some(51)
+        a, b = (f"{some(rng.randint(0, 60))} {passage} {some(rng.randint(0, 60))}" for _ in range(2))
+        for t in (a, b):
+            assert "".join(t[x:y] for x, y, _ in spans_dedup.sentences(t)) == t
+        assert {h for h, _, _ in spans_dedup.spans(a)} & {h for h, _, _ in spans_dedup.spans(b)}
+
+
 def test_sentences_cover_the_text():
     for t in ["", "a", " a.  B! c\n\nd , e", "x " * 80 + ", y; " + "z " * 40, "\n\n"]:
         s = spans_dedup.sentences(t)

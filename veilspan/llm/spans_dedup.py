@@ -1,7 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
 A sentence ends at . ! ? before white space or at a line break; one of more than LONG_WORDS
-words is cut at , ; : | as well, so that a run-on sentence cannot hide a passage. From every
+words is cut at , ; : | as well, so that a run-on sentence cannot hide a passage. What is still
+longer is cut before words that its own words choose: of every WINDOW neighbouring word pairs
+the one of the least hash. Equal runs of words are so cut alike wherever they stand, but for
+WINDOW words at either end, and one of over 50 words always holds an equal span. From every
 sentence of every document a span runs on over consecutive sentences, at least MIN_SENTENCES of
 them, to the first that brings it to MIN_WORDS words; both ways, the shortest such span that
 ends at each sentence counts too, and together they cover whatever longer runs cover. Spans are
@@ -24,7 +27,9 @@ from pyspark.sql import functions as F
 from .common import attach, stage, tune
 
 MIN_SENTENCES, MIN_WORDS, LONG_WORDS = 2, 15, 25
+WINDOW = 8
 _END = re.compile(r"(?<=[.!?])\s+|\n\s*")
+_WORD = re.compile(r"\S+")
 _CLAUSE = re.compile(r"(?<=[,;:|])\s+")
 
 
@@ -34,6 +39,16 @@ def _cut(text: str, at: re.Pattern, base: int = 0) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(bounds, bounds[1:]) if b > a]
 
 
+def _cut_long(text: str, base: int) -> list[tuple[int, int]]:
+    """Cuts before the second word of each pair that is the least of WINDOW neighbours."""
+    at = [m.start() for m in _WORD.finditer(text)]
+    words = [w.encode() for w in text.lower().split()]
+    h = np.array([xxhash.xxh3_64_intdigest(a + b"\n" + b) for a, b in zip(words, words[1:])], np.uint64)
+    least = np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(1) + np.arange(len(h) - WINDOW + 1)
+    bounds = [base, *(base + at[k + 1] for k in np.unique(least).tolist()), base + len(text)]
+    return list(zip(bounds, bounds[1:]))
+
+
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, lower-cased words) of each sentence; together they cover the text.
 
@@ -42,7 +57,9 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     out: list[tuple[int, int, list[str]]] = []
     for a, b in _cut(text, _END):
         words = text[a:b].lower().split()
-        pieces = [(a, b, words)] if len(words) <= LONG_WORDS else [(x, y, text[x:y].lower().split()) for x, y in _cut(text[a:b], _CLAUSE, a)]
+        pieces = [(a, b, words)]
+        for cut in (lambda t, base: _cut(t, _CLAUSE, base), _cut_long):
+            pieces = [q for x, y, w in pieces for q in ([(x, y, w)] if len(w) <= LONG_WORDS else [(u, v, text[u:v].lower().split()) for u, v in cut(text[x:y], x)])]
         for x, y, w in pieces:
             if w or not out:
                 out.append((x, y, w))
