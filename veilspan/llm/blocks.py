@@ -130,7 +130,7 @@ def exchange(docs: DataFrame, make: Callable, answer: Callable, summary: Callabl
 
     asks = blocks.filter("kind = 1").select("block", "part", "payload")
     served = stage(asks.groupBy("part").applyInArrow(serve, "block bigint, part int, reply binary, said string"), f"{name}-replies", codec="none")
-    unstage(blocks, "kind=1")
+    unstage(blocks, part="kind=1")
     made = None
     if summary is not None:  # one short string per part
         made = summary([r["said"] for r in served.filter(F.col("said").isNotNull()).select("said").collect()])

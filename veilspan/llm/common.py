@@ -8,10 +8,10 @@ import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -21,8 +21,11 @@ BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one is made only where it is unset."""
+    """The folder all executors share (spark.checkpoint.dir); where it is unset, one is made if all
+    run in this process, and anything else is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="veilspan-")
         atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
@@ -34,29 +37,62 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/veilspan/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, partition_by: Sequence[str] = (), codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends, lost executors cost nothing."""
+def stage(df: DataFrame, name: str, partition_by: Sequence[str] = (), codec: str = "zstd", into: str | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends, lost executors cost nothing.
+
+    With `into`, df is added to what that folder holds.
+    """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", codec).partitionBy(*partition_by).parquet(path)
+    path = into or scratch_path(spark, name)
+    with shuffles_dropped(spark):
+        df.write.mode("append").option("compression", codec).partitionBy(*partition_by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._veilspan_path = path
     return out
 
 
-def unstage(df: DataFrame, part: str = "") -> None:
-    """Delete a staged table, or one partition folder of it, that nothing lazy reads any more."""
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Writes within drop their shuffle files once they are done; the session's setting is as before after it."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+def collected(df: DataFrame) -> list:
+    """A result of bounded size, by way of the shared folder: its tasks run once whatever is lost meanwhile."""
+    done = stage(df, "collected")
+    rows = done.collect()
+    unstage(done)
+    return rows
+
+
+def unstage(*tables: DataFrame, part: str = "") -> None:
+    """Delete staged tables, or one partition folder of each, that nothing lazy reads any more."""
+    for df in tables:
+        _delete(df, part)
+
+
+def _delete(df: DataFrame, part: str) -> None:
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
     p = jvm.org.apache.hadoop.fs.Path(f"{df._veilspan_path}/{part}".rstrip("/"))
     p.getFileSystem(conf).delete(p, True)
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes as well as rows, so long texts do not fill a worker, and
-    drop the shuffle files of a finished query: what is needed later has been staged."""
+    """Send the package to workers, and bound Arrow batches by bytes as well as rows, so that
+    long texts do not fill a worker."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def packed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df's rows whole, as _row, beside computed columns: no name of df can clash with theirs."""
+    return df.select(F.struct("*").alias("_row"), *(c.alias(k) for k, c in columns.items()))
 
 
 def give_back() -> None:

@@ -1,29 +1,28 @@
 """Exact deduplication: a two-pass Bloom filter finds rows that may repeat; only those shuffle.
 
-Pass one reads whole texts once and leaves a 32-byte digest per row. A counting Bloom filter
-over the digests (each position counts to two) is built in segments: every task sends the
-positions it set, and a segment adds them up. A digest that occurs twice has all its positions
-at two, so a row with a position below two is unique for certain and passes straight through.
-Pass two tests every row; the few that may repeat are grouped by the full digest.
-
-The filter broadcast is at most `max_filter_bytes`: beyond that the hash space is cut into
-ranges which are filtered one after the other, so memory stays bounded and no row is skipped.
+Pass one reads whole texts once and leaves a 32-byte digest per row, in order of hash within
+each task's file. A counting Bloom filter over the hashes (each position counts to two) is built
+in segments. A digest that occurs twice has all its positions at two, so a row with a position
+below two is unique for certain and passes straight through. Pass two tests every row; the few
+that may repeat are grouped by the full digest.
+
+A filter is at most `max_filter_bytes`. Beyond that the hash space is cut into ranges, one after
+the other: a range's filter is built, its rows are tested and staged, and its filter is
+destroyed before the next. As files are in order of hash, a range reads its own pages only, so
+ranges do not multiply what is read. No row is skipped, and the plan is the same at every size.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, give_back, stage, tune
-
-SEGMENT_BITS = 17
-PROBES = 4
+from . import bloom
+from .common import attach, give_back, packed, scratch_path, stage, tune, unstage
 
 
 def _digests(text: pa.Array) -> list[bytes]:
@@ -50,122 +49,43 @@ def digest_udf():
     return run
 
 
-def _positions(h: np.ndarray, n_segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """Segment of each hash and its PROBES bit positions in that segment."""
-    u = h.view(np.uint64)
-    seg = ((u >> np.uint64(33)) % np.uint64(n_segments)).astype(np.int64)
-    x = u * np.uint64(0x9E3779B97F4A7C15) ^ (u >> np.uint64(29))
-    a, b = x >> np.uint64(40), (x & np.uint64(0xFFFFFF)) | np.uint64(1)
-    steps = np.arange(PROBES, dtype=np.uint64)
-    return seg, ((a[:, None] + steps * b[:, None]) & np.uint64((1 << SEGMENT_BITS) - 1)).astype(np.int64)
-
-
-def _build(n_segments: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs = [np.asarray(b.column(0)) for b in batches if b.num_rows]
-        if not hs:
-            return
-        seg, pos = _positions(np.concatenate(hs).astype(np.int64), n_segments)
-        flat, n = np.unique((seg[:, None] << SEGMENT_BITS | pos).ravel(), return_counts=True)
-        at = np.searchsorted(flat >> SEGMENT_BITS, np.arange(n_segments + 1))
-        low = (flat & ((1 << SEGMENT_BITS) - 1)).astype("<i4")
-        rows = [(s, low[i:j][n[i:j] == 1].tobytes(), low[i:j][n[i:j] > 1].tobytes()) for s, (i, j) in enumerate(zip(at[:-1], at[1:])) if i < j]
-        for k in range(0, len(rows), 256):
-            s, once, twice = zip(*rows[k : k + 256])
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], ["segment", "once", "twice"])
-
-    return run
-
-
-def _merge(table: pa.Table) -> pa.Table:
-    n = np.zeros(1 << SEGMENT_BITS, np.int64)
-    for name, by in (("once", 1), ("twice", 2)):
-        for raw in table.column(name).to_pylist():
-            n += by * np.bincount(np.frombuffer(raw, "<i4"), minlength=len(n))
-    return pa.table({"segment": table.column("segment").slice(0, 1), "bits": pa.array([np.packbits(n >= 2).tobytes()], pa.binary())})
-
-
-def _filter_bits(spark, hashes: DataFrame, n_rows: int, bits_per_row: int) -> tuple:
-    """Segment count and broadcast bits of the filter of those hashes that occur twice."""
-    n_segments = max(1, -(-n_rows * bits_per_row >> SEGMENT_BITS))
-    merged = (
-        hashes.mapInArrow(_build(n_segments), "segment int, once binary, twice binary")
-        .groupBy("segment").applyInArrow(_merge, "segment int, bits binary")
-    )
-    bits = np.zeros((n_segments, (1 << SEGMENT_BITS) // 8), np.uint8)
-    for row in merged.toLocalIterator():  # n_segments rows, bounded by max_filter_bytes
-        bits[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
-    return n_segments, spark.sparkContext.broadcast(bits)
-
-
-def _test(h: np.ndarray, n_segments: int, bits: np.ndarray) -> np.ndarray:
-    """True for every hash that occurs twice, and for few others."""
-    seg, pos = _positions(h.astype(np.int64), n_segments)
-    return ((bits[seg[:, None], pos >> 3] >> (7 - (pos & 7)).astype(np.uint8)) & 1).all(axis=1)
-
-
-def _tester(spark, hashes: DataFrame, n_rows: int, bits_per_row: int):
-    """The test as a function of a hash column."""
-    n_segments, shared = _filter_bits(spark, hashes, n_rows, bits_per_row)
-
-    @F.arrow_udf("boolean")
-    def maybe(h: pa.Array) -> pa.Array:
-        return pa.array(_test(np.asarray(h), n_segments, shared.value))
-
-    return maybe
-
-
-def member_test(hashes: DataFrame, n_rows: int, bits_per_row: int = 16):
-    """A UDF on a hash column that is true for all of `hashes` (one column), and for few others."""
-    return _tester(hashes.sparkSession, hashes.unionByName(hashes), n_rows, bits_per_row)
-
-
-def _text_tester(spark, hashes: DataFrame, n_rows: int, bits_per_row: int):
-    """struct<digest, maybe> of a text column, in one pass through a worker."""
-    n_segments, shared = _filter_bits(spark, hashes, n_rows, bits_per_row)
-
-    @F.arrow_udf("digest binary, maybe boolean")
-    def run(text: pa.Array) -> pa.Array:
-        d = _digests(text)
-        out = pa.StructArray.from_arrays([pa.array(d, pa.binary()), pa.array(_test(_hashes(d), n_segments, shared.value))], ["digest", "maybe"])
-        give_back()
-        return out
-
-    return run
-
-
-def _filters(keys: DataFrame, n: int, bits_per_row: int, max_filter_bytes: int) -> tuple[int, Callable]:
-    """Number of hash ranges, and a function that makes the tester of one range."""
-    rounds = max(1, -(-n * bits_per_row // 8 // max_filter_bytes))
-    size = n if rounds == 1 else -(-n * 5 // (4 * rounds))
-    return rounds, lambda r, make=_tester: make(keys.sparkSession, keys.select("_h").filter(_in_range(rounds, r)), size, bits_per_row)
+def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Staged (_id, _digest, _h) of every row: the one pass over the texts."""
+    rows = docs.select(F.col(id_col).alias("_id"), digest_udf()(F.col(text_col)).alias("_d"))
+    rows = rows.select("_id", F.col("_d.digest").alias("_digest"), F.col("_d.h").alias("_h"))
+    return stage(rows.sortWithinPartitions("_h"), "digests")
 
 
-def _in_range(rounds: int, r: int):
-    return F.lit(True) if rounds == 1 else F.pmod(F.shiftright("_h", 3), F.lit(rounds)) == r
+def _in_range(r: int, rounds: int) -> Column:
+    """Whether _h is in the r-th of so many equal ranges."""
+    edge = [-(1 << 63) + (k << 64) // rounds for k in (r, r + 1)]
+    return (F.col("_h") >= edge[0]) & (F.col("_h") <= edge[1] - 1)
 
 
-def _mark(rows: DataFrame, rounds: int, tester: Callable) -> DataFrame:
-    """rows with `_maybe`: false only where the digest occurs once."""
-    out = None
+def _marked(keys: DataFrame, n: int, bits_per_row: int, max_filter_bytes: int) -> DataFrame:
+    """Staged (_id, _digest, _maybe): _maybe is false only where the digest occurs once. keys are used up."""
+    rounds = max(1, -(-n * bits_per_row // (8 * max_filter_bytes)))
+    path = scratch_path(keys.sparkSession, "marked")
     for r in range(rounds):
-        part = rows.filter(_in_range(rounds, r)).withColumn("_maybe", tester(r)(F.col("_h"))).drop("_h")
-        out = part if out is None else out.unionByName(part)
+        own = keys.filter(_in_range(r, rounds))
+        repeated = bloom.repeats(own.select("_h"), -(-n // rounds), bits_per_row, max_filter_bytes)
+        out = stage(own.withColumn("_maybe", repeated.maybe(F.col("_h"))).drop("_h"), "marked", into=path)
+        repeated.destroy()
+    unstage(keys)
     return out
 
 
-def _groups(maybe: DataFrame) -> DataFrame:
-    """Per digest among rows that may repeat: the id that stays and the number of rows."""
-    return maybe.groupBy("_digest").agg(F.max("_id").alias("keep_id"), F.sum("_rows").alias("group_size"))
+def _counted(marked: DataFrame) -> DataFrame:
+    """Rows that may repeat, those of one id and text counted first, so that ties need no window."""
+    return marked.filter("_maybe").groupBy("_digest", "_id").agg(F.count(F.lit(1)).alias("_rows"))
 
 
-def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Staged (_id, _digest, _h) of every row: the one pass over the texts."""
-    rows = docs.select(F.col(id_col).alias("_id"), digest_udf()(F.col(text_col)).alias("_d"))
-    return stage(rows.select("_id", F.col("_d.digest").alias("_digest"), F.col("_d.h").alias("_h")), "digests")
+def _groups(counted: DataFrame) -> DataFrame:
+    """Per digest among rows that may repeat: the id that stays and the number of rows."""
+    return stage(counted.groupBy("_digest").agg(F.max("_id").alias("keep_id"), F.sum("_rows").alias("group_size")), "groups")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bits_per_row: int = 8, max_filter_bytes: int = 64 << 20) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bits_per_row: int = 8, max_filter_bytes: int = bloom.FILTER_BYTES) -> DataFrame:
     """One row per input row: id_col, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal
@@ -176,11 +96,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tune(docs.sparkSession)
     keys = _keys(docs, id_col, text_col)
     n = keys.count()
-    marked = stage(_mark(keys, *_filters(keys, n, bits_per_row, max_filter_bytes)), "marked")
-    # Rows of one id and text are counted first, so that ties need no window.
-    maybe = marked.filter("_maybe").groupBy("_digest", "_id").agg(F.count(F.lit(1)).alias("_rows"))
-    groups = stage(_groups(maybe), "groups")
-    found = attach(maybe, groups, ["_digest"], "group_size", n)
+    marked = _marked(keys, n, bits_per_row, max_filter_bytes)
+    counted = _counted(marked)
+    found = attach(counted, _groups(counted), ["_digest"], "group_size", n)
     again = found.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), "_rows")))
     kept = (F.col("_nth") == 1) & F.col("_id").eqNullSafe(F.col("keep_id"))
     out = again.select(F.col("_id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), "_digest")
@@ -188,27 +106,48 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return once.unionByName(out).withColumn("text_sha256", F.lower(F.hex("_digest"))).drop("_digest")
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bits_per_row: int = 8, max_filter_bytes: int = 256 << 20) -> DataFrame:
+def _pair(digests: list[bytes], ids: pa.Array) -> np.ndarray:
+    """One hash of each digest and hashed id."""
+    return _hashes(digests) ^ (np.asarray(ids).astype(np.int64) << 1)
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bits_per_row: int = 8, max_filter_bytes: int = bloom.FILTER_BYTES) -> DataFrame:
     """docs without the rows that exact_dedup does not keep; all columns stay.
 
-    Rows whose digest is unique pass the filter in the scan's own tasks. Where one filter
-    cannot hold all digests, rows meet the ids that stay in a join instead.
+    What goes is settled on digests alone, as in exact_dedup. A second pass over the texts
+    meets a Bloom filter of the (id, digest) pairs that go or repeat: all other rows pass in the
+    scan's own tasks. Only rows it holds back shuffle, and meet those pairs in a join. The filter
+    is never larger than max_filter_bytes; past ten bits a pair it holds back more rows than it
+    need, and the result is the same.
     """
     tune(docs.sparkSession)
     keys = _keys(docs, id_col, text_col)
-    rounds, tester = _filters(keys, keys.count(), bits_per_row, max_filter_bytes)
-    maybe = _mark(keys, rounds, tester).filter("_maybe")
-    groups = stage(_groups(maybe.withColumn("_rows", F.lit(1))), "groups")
-    if rounds == 1:
-        marked = docs.withColumn("_d", tester(0, _text_tester)(F.col(text_col)))
-        marked = marked.select(*docs.columns, F.col("_d.digest").alias("_digest"), F.col("_d.maybe").alias("_maybe"))
-        once, some = marked.filter(~F.col("_maybe")).select(*docs.columns), marked.filter("_maybe")
-    else:
-        full = docs.withColumn("_digest", digest_udf()(F.col(text_col))["digest"])
-        groups = groups.filter("group_size > 1")
-        again = maybe.join(groups.select("_digest"), "_digest").select(F.col("_id").alias("_again_id"), F.col("_digest").alias("_again_digest")).distinct()
-        same = full[id_col].eqNullSafe(again["_again_id"]) & (full["_digest"] == again["_again_digest"])
-        once, some = full.join(again, same, "left_anti").select(*docs.columns), full.join(again, same, "left_semi")
-    keep = groups.select(F.col("_digest").alias("_keep_digest"), "keep_id")
-    tops = some.join(keep, (F.col("_digest") == F.col("_keep_digest")) & F.col(id_col).eqNullSafe(F.col("keep_id")))
-    return once.unionByName(tops.dropDuplicates(["_digest"]).select(*docs.columns))
+    n = keys.count()
+    marked = _marked(keys, n, bits_per_row, max_filter_bytes)
+    counted = _counted(marked)
+    groups = _groups(counted)
+    found = attach(counted, groups, ["_digest"], "group_size", n)
+    stays = F.col("_id").eqNullSafe(F.col("keep_id"))
+    judged = stage(found.filter(~stays | (F.col("_rows") > 1)).select(F.col("_id").alias("_judged_id"), F.col("_digest").alias("_judged"), (~stays).alias("_goes")), "judged")
+    unstage(marked, groups)
+
+    @F.arrow_udf("bigint")
+    def pair(digest: pa.Array, ids: pa.Array) -> pa.Array:
+        return pa.array(_pair(digest.to_pylist(), ids))
+
+    held = bloom.members(judged.select(pair(F.col("_judged"), F.xxhash64("_judged_id"))), judged.count(), max_bytes=max_filter_bytes)
+    test = held.probe()
+
+    @F.arrow_udf("digest binary, maybe boolean")
+    def meet(text: pa.Array, ids: pa.Array) -> pa.Array:
+        d = _digests(text)
+        out = pa.StructArray.from_arrays([pa.array(d, pa.binary()), pa.array(test(_pair(d, ids)))], ["digest", "maybe"])
+        give_back()
+        return out
+
+    full = packed(docs, _id=F.col(id_col), _d=meet(F.col(text_col), F.xxhash64(id_col)))
+    once, some = full.filter(~F.col("_d.maybe")), full.filter("_d.maybe").select("_row", "_id", F.col("_d.digest").alias("_digest"))
+    met = some.join(judged, (F.col("_digest") == F.col("_judged")) & F.col("_id").eqNullSafe(F.col("_judged_id")), "left")
+    one_each = met.filter(~F.col("_goes")).dropDuplicates(["_digest", "_id"])
+    parts = [x.select("_row.*") for x in (once, met.filter(F.col("_goes").isNull()), one_each)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
