@@ -19,17 +19,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, give_back, stage, tune, unstage
-from .exact_dedup import member_test
+from . import bloom
+from .common import attach, give_back, packed, stage, tune, unstage
 
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 2
 _CHUNK = 1 << 16
-GONE_BITS = 16
 
 
 def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
@@ -60,6 +59,10 @@ def fingerprint_udf(width: int = SHINGLE):
     return run
 
 
+def _digits(fp: Column) -> Column:
+    return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
 def _anchor_masks() -> np.ndarray:
     """Row s: what to flip in a word of syndrome s to reach each codeword within distance 2."""
     bit = lambda i: 1 << (i - 1)  # noqa: E731  position i of 1..63
@@ -125,34 +128,33 @@ def _compare(most: int):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node that has an edge (a, b).
-
-    Each round maps every node to the smallest of its neighbours and itself, follows that map
-    once more, and contracts the edges; a component at least halves, so rounds are logarithmic.
-    All state is staged, nothing is collected.
+    """(node, root) of every node that has an edge (a, b); root is the smallest node reachable.
+
+    Alternating stars: each node's larger neighbours move to the smallest node it knows (itself
+    included), then each node's smaller neighbours and itself move to the smallest of them, until
+    nothing changes. Every component is then a star around its smallest node. The number of
+    rounds grows with the square of the logarithm of the nodes at most, whatever the shape.
+    Nodes of many edges meet their smallest neighbour by broadcast (`attach`); all state is
+    staged, and only a row count and a sum of hashes come to the driver.
     """
-    edges = stage(edges.filter("a <> b").distinct(), "edges")
-    maps = []
-    while edges.head(1):
+    edges = stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before, now = None, _mark_of(edges)
+    while now != before:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")).select("node", F.least("node", "up").alias("up"))
-        step = stage(step, "step")
-        twice = step.join(step.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", F.col("top").alias("root"))
-        twice = stage(twice, "roots")
-        maps.append(twice)
-        from_a = edges.join(twice.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
-        on_both = from_a.join(twice.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").filter("ra <> rb")
-        nxt = stage(on_both.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct(), "edges")
-        unstage(edges)
-        unstage(step)
-        edges = nxt
-    if not maps:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    out = maps.pop()
-    while maps:
-        up = out.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        out = maps.pop().join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return out
+        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("deg"))
+        large = attach(both.filter("b > a"), low, ["a"], "deg", 2 * now[0], how="inner").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = stage(large, "edges")
+        low = stage(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("deg")), "least")
+        moved = attach(large, low, ["a"], "deg", now[0], how="inner").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        small = stage(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        unstage(edges, large, low)
+        edges, before, now = small, now, _mark_of(small)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def _mark_of(edges: DataFrame) -> tuple:
+    """Number of edges and a sum over their hashes."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -163,6 +165,12 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts count as empty; texts without words all have fingerprint zero. Rows that repeat are
     one class. An empty table gives no rows; other columns are ignored, whatever their names.
     """
+    rows = _classes(docs, id_col, text_col, shingle, max_bits)
+    return rows.select(F.col("_id").alias(id_col), _digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """(_id, fp, root, component_id) of each row; root is the least fingerprint of its class."""
     if not 0 <= max_bits <= 2:
         raise ValueError("anchors within 2 find links of at most 2 bits")
     tune(docs.sparkSession)
@@ -174,31 +182,29 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     rooted = stage(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    stats = stage(rooted.join(least, "root").select("fp", "n", "component_id"), "classes")
-    out = attach(rows, stats, ["fp"], "n", rows.count())
-    return out.select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    stats = stage(rooted.join(least, "root").select("fp", "n", "root", "component_id"), "classes")
+    unstage(nodes, rooted)
+    return attach(rows, stats, ["fp"], "n", rows.count())
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_filter_bytes: int = 256 << 20, **options) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_filter_bytes: int = bloom.FILTER_BYTES, **options) -> DataFrame:
     """docs with one row of each near-duplicate class: that of the smallest id. All columns stay.
 
-    Rows with a null id stay; rows that repeat the id that stays are one row. Ids that go are
-    told by a Bloom filter where one of max_filter_bytes holds them, and by a join else.
+    Rows with a null id stay; rows of one class that repeat the id that stays are one row. A row
+    is told by its id and fingerprint. Rows whose id is surely not among those that go or repeat
+    pass a Bloom filter in the scan's own tasks; only the others work out their fingerprint again
+    and meet those pairs in a join. The filter is never larger than max_filter_bytes; past ten
+    bits an id it holds back more rows than it need, and the result is the same.
     """
-    groups = stage(simhash_groups(docs, id_col, text_col, **options), "near")
-    gone = stage(groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    n = gone.count()
-    here = lambda df: df.join(gone, df[id_col] == gone["_gone"], "left_anti").select(*docs.columns)
-    if n * GONE_BITS // 8 <= max_filter_bytes:
-        # Ids that are surely not among those that go stay in the scan's tasks, texts and all.
-        test = member_test(gone.select(F.xxhash64("_gone").alias("h")), n, GONE_BITS)
-        marked = docs.withColumn("_maybe", test(F.xxhash64(id_col)))
-        kept = marked.filter(~F.col("_maybe")).select(*docs.columns).unionByName(here(marked.filter("_maybe")))
-    else:
-        kept = here(docs)
-    twice = groups.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias("_twice"))
-    if not twice.head(1):
-        return kept
-    single = kept.join(twice, kept[id_col] == twice["_twice"], "left_anti")
-    more = kept.join(twice, kept[id_col] == twice["_twice"], "left_semi")
-    return single.unionByName(more.dropDuplicates([id_col]))
+    groups = stage(_classes(docs, id_col, text_col, **options).filter("_id is not null"), "near")
+    stay, own = groups.filter("_id = component_id"), [F.col("_id").alias("_judged_id"), F.col("fp").alias("_judged"), "root"]
+    again = stay.groupBy(F.col("root").alias("_again")).count().filter("count > 1").select("_again")
+    gone = groups.filter("_id <> component_id").select(*own, F.lit(True).alias("_goes"))
+    tops = stay.join(again, F.col("root") == F.col("_again")).select(*own, F.lit(False).alias("_goes"))
+    judged = stage(gone.unionByName(tops).distinct(), "judged")
+    unstage(groups)
+    once, some = bloom.split(docs, F.xxhash64(id_col), judged.select(F.xxhash64("_judged_id").alias("h")), judged.count(), max_filter_bytes)
+    some = packed(some, _id=F.col(id_col), _fp=fingerprint_udf(options.get("shingle", SHINGLE))(F.col(text_col)))
+    met = some.join(judged, (F.col("_id") == F.col("_judged_id")) & (F.col("_fp") == F.col("_judged")), "left")
+    free = met.filter(F.col("_goes").isNull()).select("_row.*")
+    return once.unionByName(free).unionByName(met.filter(~F.col("_goes")).dropDuplicates(["root"]).select("_row.*"))
