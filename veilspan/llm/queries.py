@@ -36,7 +36,7 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans.dedup_spans(_table(spark, sf_dir, "documents"), both_ways=True)
+    return _spans.dedup_spans(_table(spark, sf_dir, "documents"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 SQL: dict[str, str] = {}
 
 SQL["op1_lm_score"] = f"""
-WITH good AS (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL GROUP BY doc_id ORDER BY md5(CAST(doc_id AS VARCHAR)) LIMIT {_lm.TARGET_DOCS}),
+WITH good AS (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL GROUP BY doc_id),
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws FROM documents),
 t AS (SELECT doc_id, unnest(ws) AS w, unnest(list_prepend('', ws[1:len(ws) - 1])) AS v, doc_id IN (SELECT doc_id FROM good) AS good FROM w WHERE len(ws) > 0),
 one AS (SELECT w, count(*) AS cb, count(*) FILTER (good) AS ct FROM t GROUP BY w),
