@@ -26,14 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .blocks import exchange, ids_from_bytes, ids_to_bytes, narrow, pack, unpack
-from .common import parts_for, tune
+from .common import parts_for, stage, tune
 
 ALPHA, BETA = 10.0, 1.0
 KEY_BITS = 40
 PART_BYTES = 16 << 20
-#: The LIMIT in the query's SQL. The operator has no such bound: above it, SQL and operator differ.
-TARGET_DOCS = 20_000
 _START = 0  # slot of the start mark in every block
 
 
@@ -160,8 +159,12 @@ def score(docs: DataFrame, targets: DataFrame | Iterable, id_col: str = "doc_id"
     if not isinstance(targets, DataFrame):
         targets = docs.sparkSession.createDataFrame([(i,) for i in targets], f"target {kind}")
     named = targets.select(F.col(targets.columns[0]).alias("_target")).distinct()
-    marked = rows.join(named, F.col("id") == F.col("_target"), "left")
-    marked = marked.select(F.struct("id", F.col("_target").isNotNull().alias("target")).alias("id"), "text")
+    named = stage(named.filter(F.col("_target").isNotNull()), "targets")
+    # Only rows that may be targets meet the ids in a join; the other texts stay where they are.
+    other, some = bloom.split(rows, F.xxhash64("id"), named.select(F.xxhash64("_target").alias("h")), named.count())
+    some = some.join(named, F.col("id") == F.col("_target"), "left")
+    flagged = lambda df, is_target: df.select(F.struct("id", is_target.alias("target")).alias("id"), "text")
+    marked = flagged(other, F.lit(False)).unionByName(flagged(some, F.col("_target").isNotNull()))
     schema = f"id {kind}, n_tokens bigint, target_loss double, background_loss double, score double"
     out = exchange(marked, _make(n_parts), _answer, _summary, _fill(n_parts), schema, "lm")
     return out.withColumnRenamed("id", id_col)
