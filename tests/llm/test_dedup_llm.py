@@ -218,7 +218,7 @@ def brute_spans(rows):
     """Cleaned texts by comparing all runs' words."""
     seen, out = set(), {}
     for i, t in sorted({(i, t or "") for i, t in rows}, key=lambda x: (x[0] is not None, x[0] or 0)):
-        units = brute_sentences(t)
+        units = brute_sentences(t) if t.split() else [(t, [])]
         gone = [False] * len(units)
         for a in range(len(units) - 1):
             key = (tuple(units[a][1]), tuple(units[a + 1][1]))
