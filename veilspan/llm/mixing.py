@@ -18,7 +18,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, stage
+from .common import attach, packed, stage, unstage
 
 LEVELS = ("_domain", "_lang", "_source")
 BUCKET_ROWS = 1000
@@ -86,37 +86,49 @@ def budgets(counted: DataFrame, budget: int | None, fraction: tuple[int, int], w
     return out.select(*LEVELS, "_rows", "_supply", "_budget", F.expr("_budget div _supply").alias("_epochs"), F.expr("_budget % _supply").alias("_rest"))
 
 
+def _bucketed(rows: DataFrame, seed: int) -> DataFrame:
+    """rows with _h, and _bucket: the hash range of a document among those of its leaf."""
+    return rows.withColumn("_h", _hash(seed)).withColumn("_bucket", F.expr(f"_h * (_rows div {BUCKET_ROWS} + 1) div 4294967296"))
+
+
 def _hash(seed: int) -> Column:
     """32 bits for a document in the epoch after its leaf's whole ones."""
     key = F.concat_ws(":", F.lit(str(seed)), F.col("_epochs").cast("string"), F.coalesce(F.col("_id").cast("string"), F.lit(NONE)))
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, domain: Column, lang_col: str, source_col: str) -> DataFrame:
+def _levels(domain: Column, lang_col: str, source_col: str) -> dict[str, Column]:
     keys = [domain, F.col(lang_col), F.col(source_col)]
-    return docs.select(*docs.columns, F.col(id_col).alias("_id"), *(F.coalesce(k.cast("string"), F.lit(NONE)).alias(a) for k, a in zip(keys, LEVELS)), token_count(F.col(text_col)).alias("_n"))
+    return {a: F.coalesce(k.cast("string"), F.lit(NONE)) for k, a in zip(keys, LEVELS)}
 
 
-def _select(rows: DataFrame, leaves: DataFrame, total: int, seed: int, names: list[str]) -> DataFrame:
-    """rows (names, _id, LEVELS, _n) that the leaves' budgets take, with epoch and taken."""
+def _plan(counted: DataFrame, leaves: DataFrame, total: int, seed: int) -> DataFrame:
+    """leaves with the hash range that holds the cut of the last epoch, and the tokens before it."""
     keys = list(LEVELS)
-    slim = attach(rows.select("_id", *keys, "_n").filter("_n > 0"), leaves, keys, "_rows", total).filter("_rest > 0")
-    bucket = F.expr(f"_h * (_rows div {BUCKET_ROWS} + 1) div 4294967296")
-    sums = slim.withColumn("_h", _hash(seed)).withColumn("_bucket", bucket).groupBy(*keys, "_rest", "_bucket").agg(F.sum("_n").alias("_sum"))
+    slim = attach(counted.filter("_n > 0"), leaves, keys, "_rows", total).filter("_rest > 0")
+    sums = _bucketed(slim, seed).groupBy(*keys, "_rest", "_bucket").agg(F.sum("_n").alias("_sum"))
     so_far = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_bucket"))
     cut = sums.withColumn("_end", so_far).filter("_end >= _rest and _end - _sum < _rest")
     cut = cut.select(*keys, F.col("_bucket").alias("_cut"), (F.col("_end") - F.col("_sum")).alias("_before"))
-    plan = stage(leaves.join(cut, keys, "left"), "mix")
-
-    full = attach(rows.filter("_n > 0"), plan, keys, "_rows", total).filter("_budget > 0")
-    whole = full.filter("_epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_epochs") - 1))).withColumn("taken", F.col("_n"))
-    last = full.filter("_rest > 0").withColumn("_h", _hash(seed)).withColumn("_bucket", bucket).withColumn("epoch", F.col("_epochs"))
-    inside = last.filter("_bucket < _cut").withColumn("taken", F.col("_n"))
-    order = Window.partitionBy(*keys).orderBy("_h", "_id", "_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = last.filter("_bucket = _cut").withColumn("_ahead", F.sum("_n").over(order) - F.col("_n") + F.col("_before"))
+    return stage(leaves.join(cut, keys, "left"), "mix")
+
+
+def _select(rows: DataFrame, n: Column, some: Column, plan: DataFrame, total: int, seed: int) -> DataFrame:
+    """rows (with _id and LEVELS) that the plan takes, with _n, epoch and taken.
+
+    n is a row's number of tokens and `some` whether there is one: texts are counted once, after
+    it is known that the row is wanted. Only rows of the range that holds a cut are ordered.
+    """
+    full = _bucketed(attach(rows, plan, list(LEVELS), "_rows", total).filter(F.expr("_budget > 0") & some), seed)
+    times = F.col("_epochs") + F.when(F.expr("_rest > 0 and _bucket < _cut"), 1).otherwise(0)
+    whole = full.withColumn("_times", times).filter("_times > 0").withColumn("_n", n)
+    whole = whole.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1))).withColumn("taken", F.col("_n"))
+    order = Window.partitionBy(*LEVELS).orderBy("_h", "_id", "_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = full.filter("_rest > 0 and _bucket = _cut").withColumn("_n", n).withColumn("epoch", F.col("_epochs"))
+    edge = edge.withColumn("_ahead", F.sum("_n").over(order) - F.col("_n") + F.col("_before"))
     edge = edge.withColumn("taken", F.least(F.col("_n"), F.col("_rest") - F.col("_ahead"))).filter("taken > 0")
-    cols = [*names, *keys, "_n", "epoch", "taken"]
-    return whole.select(*cols).unionByName(inside.select(*cols)).unionByName(edge.select(*cols))
+    cols = [*dict.fromkeys([*rows.columns, "_n", "epoch", "taken"])]
+    return whole.select(*cols).unionByName(edge.select(*cols))
 
 
 def mix(docs: DataFrame, *, budget: int | None = None, fraction: tuple[int, int] = (3, 4), weights: Mapping[str, Mapping[str, int]] | None = None, max_epochs: int = 4, seed: int = 7,
@@ -132,14 +144,17 @@ def mix(docs: DataFrame, *, budget: int | None = None, fraction: tuple[int, int]
     With with_text, the rows are docs' own columns, once for each epoch, texts cut to what is
     taken; otherwise other columns are ignored, whatever their names.
     """
-    source = F.col(source_col)
-    rows = _keyed(docs, id_col, text_col, source_domain(source) if domain is None else domain, lang_col, source_col)
-    counted = stage(rows.select("_id", *LEVELS, "_n"), "counted")
+    levels = _levels(source_domain(F.col(source_col)) if domain is None else domain, lang_col, source_col)
+    own = [c.alias(k) for k, c in levels.items()]
+    counted = stage(docs.select(F.col(id_col).alias("_id"), *own, token_count(F.col(text_col)).alias("_n")), "counted")
     leaves = stage(budgets(counted, budget, fraction, weights or {}, max_epochs), "leaves")
     total = counted.count()
+    plan = _plan(counted, leaves, total, seed)
     if not with_text:
-        out = _select(counted, leaves, total, seed, ["_id"])
+        out = _select(counted, F.col("_n"), F.col("_n") > 0, plan, total, seed)
         return out.select(F.col("_id").alias(id_col), *(F.col(k).alias(k[1:]) for k in LEVELS), F.col("_n").alias("n_tokens"), "epoch", "taken")
-    out = _select(rows, leaves, total, seed, [*dict.fromkeys(docs.columns), "_id"])
-    cut = F.when(F.col("taken") < F.col("_n"), first_tokens(F.col(text_col), F.col("taken"))).otherwise(F.col(text_col))
-    return out.select(*(cut.alias(text_col) if c == text_col else F.col(c) for c in docs.columns), F.col("taken").alias("_taken"))
+    unstage(counted, leaves)
+    text = F.col("_row")[text_col]
+    out = _select(packed(docs, _id=F.col(id_col), **levels), token_count(text), F.coalesce(text.rlike(TOKEN), F.lit(False)), plan, total, seed)
+    cut = F.when(F.col("taken") < F.col("_n"), first_tokens(text, F.col("taken"))).otherwise(text)
+    return out.select(*((cut if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns), F.col("taken").alias("_taken"))
