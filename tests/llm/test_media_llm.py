@@ -38,6 +38,19 @@ def test_packets_round_trip(sizes):
     assert s.granules[-1] == len(sizes) - 1
 
 
+def test_every_packet_has_its_own_time(spark):
+    """Packets that end on one page: each ends where its own samples end."""
+    samples = ogg.text_payload(b"x" * 100_000)
+    (a, note), bad = ogg.demux(ogg.mux_samples(samples, b"n_bytes=100000"))
+    ends = [min(len(samples), k * ogg.PACKET) for k in range(1, -(-len(samples) // ogg.PACKET) + 1)]
+    assert a.granules == [0, *ends] and note.granules == [0, 1] and not bad
+    df = spark.createDataFrame([(1, bytearray(ogg.mux_samples(samples, b"n_bytes=100000")))], "doc_id long, media binary")
+    got = ogg.media_packets(df).filter("seconds is not null").orderBy("packet").collect()
+    assert [r["seconds"] for r in got] == [0, *(e / ogg.RATE for e in ends)] and b"".join(bytes(r["data"]) for r in got[1:]) == samples
+    unknown = ogg.paginate([b"head"], [0], 9, 0, ogg.FIRST) + ogg.paginate([b"a", b"b"], [5, 7], 9, 1, ogg.LAST)
+    assert ogg.demux(b"".join(unknown))[0][0].granules == [0, -1, 7]
+
+
 def test_damage_is_seen():
     samples = ogg.text_payload(b"x" * 200_000)
     data = bytearray(ogg.mux_samples(samples, b"n_bytes=200000"))

@@ -78,7 +78,7 @@ def mux_samples(samples: bytes, note: bytes) -> bytes:
 class Stream:
     serial: int
     packets: list[bytes] = field(default_factory=list)
-    #: Granule position of the page on which each packet ended, -1 where the page has none.
+    #: Granule position at the end of each packet, -1 where it cannot be told.
     granules: list[int] = field(default_factory=list)
     pages: int = 0
     gaps: int = 0
@@ -87,6 +87,21 @@ class Stream:
     _open: bytearray | None = None
     _next: int | None = None
 
+    def units(self, packet: bytes) -> int | None:
+        """How far a packet moves the granule position: a sample for each byte, or one for a note."""
+        return len(packet) if self.rate else 1 if self.packets[0] == NOTE_MAGIC else None
+
+    def settle(self, n: int, granule: int) -> None:
+        """Positions of the n packets that ended on a page: the page's own belongs to the last
+        of them, and the others are counted back from it."""
+        at: int | None = granule if granule >= 0 else None
+        ends = []
+        for p in self.packets[len(self.packets) - n :][::-1]:
+            ends.append(-1 if at is None else at)
+            step = self.units(p)
+            at = None if at is None or step is None else at - step
+        self.granules += ends[::-1]
+
     @property
     def rate(self) -> int:
         head = self.packets[0] if self.packets else b""
@@ -122,7 +137,7 @@ def demux(data: bytes) -> tuple[list[Stream], int]:
             s.gaps, s._open = s.gaps + 1, None
         s._next = number + 1
         lost = bool(flags & CONTINUED) and s._open is None
-        pos, run = 27 + n, 0
+        pos, run, before = 27 + n, 0, len(s.packets)
         for lace in laces:
             run += lace
             if lace == 255:
@@ -133,10 +148,10 @@ def demux(data: bytes) -> tuple[list[Stream], int]:
                 lost = False
                 continue
             s.packets.append(bytes(s._open) + piece if s._open is not None else piece)
-            s.granules.append(granule)
             s._open = None
         if n and laces[-1] == 255 and not lost:
             s._open = (s._open or bytearray()) + page[pos : pos + run]
+        s.settle(len(s.packets) - before, granule)
         at += size
     return list(streams.values()), bad
 
@@ -149,12 +164,13 @@ def samples_of(streams: list[Stream]) -> bytes | None:
 
 
 def feature(streams: list[Stream], bad: int) -> str:
-    """What the container and its samples say, as text: streams, packets, pages, time and signal."""
+    """What the container and its samples say, as text: streams, packets, pages, time, signal,
+    and a checksum of every packet's position in time."""
     parts = [f"streams={len(streams)}", f"bad_pages={bad}"]
     for s in streams:
         rate, last = s.rate, max(s.granules, default=0)
         if rate:
-            parts.append(f"pages={s.pages};packets={len(s.packets)};gaps={s.gaps};ms={last * 1000 // rate}")
+            parts.append(f"pages={s.pages};packets={len(s.packets)};gaps={s.gaps};ms={last * 1000 // rate};ends={zlib.crc32(np.array(s.granules, '<i8').tobytes())}")
     x = np.frombuffer(samples_of(streams) or b"", np.uint8)
     if len(x):
         up = x >= 128
@@ -184,8 +200,10 @@ def with_media(docs: DataFrame, text_col: str = "text", out_col: str = "media")
 def media_packets(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """One row per packet: id_col, serial, packet (from 0), granule, seconds, data.
 
-    Null media and bytes without a sound page give no rows. seconds is null where the stream
-    has no rate or the packet's page has no granule position.
+    granule is the position at the packet's end: the page's own for the last packet that ends on
+    it, counted back by the packets' samples for those before, -1 where that cannot be told.
+    seconds is null where the stream has no rate or there is no position. Null media and bytes
+    without a sound page give no rows.
     """
     tune(media.sparkSession)
 
