@@ -29,7 +29,8 @@ from .bpe import load_tokenizer
 from .common import give_back, parts_for, scratch_path, tune
 
 END_ID = 1
-FILE_BYTES = 16 << 20
+#: Text bytes of a file, at least, and files of a table, at most: past that, files grow.
+FILE_BYTES, MOST_FILES = 16 << 20, 100_000
 #: Text bytes encoded at a time, and words in a worker's memo; it is emptied once there are more.
 STEP_BYTES, MEMO = 4 << 20, 1_000_000
 
@@ -112,21 +113,23 @@ def _resolve_pieces(tokenizer: str):
         plain, rest = [], []
         for i, p in enumerate(pieces):
             (plain if _is_plain(p) else rest).append(i)
-        flat, lengths = [], []
+        flat, lengths, order = [], [], []
         for k in range(0, len(plain), 1 << 14):
             part = [pieces[i] for i in plain[k : k + (1 << 14)]]
             ids = np.concatenate([np.array(e.ids, "<i4") for e in t.encode_batch_fast([" ".join(part[a : a + 128]) for a in range(0, len(part), 128)], add_special_tokens=False)])
             cuts = np.nonzero(ends[ids])[0] + 1
-            if len(cuts) != len(part):
-                raise ValueError("a word did not end where its letters do")
-            flat.append(ids)
-            lengths.append(np.diff(cuts, prepend=0))
+            if len(cuts) == len(part):
+                order += plain[k : k + (1 << 14)]
+                flat.append(ids)
+                lengths.append(np.diff(cuts, prepend=0))
+            else:  # some word did not end where its letters do: one by one
+                rest += plain[k : k + (1 << 14)]
         for k in range(0, len(rest), 4096):
             ids, n = _flat([e.ids for e in t.encode_batch_fast([pieces[i] for i in rest[k : k + 4096]], add_special_tokens=False)])
             flat.append(ids)
             lengths.append(n)
         n = np.concatenate(lengths)
-        back = np.argsort(np.array([*plain, *rest]), kind="stable")
+        back = np.argsort(np.array([*order, *rest]), kind="stable")
         return np.concatenate(flat)[gather((np.cumsum(n) - n)[back], n[back])], n[back]
 
     return run
@@ -213,17 +216,20 @@ def _rows(tokenizer: str, id_type: pa.DataType):
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> None:
     """Write docs' token ids, each with END_ID after it, to a folder of Parquet files.
 
     Columns: id_col, shard (the file's place in ascending id order), before (ids of the same
     file's earlier documents), n_tokens, tokens. Null text counts as empty, null ids come
-    first, repeated ids stay next to one another. Other columns are ignored.
+    first; rows of one id stand next to one another in order of a hash of the text, then the
+    text, so a task that is run again writes the same rows at the same places. A file holds about
+    file_bytes of text, more where that would make over MOST_FILES files. Other columns are ignored.
     """
     tune(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     kind = rows.schema["id"].dataType
-    sorted_rows = rows.repartitionByRange(parts_for(docs, FILE_BYTES, 1), "id").sortWithinPartitions("id")
+    n_files = min(parts_for(docs, file_bytes, 1), MOST_FILES)
+    sorted_rows = rows.repartitionByRange(n_files, "id", "h").sortWithinPartitions("id", "h", "text").drop("h")
     out = sorted_rows.mapInArrow(_rows(tokenizer, to_arrow_type(kind)), f"id {kind.simpleString()}, shard int, before bigint, n_tokens bigint, tokens array<int>")
     out.withColumnRenamed("id", id_col).write.options(**LAYOUT).parquet(path)
 
@@ -240,7 +246,8 @@ def token_starts(spark: SparkSession, path: str, id_col: str = "doc_id") -> Data
     """Per stored document: id_col, start, n_tokens, ids_crc32, read from the files.
 
     start counts the ids of all documents before it: the files' totals are summed from the
-    metadata columns (one row per file), and each row adds its own offset in its file.
+    metadata columns (one row per file, MOST_FILES at most), and each row adds its own offset
+    in its file.
     """
     from pyspark.sql import Window
 
