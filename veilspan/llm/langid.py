@@ -31,8 +31,12 @@ _LETTER = np.array([chr(i).isalpha() for i in range(0x3000)])
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, counts) of the text's letter trigrams, words padded by gaps."""
     total: np.ndarray | None = None
-    for k in range(0, len(text), _CHUNK):  # chunks overlap by two characters
-        c = np.frombuffer(text[max(0, k - 2) : k + _CHUNK].lower().encode("utf-32-le", "replace"), "<u4")
+    end = 0
+    while end < len(text):  # a chunk ends between words, so no trigram spans two
+        start, end = end, end + _CHUNK
+        while end < len(text) and text[end - 1] not in " \t\n\r":
+            end += 1
+        c = np.frombuffer(text[start:end].lower().encode("utf-32-le", "replace"), "<u4")
         c = np.where(_LETTER[np.minimum(c, 0x2FFF)] | (c >= 0x3000), c, 0)
         c = np.concatenate([[0], c, [0]]).astype(np.uint64)
         c = c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]
