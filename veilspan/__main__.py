@@ -22,7 +22,7 @@ def benchmark(spark: SparkSession, a: argparse.Namespace) -> None:
     from .sources.reports import format_gate, format_scores
 
     pred, gold = spark.read.parquet(a.pred), spark.read.parquet(a.gold)
-    counts = matching.label_counts(pred, gold, matching.assigned(matching.pairs(pred, gold))).cache()
+    counts = matching.label_counts(matching.outcomes(pred, gold)).cache()
     rows = [r.asDict() | {"method": a.method} for r in matching.with_scores(counts).orderBy("label").collect()]
     rows += [r.asDict() | {"method": a.method, "label": r["labels"]} for r in matching.overall(counts).collect()]
     report = format_scores(rows, "benchmark")

@@ -75,9 +75,11 @@ def clean_counts(records: DataFrame, problems: DataFrame, key: str = "doc_id") -
     return records.select(key).join(bad, key, "left").groupBy(F.col("_bad").isNull().alias("is_clean")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def shards(lines: DataFrame, total: int, pieces: int = 8, line_col: str = "line") -> DataFrame:
-    """lines with a shard: contiguous slices of ceil(total / pieces) lines."""
-    return lines.withColumn("shard", F.floor(F.col(line_col) / F.lit(-(-total // pieces))).cast("int"))
+def shards(lines: DataFrame, total: int | DataFrame, pieces: int = 8, line_col: str = "line") -> DataFrame:
+    """lines with a shard: contiguous slices of ceil(total / pieces) lines. total is a number, or
+    a table of one number, which is then worked out in the same query."""
+    n = total.scalar() if isinstance(total, DataFrame) else F.lit(total)
+    return lines.withColumn("shard", F.floor(F.col(line_col) / F.ceil(n / F.lit(pieces))).cast("int"))
 
 
 def report_ranks(lines: DataFrame, order_col: str = "line", bucket: int = 1 << 16) -> DataFrame:

@@ -81,8 +81,9 @@ def customer_of(name: Column) -> Column:
 
 
 def file_names(lines: DataFrame, files: DataFrame, missing: str = "(unmatched)") -> DataFrame:
-    """lines (line, input) with the file whose input is the same text, or `missing`."""
-    own = files.select(F.col("input").alias("_in"), F.xxhash64("input").alias("_h"), "file")
+    """lines (line, input) with the file whose input is the same text, or `missing`. Of several
+    files with that text the last by name counts, so each line stays one row."""
+    own = files.groupBy(F.xxhash64("input").alias("_h"), F.col("input").alias("_in")).agg(F.max("file").alias("file"))
     hashed = lines.withColumn("_k", F.xxhash64("input"))
     joined = hashed.join(own, (hashed["_k"] == own["_h"]) & hashed["input"].eqNullSafe(own["_in"]), "left")
     return joined.select(*lines.columns, F.coalesce("file", F.lit(missing)).alias("file"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
+from ..functions.text import let
 from .vocab import BASE, CANON, match_group
 
 
@@ -15,55 +16,95 @@ def cleaned(text: Column) -> Column:
 
 def match_quality(pred: Column, gold: Column) -> Column:
     """2 if equal when cleaned, the ratio of lengths if one holds the other, else -1."""
-    p, g = cleaned(pred), cleaned(gold)
+    return _quality(cleaned(pred), cleaned(gold))
+
+
+def _quality(p: Column, g: Column) -> Column:
     n, m = F.length(p), F.length(g)
     ratio = F.least(n, m) / F.nullif(F.greatest(n, m), F.lit(0)).cast("double")
     return F.when((n == 0) | (m == 0), -1.0).when(p == g, 2.0).when(g.contains(p) | p.contains(g), ratio).otherwise(-1.0)
 
 
-def pairs(pred: DataFrame, gold: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Possible matches: pred (key, i, text, label) with gold (key, j, text, label) of the same
-    call and group and positive quality. An equi-join on call and group; one call is small."""
-    p = pred.select(key, "i", F.col("text").alias("pred_text"), F.col("label").alias("pred_label"), match_group(F.col("label")).alias("_g"))
-    g = gold.select(key, "j", F.col("text").alias("gold_text"), F.col("label").alias("gold_label"), match_group(F.col("label")).alias("_g"))
-    both = p.join(g, [key, "_g"]).withColumn("quality", match_quality(F.col("pred_text"), F.col("gold_text")))
-    return both.filter("quality > 0").drop("_g")
+PAIR = "struct<k:double,i:int,j:int,pred_label:string,gold_label:string>"
 
 
-def assigned(found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The pairs a greedy pass keeps: best quality first, then order of prediction and gold."""
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("quality")).alias("k"), "i", "j", "pred_label", "gold_label", "quality")))
-    kind = "array<struct<k:double,i:int,j:int,pred_label:string,gold_label:string,quality:double>>"
+def outcomes(pred: DataFrame, gold: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row per call: key and out, a struct of arrays.
+
+    pairs: possible matches, pred (key, i, text, label) with gold (key, j, text, label) of the
+    same group and positive quality, best first, then in order of prediction and gold (k is
+    minus the quality). hits: those a greedy pass keeps. fp (i, label) and fn (j, label): what
+    no kept pair holds. Each side is grouped by call once, and a call is matched in one row, so
+    nothing shuffles again. A null key meets nothing.
+    """
+    own = lambda n: F.struct(F.col(n).cast("int").alias("n"), cleaned(F.col("text")).alias("t"), "label", match_group(F.col("label")).alias("g"))
+    p = pred.groupBy(key).agg(F.collect_list(own("i")).alias("_p"))
+    g = gold.groupBy(key).agg(F.collect_list(own("j")).alias("_g"))
+    none = F.array().cast("array<struct<n:int,t:string,label:string,g:string>>")
+    both = p.join(g, key, "full").select(key, F.coalesce("_p", none).alias("_p"), F.coalesce("_g", none).alias("_g"))
+
+    def met(x: Column, y: Column) -> Column:
+        return F.struct((-_quality(x["t"], y["t"])).alias("k"), x["n"].alias("i"), y["n"].alias("j"), x["label"].alias("pred_label"), y["label"].alias("gold_label"))
+
+    def of(x: Column) -> Column:
+        return F.filter(F.transform(F.filter("_g", lambda y: y["g"] == x["g"]), lambda y: met(x, y)), lambda m: m["k"] < 0)
 
     def step(kept: Column, c: Column) -> Column:
         return F.when(F.exists(kept, lambda k: (k["i"] == c["i"]) | (k["j"] == c["j"])), kept).otherwise(F.array_append(kept, c))
 
-    best = found.groupBy(key).agg(ordered.cast(kind).alias("_c"))
-    return best.select(key, F.explode(F.aggregate("_c", F.array().cast(kind), step)).alias("m")).select(key, "m.i", "m.j", "m.pred_label", "m.gold_label", "m.quality")
+    def left(side: str, taken: Column, name: str) -> Column:
+        rest = F.filter(side, lambda x: ~F.exists(taken, lambda h: h[name] == x["n"]))
+        return F.transform(rest, lambda x: F.struct(x["n"].alias(name), x["label"].alias("label")))
+
+    def settled(pairs: Column) -> Column:
+        hits = F.aggregate(pairs, F.array().cast(f"array<{PAIR}>"), step)
+        return let(hits, lambda h: F.struct(pairs.alias("pairs"), h.alias("hits"), left("_p", h, "i").alias("fp"), left("_g", h, "j").alias("fn")))
+
+    pairs = F.array_sort(F.flatten(F.transform("_p", of))).cast(f"array<{PAIR}>")
+    return both.select(key, let(pairs, settled).alias("out"))
+
 
+def _listed(found: DataFrame, what: str, key: str) -> DataFrame:
+    return found.select(key, F.explode(F.col("out")[what]).alias("m"))
 
-def unmatched(pred: DataFrame, gold: DataFrame, kept: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(false positives, false negatives)."""
-    return pred.join(kept, [key, "i"], "left_anti"), gold.join(kept, [key, "j"], "left_anti")
 
+def pairs(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, i, j, pred_label, gold_label, quality of every possible match of outcomes."""
+    return _listed(found, "pairs", key).select(key, "m.i", "m.j", "m.pred_label", "m.gold_label", (-F.col("m.k")).alias("quality"))
 
-def label_counts(pred: DataFrame, gold: DataFrame, kept: DataFrame, key: str = "doc_id") -> DataFrame:
+
+def assigned(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The same columns of the pairs that were kept."""
+    return _listed(found, "hits", key).select(key, "m.i", "m.j", "m.pred_label", "m.gold_label", (-F.col("m.k")).alias("quality"))
+
+
+def unmatched(found: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(false positives: key, i, label; false negatives: key, j, label)."""
+    return _listed(found, "fp", key).select(key, "m.i", "m.label"), _listed(found, "fn", key).select(key, "m.j", "m.label")
+
+
+def label_counts(found: DataFrame) -> DataFrame:
     """label, tp, fp, fn: hits and misses by gold label, false alarms by predicted label."""
-    fp, fn = unmatched(pred, gold, kept, key)
-    one = lambda df, col, k: df.select(F.col(col).alias("label"), *(F.lit(int(x == k)).alias(x) for x in ("tp", "fp", "fn")))
-    rows = one(kept, "gold_label", "tp").unionByName(one(fp, "label", "fp")).unionByName(one(fn, "label", "fn"))
-    return rows.groupBy("label").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+    one = lambda arr, label, k: F.transform(arr, lambda m: F.struct(m[label].alias("label"), *(F.lit(int(x == k)).alias(x) for x in ("tp", "fp", "fn"))))
+    every = F.concat(one("out.hits", "gold_label", "tp"), one("out.fp", "label", "fp"), one("out.fn", "label", "fn"))
+    return found.select(F.explode(every).alias("x")).groupBy("x.label").agg(*(F.sum(f"x.{c}").alias(c) for c in ("tp", "fp", "fn")))
+
+
+def rounded(x: Column, places: int = 4) -> Column:
+    """x to so many places by its exact binary value, ties to even, as Python rounds; Spark's
+    own rounding goes by the decimal print (3/160, just below 0.01875, would become 0.0188)."""
+    return F.format_number(x, places).try_cast("double")
 
 
 def _ratio(a: Column, b: Column) -> Column:
-    return F.when(b > 0, F.bround(a / b.cast("double"), 4)).otherwise(0.0)
+    return F.when(b > 0, rounded(a / b.cast("double"))).otherwise(0.0)
 
 
 def with_scores(counts: DataFrame, beta: float = 2.0) -> DataFrame:
     """counts (tp, fp, fn) with precision and recall to 4 places, F1 from those, F-beta."""
     p, r, b2 = F.col("precision"), F.col("recall"), beta * beta
     df = counts.withColumn("precision", _ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", _ratio(F.col("tp"), F.col("tp") + F.col("fn")))
-    df = df.withColumn("f1", F.when(p + r > 0, F.bround(2 * p * r / (p + r), 4)).otherwise(0.0))
+    df = df.withColumn("f1", F.when(p + r > 0, rounded(2 * p * r / (p + r))).otherwise(0.0))
     return df.withColumn("f_beta", F.when(p + r > 0, (1 + b2) * p * r / (b2 * p + r)).otherwise(0.0))
 
 
@@ -81,9 +122,8 @@ def overall(counts: DataFrame) -> DataFrame:
     return with_scores(rows[0].unionByName(rows[1]))
 
 
-def nric_protection(gold: DataFrame, kept: DataFrame, key: str = "doc_id") -> DataFrame:
+def nric_protection(found: DataFrame) -> DataFrame:
     """nric_total: calls with a gold NRIC; nric_protected: those where one of them was caught."""
-    own = gold.filter("label = 'SG_NRIC_FIN'")
-    hit = kept.select(key, "j").withColumn("_hit", F.lit(1))
-    calls = own.join(hit, [key, "j"], "left").groupBy(key).agg(F.count("_hit").alias("hits"))
-    return calls.agg(F.count(F.lit(1)).alias("nric_total"), F.count_if(F.col("hits") > 0).alias("nric_protected"))
+    caught = F.exists("out.hits", lambda h: h["gold_label"] == "SG_NRIC_FIN")
+    there = caught | F.exists("out.fn", lambda m: m["label"] == "SG_NRIC_FIN")
+    return found.select(there.alias("there"), caught.alias("caught")).agg(F.count_if("there").alias("nric_total"), F.count_if("caught").alias("nric_protected"))
