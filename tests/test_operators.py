@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions import fixed as X
 from veilspan.functions import text as T
-from veilspan.operators import corpus, leaks, matching, methods, normalize, predicates, recognizers, redact, vocab, windows
+from veilspan.operators import corpus, leaks, losses, matching, methods, normalize, predicates, recognizers, redact, vocab, windows
 
 
 def one(spark, column):
@@ -132,9 +132,10 @@ def test_match_quality(spark):
 def test_greedy_assignment_prefers_quality(spark):
     pred = spark.createDataFrame([(1, 0, "610", "SG_POSTAL_CODE"), (1, 1, "610045", "SG_ADDRESS")], "doc_id long, i int, text string, label string")
     gold = spark.createDataFrame([(1, 0, "610045", "SG_POSTAL_CODE"), (1, 1, "610045 x", "SG_ADDRESS")], "doc_id long, j int, text string, label string")
-    kept = matching.assigned(matching.pairs(pred, gold))
+    found = matching.outcomes(pred, gold)
+    kept = matching.assigned(found)
     assert sorted((r["i"], r["j"]) for r in kept.collect()) == [(0, 1), (1, 0)]
-    counts = {r["label"]: (r["tp"], r["fp"], r["fn"]) for r in matching.label_counts(pred, gold, kept).collect()}
+    counts = {r["label"]: (r["tp"], r["fp"], r["fn"]) for r in matching.label_counts(found).collect()}
     assert counts == {"SG_POSTAL_CODE": (1, 0, 0), "SG_ADDRESS": (1, 0, 0)}
 
 
@@ -144,6 +145,50 @@ def test_scores_round_half_even(spark):
     assert a["precision"] == 0.0312 and a["recall"] == 1.0 and b["f1"] == 0.0 and b["f_beta"] == 0.0
 
 
+def test_ratios_round_as_python_does(spark):
+    pairs = [(a, b) for b in range(1, 401) for a in range(b + 1)]
+    df = spark.createDataFrame(pairs, "a int, b int").repartition(4)
+    got = df.select("a", "b", matching.rounded(F.col("a") / F.col("b")).alias("r")).collect()
+    assert len(got) == len(pairs) and all(r["r"] == round(r["a"] / r["b"], 4) for r in got)
+
+
+def test_matching_of_odd_calls(spark):
+    """Calls on one side only, null texts and labels, and repeated values."""
+    pred = spark.createDataFrame([(1, 0, None, "EMAIL_ADDRESS"), (2, 0, "x", "FULL_NAME"), (2, 1, "x", "FULL_NAME"), (None, 0, "x", "FULL_NAME")], "doc_id long, i int, text string, label string")
+    gold = spark.createDataFrame([(2, 0, "X", "FULL_NAME"), (3, 0, "y", None), (None, 0, "x", "FULL_NAME")], "doc_id long, j int, text string, label string")
+    found = matching.outcomes(pred, gold)
+    fp, fn = matching.unmatched(found)
+    key = lambda rows: sorted(((r[0], r[1]) for r in rows.collect()), key=str)
+    assert key(matching.assigned(found)) == [(2, 0)] and key(fp) == [(1, 0), (2, 1), (None, 0)] and key(fn) == [(3, 0), (None, 0)]
+
+
+def test_long_series_by_ranges(spark, monkeypatch):
+    """Smoothing and trend are the same however small the ranges are."""
+    rng = random.Random(2)
+    rows = [(k, i, float(rng.randint(0, 99))) for k in "ab" for i in range(0, 900, 3)] + [("c", i, 9.0 - i) for i in range(5)] + [("d", 4, 1.0)]
+    df = spark.createDataFrame(rows, "k string, i long, v double")
+    want = {}
+    for name, i, _ in rows:
+        own = [x for n, j, x in rows if n == name and j <= i][-7:]
+        want[name, i] = sum(own) / len(own)
+    monkeypatch.setattr(losses, "smoothing_span", lambda n: 6)
+    for size in (1 << 16, 40):
+        monkeypatch.setattr(losses, "RANGE", size)
+        monkeypatch.setattr(losses, "BLOCK", size)
+        got = {(r["k"], r["i"]): r["smooth"] for r in losses.smoothed(df, "i", "v", 300, ["k"]).collect()}
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+        best = {r["k"]: tuple(r)[1:] for r in losses.best_epoch(df, "i", "v", ["k"]).collect()}
+        assert best["c"] == (4, 5.0, "descending") and best["d"] == (4, 1.0, "descending") and best["a"][2] == "oscillating"
+        assert best["a"][:2] == min((v, i) for n, i, v in rows if n == "a")[::-1]
+
+
+def test_street_after_long_words(spark):
+    words = " ".join(["w" * 60] * 4)
+    spans = lambda t: one(spark, recognizers.REGISTRY[-2].spans(F.lit(t)))
+    (m,) = spans(f"go, {words} Street 21")
+    assert (m["s"], m["e"]) == (4, 94)
+
+
 def test_residual_rule_skips_tags_and_toll_free(spark):
     df = spark.createDataFrame([(1, "ok <SG_PHONE_NUMBER> 1-800-6123-4567 S1234567A"), (2, "9123 4567"), (3, None)], "line int, redacted string")
     got = sorted((r["line"], r["type"]) for r in leaks.residual_leaks(df).collect())

@@ -36,7 +36,9 @@ def _address_signal(w: Column) -> Column:
 def _unit_score(text: Column, m: Column) -> Column:
     """Null rejects: measures and cards nearby, chains of hyphens, the shop name 7-11."""
     s, e = m["s"], m["e"]
-    left = F.regexp_extract(cut(text, F.lit(0), s), r"[0-9\- #]*$", 0)
+    # The run of such characters before the span is what trimming them off takes away.
+    head = cut(text, F.lit(0), s)
+    left = F.substring(head, F.length(F.rtrim(head, F.lit("0123456789- #"))) + 1, F.lit(1 << 30))
     right = F.regexp_extract(F.substring(text, e + 1, F.lit(1 << 30)), r"^[0-9\- #]*", 0)
     hyphens = F.length(F.regexp_replace(F.concat(left, cut(text, s, e), right), "[^-]", ""))
     before = cut(text, F.greatest(F.lit(0), s - 3), s)
@@ -78,8 +80,9 @@ class StreetRecognizer(Recognizer):
     """A street around a suffix word: up to four words before it (two after a lead-in), two
     after it and road numbers behind those, not past punctuation, line ends or stop words.
 
-    Words are runs of word characters, other characters stand alone. Only the neighbourhood of
-    a suffix is cut into words: a street has at most 90 characters.
+    Words are runs of word characters, other characters stand alone. First the neighbourhood of
+    a suffix is cut into words; where long words leave fewer than seven whole ones before it, all
+    the text before. A street has at most 90 characters, so REACH is enough behind it.
     """
 
     def spans(self, text: Column) -> Column:
@@ -94,8 +97,13 @@ class StreetRecognizer(Recognizer):
 
         def street(m: Column) -> Column:
             base = F.greatest(F.lit(0), m["s"] - REACH)
-            left, right = cut(text, base, m["s"]), cut(text, m["e"], m["e"] + REACH)
-            return let(F.reverse(words(left)), lambda before: let(words(right), lambda after: extent(m, base, before, after)))
+            near = F.struct(base.alias("base"), F.reverse(words(cut(text, base, m["s"]))).alias("w"))
+            return let(let(near, lambda x: seven(m, x)), lambda b: let(words(cut(text, m["e"], m["e"] + REACH)), lambda after: extent(m, b["base"], b["w"], after)))
+
+        def seven(m: Column, x: Column) -> Column:
+            # Eight words near by hold seven whole ones; where there are fewer, all that is before counts.
+            every = F.struct(F.lit(0).alias("base"), F.reverse(words(cut(text, F.lit(0), m["s"]))).alias("w"))
+            return F.when((x["base"] == 0) | (F.size(x["w"]) > 7), x).otherwise(every)
 
         def extent(m: Column, base: Column, before: Column, after: Column) -> Column:
             open7 = F.slice(before, 1, _token_run(F.slice(before, 1, 7), 7, lambda w: ~boundary(w["t"])))

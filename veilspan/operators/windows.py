@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -212,17 +213,29 @@ class Detector(Protocol):
     def extract(self, texts: list[str], labels: list[str], threshold: float) -> list[list[tuple[str, int, int, float]]]: ...
 
 
+_MODELS: dict[str, Detector] = {}
+
+
+def loaded(name: str, load: Callable[[], Detector]) -> Detector:
+    """The model of that name in this worker process; it is loaded for the first task that asks."""
+    if name not in _MODELS:
+        _MODELS[name] = load()
+    return _MODELS[name]
+
+
 def model_spans(df: DataFrame, load: Callable[[], Detector], labels: list[str], id_col: str = "doc_id", text_col: str = "text", threshold: float = X.THRESHOLD, size: int = X.WINDOW_CHARS, overlap: int = X.WINDOW_OVERLAP) -> DataFrame:
     """(id, predictions) of a model run over every window in Arrow batches.
 
-    load is called once in each worker. Predictions are canonical spans over the normalized
+    load is called once in each worker process, whatever tasks it runs. Predictions are canonical spans over the normalized
     text, fit for replay_detector; a label the vocabulary does not know is an error.
     """
     ship(df.sparkSession)
-    names = {x[0]: x[1] for x in X.LABELS}
+    names, name = {x[0]: x[1] for x in X.LABELS}, uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load()
+        from veilspan.operators.windows import loaded as shared  # the worker's own module, not a copy sent along
+
+        model = shared(name, load)
         kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("label", pa.string()), ("conf", pa.float64())]))
         for b in batches:
             texts, offs = b.column(1).to_pylist(), b.column(2).to_pylist()

@@ -16,6 +16,9 @@ from ..functions.text import clean_marks, cut, spans_of
 from ..operators import corpus, leaks, losses, matching, normalize, predicates, redact, windows
 from ..operators import recognizers as rec
 from ..operators.vocab import CANON
+from ..session import scratch_path
+from ..sources import corpus_files as files
+from ..sources.reports import escaped
 from .calls import FULL, calls, calls_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,16 +174,20 @@ def rule_predictions(spark, sf_dir):
 
 # Predicates
 
-_VALUES = ["S1234567A", "S117", "5842H", "840D", "22289.53", "$4 plus", "502P", "91234567", "12", "01208", "mailing address", "user at mail dot com", "x@sbgroup.com", "Blk 45", "four", "one two", "610 045", "G 1234567-M", "a.com", "unit number", "email", "Tan Ah Kow", "agent", "SPEAKER_01", "speaker_x", "full name", "#05-123", "Toa Payoh Lorong 4"]
-_VALUES_SQL = "SELECT unnest([" + ", ".join(f"'{v}'" for v in _VALUES) + "]) AS v"
-_LABELS_SQL = "SELECT unnest([" + ", ".join(f"'{v}'" for v in CANON) + "]) AS label"
-#: Every value with a number of its own from the orders table, so the tables stay in play.
-_CAND_SQL = f"WITH c AS (SELECT o.k, v, label FROM (SELECT DISTINCT o_orderkey % 3 AS k FROM orders) o, ({_VALUES_SQL}) a, ({_LABELS_SQL}) b)"
+#: Values of every call, whole, in parts and bent; the label beside each turns with the call.
+_VALUES = [
+    "name", "nric", "account", "block", "area", "unit", "postal", "phone", "email", "spoken", "substr(nric, 1, 4)", "substr(nric, 6)", "substr(account, 1, 3)",
+    "lower(nric)", "substr(postal, 1, 3) || ' ' || substr(postal, 4)", "'$' || account", "postal || '.53'", "substr(digits, 1, 3) || 'P'", "block || ' ' || area",
+    "'SPEAKER_0' || CAST(doc_id % 10 AS STRING)", "'speaker_x'", "'agent'", "'mailing address'", "'email'", "'unit number'", "'full name'", "'user at mail dot com'", "'x@sbgroup.com'",
+]
+_LABELS_SQL = "[" + ", ".join(f"'{v}'" for v in CANON) + "]"
+_CAND_SQL = f"{WITH}, c AS (SELECT doc_id, i, v, {_LABELS_SQL}[CAST((doc_id + i) % {len(CANON)} AS INTEGER) + 1] AS label FROM (SELECT doc_id, unnest(range({len(_VALUES)})) AS i, unnest([{', '.join(_VALUES)}]) AS v FROM calls))"
 
 
 def _cands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 3).alias("k")).distinct()
-    return keys.select("k", F.explode(F.array(*map(F.lit, _VALUES))).alias("v")).select("k", "v", F.explode(F.array(*map(F.lit, CANON))).alias("label"))
+    df = calls(spark, sf_dir).select("doc_id", F.posexplode(F.array(*map(F.expr, _VALUES))).alias("i", "v"))
+    label = F.element_at(F.array(*map(F.lit, CANON)), ((F.col("doc_id") + F.col("i")) % len(CANON)).cast("int") + 1)
+    return df.select("doc_id", F.col("i").cast("long").alias("i"), "v", label.alias("label"))
 
 
 _D = "length(regexp_replace(v, '[^0-9]', '', 'g'))"
@@ -193,80 +200,78 @@ _VALID_SQL = f"""CASE label
   WHEN 'SG_ADDRESS_UNIT' THEN {_D} >= 1 WHEN 'SG_ADDRESS_BLOCK' THEN {_D} >= 1 ELSE true END""".replace("{{", "{").replace("}}", "}")
 
 
-@query(f"{_CAND_SQL} SELECT k, v, label, {_VALID_SQL} AS ok FROM c")
+@query(f"{_CAND_SQL} SELECT doc_id, i, label, {_VALID_SQL} AS ok FROM c")
 def pred_validity_by_label(spark, sf_dir):
-    return _cands(spark, sf_dir).withColumn("ok", predicates.valid(F.col("v"), F.col("label")))
+    return _cands(spark, sf_dir).select("doc_id", "i", "label", predicates.valid(F.col("v"), F.col("label")).alias("ok"))
 
 
-@query(f"{_CAND_SQL} SELECT k, v, label, CASE label WHEN 'SG_ADDRESS_UNIT' THEN k >= 1.5 WHEN 'SG_ADDRESS_BLOCK' THEN k >= 1.94 ELSE k >= 0.7 END AS ok FROM c")
+@query(f"{_CAND_SQL} SELECT doc_id, i, label, CASE label WHEN 'SG_ADDRESS_UNIT' THEN conf >= 0.75::DOUBLE WHEN 'SG_ADDRESS_BLOCK' THEN conf >= 0.97::DOUBLE ELSE conf >= 0.35::DOUBLE END AS ok FROM (SELECT *, (doc_id % 101)::DOUBLE / 100::DOUBLE AS conf FROM c)")
 def pred_threshold_override(spark, sf_dir):
-    """Confidence is half of k."""
-    return _cands(spark, sf_dir).withColumn("ok", F.col("k") / F.lit(2.0) >= predicates.least_confidence(F.col("label")))
+    """Confidence is the call's number modulo 101, in hundredths."""
+    enough = (F.col("doc_id") % 101) / F.lit(100.0) >= predicates.least_confidence(F.col("label"))
+    return _cands(spark, sf_dir).select("doc_id", "i", "label", enough.alias("ok"))
 
 
 _ALNUM = "length(regexp_replace(v, '[^A-Za-z0-9]', '', 'g'))"
 _NW = "len(list_filter(regexp_split_to_array(v, '\\s+'), lambda w: w <> ''))"
 
 
-@query(f"""{_CAND_SQL} SELECT k, v, label, CASE WHEN label IN ('SG_PHONE_NUMBER', 'ACCOUNT_NUMBER', 'SG_POSTAL_CODE', 'SG_NRIC_FIN') THEN {_D} >= 6
+@query(f"""{_CAND_SQL} SELECT doc_id, i, label, CASE WHEN label IN ('SG_PHONE_NUMBER', 'ACCOUNT_NUMBER', 'SG_POSTAL_CODE', 'SG_NRIC_FIN') THEN {_D} >= 6
   WHEN label = 'EMAIL_ADDRESS' THEN {_ALNUM} >= 6 WHEN label = 'SG_ADDRESS' THEN {_NW} >= 2 AND {_ALNUM} >= 6 WHEN label = 'FULL_NAME' THEN {_NW} >= 2 ELSE false END AS ok FROM c""")
 def pred_propagation_ok(spark, sf_dir):
-    return _cands(spark, sf_dir).withColumn("ok", predicates.propagates(F.col("v"), F.col("label")))
+    return _cands(spark, sf_dir).select("doc_id", "i", "label", predicates.propagates(F.col("v"), F.col("label")).alias("ok"))
 
 
-@query(f"{_CAND_SQL} SELECT k, v, label, NOT (label = 'FULL_NAME' AND regexp_matches(lower(v), '^(speaker_[0-9]+|unknown|caller|agent|customer)$')) AS ok FROM c")
+@query(f"{_CAND_SQL} SELECT doc_id, i, label, NOT (label = 'FULL_NAME' AND regexp_matches(lower(v), '^(speaker_[0-9]+|unknown|caller|agent|customer)$')) AS ok FROM c")
 def pred_speaker_label(spark, sf_dir):
-    return _cands(spark, sf_dir).withColumn("ok", predicates.not_speaker(F.col("v"), F.col("label")))
+    return _cands(spark, sf_dir).select("doc_id", "i", "label", predicates.not_speaker(F.col("v"), F.col("label")).alias("ok"))
 
 
-@query(f"""{_CAND_SQL} SELECT k, v, label, lower(v) = replace(lower(label), '_', ' ') AS literal,
+@query(f"""{_CAND_SQL} SELECT doc_id, i, label, lower(v) = replace(lower(label), '_', ' ') AS literal,
   (label = 'SG_ADDRESS' AND v = 'mailing address') OR (label = 'EMAIL_ADDRESS' AND v = 'email') AS generic,
   (label IN ('SG_PHONE_NUMBER', 'SG_NRIC_FIN', 'SG_POSTAL_CODE') AND {_D} = 0) OR (label = 'SG_NRIC_FIN' AND NOT regexp_matches(v, '[A-Za-z]')) AS implausible FROM c""")
 def pred_generic_words(spark, sf_dir):
     v, label = F.col("v"), F.col("label")
-    return _cands(spark, sf_dir).select("k", "v", "label", predicates.label_literal(v, label).alias("literal"), predicates.generic_words(v, label).alias("generic"), predicates.implausible(v, label).alias("implausible"))
+    return _cands(spark, sf_dir).select("doc_id", "i", "label", predicates.label_literal(v, label).alias("literal"), predicates.generic_words(v, label).alias("generic"), predicates.implausible(v, label).alias("implausible"))
 
 
-_SNIPS = [("we have the number ", " here"), ("blk number is ", " ok"), ("my postal code is ", " yes"), ("on the 5th floor unit ", " then"), ("the reference number was ", ", so"), ("he lives there ", " now, unit")]
-_CTX_VALUES = ["610045", "61-0045", "01-54", "#05-123", "45", "0333", "5A"]
+#: What may stand in a call's text, wherever it first does; odd calls know where their area is.
+_CTX_VALUES = ["block", "unit", "postal", "phone", "account", "'123456'", "'896'", "'372717'", "'22289'", "'21'"]
 
 
 def _ctx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 2).alias("k")).distinct()
-    snips = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate(_SNIPS)))
-    df = keys.select("k", F.explode(snips).alias("p")).select("k", "p.*").select("*", F.explode(F.array(*map(F.lit, _CTX_VALUES))).alias("v"))
-    df = df.withColumn("full", F.concat("a", "v", "b")).withColumn("s", F.length("a")).withColumn("e", F.length("a") + F.length("v"))
-    # With k = 1 an address ends 20 characters before the value.
-    far = F.array(F.struct((F.col("s") - 30).alias("s"), (F.col("s") - 20).alias("e")))
-    return df.withColumn("addresses", F.when(F.col("k") == 1, far).otherwise(F.array().cast("array<struct<s:int,e:int>>")))
-
-
-_CTX_SQL = (
-    "WITH c AS (SELECT k, i, v, a || v || b AS f FROM (SELECT DISTINCT o_orderkey % 2 AS k FROM orders) o, (SELECT * FROM (VALUES "
-    + ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(_SNIPS))
-    + ") t(i, a, b)) p, (SELECT unnest(["
-    + ", ".join(f"'{v}'" for v in _CTX_VALUES)
-    + "]) AS v) q)"
-)
-_BAD = f"(regexp_matches(f, '(?i){X.FLOOR}') OR regexp_matches(f, '(?i){X.UNIT_REJECTED}'))"
-
-
-@query(f"{_CTX_SQL} SELECT k, i, v, regexp_matches(replace(v, '-', ''), '^[0-9]{{6}}$') AND (k = 1 OR regexp_matches(f, '(?i){X.ADDRESS_CONTEXT}') OR regexp_matches(f, '(?i){X.POSTAL_CONTEXT}')) AS ok FROM c")
+    df = calls(spark, sf_dir).select("doc_id", "area", F.col("text").alias("full"), F.posexplode(F.array(*map(F.expr, _CTX_VALUES))).alias("i", "v"))
+    df = df.withColumn("s", F.instr("full", F.col("v")) - 1).filter("s >= 0").withColumn("e", F.col("s") + F.length("v"))
+    at = F.instr("full", F.col("area")) - 1
+    area = F.array(F.struct(at.alias("s"), (at + F.length("area")).alias("e")))
+    return df.withColumn("addresses", F.when((at >= 0) & (F.col("doc_id") % 2 == 1), area).otherwise(F.array().cast("array<struct<s:int,e:int>>")))
+
+
+def _judged(spark: SparkSession, sf_dir: str, rule: Callable[..., Column]) -> DataFrame:
+    args = [F.col(c) for c in ("v", "s", "e", "full", "addresses")]
+    return _ctx(spark, sf_dir).select("doc_id", F.col("i").cast("long").alias("i"), "s", rule(*args).alias("ok"))
+
+
+_CTX_SQL = f"""{WITH}, c AS (SELECT *, s + length(v) AS e, strpos(f, area) - 1 AS a, strpos(f, area) - 1 + length(area) AS z FROM (
+  SELECT *, CAST(strpos(f, v) - 1 AS INTEGER) AS s FROM (SELECT doc_id, area, text AS f, unnest(range({len(_CTX_VALUES)})) AS i, unnest([{', '.join(_CTX_VALUES)}]) AS v FROM calls)) WHERE s >= 0)"""
+_AROUND = "substr(f, greatest(0, s - {r}) + 1, e + {r} - greatest(0, s - {r}))"
+_NEAR = "(doc_id % 2 = 1 AND a >= 0 AND (abs(a - e) <= {r} OR abs(s - z) <= {r}))"
+_BAD = f"(regexp_matches({_AROUND.format(r=60)}, '(?i){X.FLOOR}') OR regexp_matches({_AROUND.format(r=100)}, '(?i){X.UNIT_REJECTED}'))"
+
+
+@query(f"{_CTX_SQL} SELECT doc_id, i, s, regexp_matches(replace(v, '-', ''), '^[0-9]{{6}}$') AND ({_NEAR.format(r=150)} OR regexp_matches({_AROUND.format(r=150)}, '(?i){X.ADDRESS_CONTEXT}') OR regexp_matches({_AROUND.format(r=150)}, '(?i){X.POSTAL_CONTEXT}')) AS ok FROM c")
 def pred_postal_ctx(spark, sf_dir):
-    ok = predicates.postal_context_ok(F.col("v"), F.col("s"), F.col("e"), F.col("full"), F.col("addresses"))
-    return _ctx(spark, sf_dir).select(F.col("k"), "i", "v", ok.alias("ok"))
+    return _judged(spark, sf_dir, predicates.postal_context_ok)
 
 
-@query(f"{_CTX_SQL} SELECT k, i, v, regexp_matches(v, '{X.UNIT_CLEAN}') OR (NOT {_BAD} AND (k = 1 OR regexp_matches(f, '(?i){X.UNIT_CONTEXT}'))) AS ok FROM c")
+@query(f"{_CTX_SQL} SELECT doc_id, i, s, regexp_matches(v, '{X.UNIT_CLEAN}') OR (NOT {_BAD} AND ({_NEAR.format(r=60)} OR regexp_matches({_AROUND.format(r=60)}, '(?i){X.UNIT_CONTEXT}'))) AS ok FROM c")
 def pred_unit_ctx(spark, sf_dir):
-    ok = predicates.unit_context_ok(F.col("v"), F.col("s"), F.col("e"), F.col("full"), F.col("addresses"))
-    return _ctx(spark, sf_dir).select("k", "i", "v", ok.alias("ok"))
+    return _judged(spark, sf_dir, predicates.unit_context_ok)
 
 
-@query(f"{_CTX_SQL} SELECT k, i, v, NOT contains(v, '-') AND NOT regexp_matches(v, '(?i){X.UNIT_CONTEXT}') AND NOT {_BAD} AND (k = 1 OR regexp_matches(f, '(?i){X.BLOCK_CONTEXT}')) AS ok FROM c")
+@query(f"{_CTX_SQL} SELECT doc_id, i, s, NOT contains(v, '-') AND NOT regexp_matches(v, '(?i){X.UNIT_CONTEXT}') AND NOT {_BAD} AND ({_NEAR.format(r=60)} OR regexp_matches({_AROUND.format(r=60)}, '(?i){X.BLOCK_CONTEXT}')) AS ok FROM c")
 def pred_block_ctx(spark, sf_dir):
-    ok = predicates.block_context_ok(F.col("v"), F.col("s"), F.col("e"), F.col("full"), F.col("addresses"))
-    return _ctx(spark, sf_dir).select("k", "i", "v", ok.alias("ok"))
+    return _judged(spark, sf_dir, predicates.block_context_ok)
 
 
 # Spoken numbers and windows
@@ -423,10 +428,12 @@ _CLEAN = "lower(trim(regexp_replace({x}, '[\\s.,!?;:\\-]+', ' ', 'g')))"
 _PAIRS_SQL = f"""pairs AS (SELECT doc_id, i, j, pred_label, gold_label, CASE WHEN p = g THEN 2.0::DOUBLE ELSE least(length(p), length(g)) / greatest(length(p), length(g)) END AS quality FROM (
   SELECT p.doc_id, i, j, p.label AS pred_label, g.label AS gold_label, {_CLEAN.format(x='p.text')} AS p, {_CLEAN.format(x='g.text')} AS g
   FROM (SELECT *, {_GROUP} AS grp FROM pred) p JOIN (SELECT *, {_GROUP} AS grp FROM gold) g ON p.doc_id = g.doc_id AND p.grp = g.grp) WHERE p <> '' AND g <> '' AND (contains(g, p) OR contains(p, g)))"""
-_KEPT_SQL = """kept AS (SELECT doc_id, unnest(list_reduce(list_transform(list_sort(list(struct_pack(k := -quality, i := i, j := j, pred_label := pred_label, gold_label := gold_label))), lambda x: [x]),
+_KEPT_SQL = """kept AS MATERIALIZED (SELECT doc_id, unnest(list_reduce(list_transform(list_sort(list(struct_pack(k := -quality, i := i, j := j, pred_label := pred_label, gold_label := gold_label))), lambda x: [x]),
   lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.i = x[1].i OR y.j = x[1].j)) > 0 THEN a ELSE list_concat(a, x) END)) AS m FROM pairs GROUP BY doc_id),
   hit AS (SELECT doc_id, m.i AS i, m.j AS j, m.pred_label AS pred_label, m.gold_label AS gold_label, -m.k AS quality FROM kept)"""
 _MATCH = f"{WITH}, {_GOLD_SQL}, {_PRED_SQL}, {_PAIRS_SQL}"
+for _name in ("calls", "gold", "pred", "pairs"):  # worked out once, not at each place that names it
+    _MATCH = _MATCH.replace(f"{_name} AS (", f"{_name} AS MATERIALIZED (", 1)
 _FP = "SELECT p.doc_id, p.i, p.label FROM pred p ANTI JOIN hit USING (doc_id, i)"
 _FN = "SELECT g.doc_id, g.j, g.label FROM gold g ANTI JOIN hit USING (doc_id, j)"
 _COUNTS = f"""counts AS (SELECT label, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM (
@@ -444,56 +451,77 @@ def _gold_pred(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return gold, pred
 
 
-def _kept(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold, pred = _gold_pred(spark, sf_dir)
-    return gold, pred, matching.assigned(matching.pairs(pred, gold))
+    return matching.outcomes(pred, gold)
 
 
 @query(f"{_MATCH} SELECT doc_id, i, j, CAST(round(quality * 10000) AS BIGINT) AS q FROM pairs")
 def match_pairs(spark, sf_dir):
-    gold, pred = _gold_pred(spark, sf_dir)
-    return matching.pairs(pred, gold).select("doc_id", "i", "j", F.round(F.col("quality") * 10000).cast("long").alias("q"))
+    return matching.pairs(_found(spark, sf_dir)).select("doc_id", "i", "j", F.round(F.col("quality") * 10000).cast("long").alias("q"))
 
 
 @query(f"{_MATCH}, {_KEPT_SQL} SELECT doc_id, i, j, pred_label, gold_label FROM hit")
 def match_greedy(spark, sf_dir):
-    return _kept(spark, sf_dir)[2].select("doc_id", "i", "j", "pred_label", "gold_label")
+    return matching.assigned(_found(spark, sf_dir)).select("doc_id", "i", "j", "pred_label", "gold_label")
 
 
 @query(f"{_MATCH}, {_KEPT_SQL} {_FP}")
 def match_fp(spark, sf_dir):
-    gold, pred, kept = _kept(spark, sf_dir)
-    return matching.unmatched(pred, gold, kept)[0].select("doc_id", "i", "label")
+    return matching.unmatched(_found(spark, sf_dir))[0]
 
 
 @query(f"{_MATCH}, {_KEPT_SQL} {_FN}")
 def match_fn(spark, sf_dir):
-    gold, pred, kept = _kept(spark, sf_dir)
-    return matching.unmatched(pred, gold, kept)[1].select("doc_id", "j", "label")
+    return matching.unmatched(_found(spark, sf_dir))[1]
 
 
-@query(f"{_SCORED} SELECT label, tp, fp, fn FROM counts")
+def _printed(x: str) -> str:
+    """A ratio to four places by its exact value, as printing does it."""
+    return f"CAST(printf('%.4f', {x}) AS DOUBLE)"
+
+
+def _scores_sql(counts: str, key: str) -> str:
+    ratio = lambda d: f"CASE WHEN {d} > 0 THEN {_printed(f'tp::DOUBLE / ({d})')} ELSE 0::DOUBLE END"
+    return f"""SELECT {key}, tp, fp, fn, p AS precision, r AS recall, CASE WHEN p + r > 0 THEN {_printed('2::DOUBLE * p * r / (p + r)')} ELSE 0::DOUBLE END AS f1,
+      CASE WHEN p + r > 0 THEN round(5::DOUBLE * p * r / (4::DOUBLE * p + r), 6) ELSE 0::DOUBLE END AS f_beta
+      FROM (SELECT *, {ratio('tp + fp')} AS p, {ratio('tp + fn')} AS r FROM {counts})"""
+
+
+def _scored(df: DataFrame) -> DataFrame:
+    return df.withColumn("f_beta", F.round("f_beta", 6))
+
+
+@query(f"{_SCORED} {_scores_sql('counts', 'label')}")
 def score_by_label(spark, sf_dir):
-    gold, pred, kept = _kept(spark, sf_dir)
-    return matching.label_counts(pred, gold, kept)
+    return _scored(matching.with_scores(matching.label_counts(_found(spark, sf_dir))))
+
 
+_OVERALL = "SELECT '{k}' AS labels, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM counts"
 
-@query(f"{_SCORED} SELECT 'all' AS labels, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM counts UNION ALL SELECT 'base', CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT), CAST(sum(fn) AS BIGINT) FROM counts WHERE label NOT IN ('ACCOUNT_NUMBER', 'FULL_NAME')")
+
+@query(f"{_SCORED}, o AS ({_OVERALL.format(k='all')} UNION ALL {_OVERALL.format(k='base')} WHERE label NOT IN ('ACCOUNT_NUMBER', 'FULL_NAME')) {_scores_sql('o', 'labels')}")
 def score_overall(spark, sf_dir):
-    gold, pred, kept = _kept(spark, sf_dir)
-    return matching.overall(matching.label_counts(pred, gold, kept)).select("labels", "tp", "fp", "fn")
+    return _scored(matching.overall(matching.label_counts(_found(spark, sf_dir))))
+
+
+_RATIOS = "doc_id % 7 AS tp, CASE WHEN doc_id % 3 = 0 THEN 160 - doc_id % 7 ELSE doc_id % 331 END AS fp, doc_id % 13 AS fn"
+
 
+@query(f"{WITH}, c AS (SELECT doc_id, {_RATIOS} FROM calls) {_scores_sql('c', 'doc_id')}")
+def score_ratios(spark, sf_dir):
+    """Scores of one ratio for each call; 1/160 and 3/160 are among them."""
+    return _scored(matching.with_scores(calls(spark, sf_dir).selectExpr("doc_id", *_RATIOS.split(", "))))
 
-@query(f"{_SCORED} SELECT label, tp / (tp + fp) > 0.8 AND tp / (tp + fn) > 0.8 AND 2 * tp / (2 * tp + fp + fn) > 0.8 AS passed FROM counts")
+
+@query(f"{_SCORED}, s AS ({_scores_sql('counts', 'label')}) SELECT label, precision > 0.8 AND recall > 0.8 AND f1 > 0.8 AS passed FROM s")
 def gate(spark, sf_dir):
-    gold, pred, kept = _kept(spark, sf_dir)
-    return matching.gate(matching.label_counts(pred, gold, kept)).select("label", "passed")
+    return matching.gate(matching.label_counts(_found(spark, sf_dir))).select("label", "passed")
 
 
 @query(f"{_MATCH}, {_KEPT_SQL} SELECT count(*) AS nric_total, count(hit.j) AS nric_protected FROM (SELECT doc_id, j FROM gold WHERE label = 'SG_NRIC_FIN') g LEFT JOIN hit USING (doc_id, j)")
 def nric_protection(spark, sf_dir):
-    gold, _, kept = _kept(spark, sf_dir)
-    return matching.nric_protection(gold, kept)
+    return matching.nric_protection(_found(spark, sf_dir))
 
 
 # Leaks and accounts. In every fifth call the phone's tag, in every seventh the account, is left out.
@@ -520,10 +548,10 @@ def acct_survival(spark, sf_dir):
     return df.withColumn("labels", F.array_join(pairs, ","))
 
 
-@query(f"{WITH} SELECT count(*) AS n_calls, count(*) FILTER ({_ACCT_COND} AND {_OCC.format(v='account')} = 1) AS n_bad FROM calls WHERE {FULL}")
+@query(f"{WITH} SELECT n_calls, n_bad, round(n_bad / n_calls, 9) AS rate FROM (SELECT count(*) AS n_calls, count(*) FILTER ({_ACCT_COND} AND {_OCC.format(v='account')} = 1) AS n_bad FROM calls WHERE {FULL})")
 def acct_unrecoverable(spark, sf_dir):
     df = _account_calls(spark, sf_dir)
-    return leaks.unrecoverable_rate(df, leaks.account_survival(df)).select("n_calls", "n_bad")
+    return leaks.unrecoverable_rate(df, leaks.account_survival(df)).select("n_calls", "n_bad", F.round("rate", 9).alias("rate"))
 
 
 def _leaky(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -543,10 +571,22 @@ def leak_rate_file_customer(spark, sf_dir):
     df = _leaky(spark, sf_dir)
     own = F.concat("redacted", F.lit(" #"), F.col("line").cast("string")).alias("input")
     files = df.filter("line % 9 <> 0").select(own, F.format_string("call_%d_x", "cust").alias("file"))
+    files = files.unionByName(files.withColumn("file", F.lit("a_0_first")))  # every text has a second file, of a lesser name
     names = leaks.file_names(df.select("line", own), files)
     return leaks.leak_rates(names, leaks.residual_leaks(df))
 
 
+_LEAK_SQL = f"SELECT doc_id AS line, CASE doc_id % 5 WHEN 0 THEN 'Full Mobile' WHEN 1 THEN 'Full NRIC' ELSE 'Full Address' END || '=' || CASE doc_id % 5 WHEN 0 THEN phone WHEN 1 THEN nric ELSE postal END AS items FROM calls WHERE {FULL} AND doc_id % 5 < 3"
+
+
+@query(f"{WITH} SELECT line, items FROM ({_LEAK_SQL})")
+def leak_items_by_line(spark, sf_dir):
+    """Leaking lines with their items, met by line with the texts they stand in."""
+    df = _leaky(spark, sf_dir)
+    items = leaks.leak_items(leaks.residual_leaks(df)).join(df.select("line", F.col("redacted").alias("t")), "line")
+    return items.filter(F.forall("items", lambda x: F.contains(F.col("t"), x["value"]))).select("line", F.array_join(F.transform("items", lambda x: F.concat(x["type"], F.lit("="), x["value"])), ",").alias("items"))
+
+
 # Corpus preparation
 
 _ENTITIES = [("full_name", "name"), ("sg_nric_fin", "nric"), ("account_number", "account"), ("sg_phone_number", "phone"), ("email_address", "email")]
@@ -570,9 +610,9 @@ def split_label_counts(spark, sf_dir):
     return corpus.label_report(_records(spark, sf_dir))
 
 
-@query(f"{WITH} SELECT CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'val' ELSE 'test' END AS split, count(*) AS n, CAST(sum(CASE WHEN {FULL} THEN 3 + {_N['phone']} + {_N['account']} ELSE 0 END) AS BIGINT) AS mentions, count(*) FILTER (NOT ({FULL})) AS zero_entity FROM calls GROUP BY 1")
+@query(f"{WITH} SELECT CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'val' ELSE 'test' END AS split, count(*) AS n, CAST(round_even(avg(length(text)), 0) AS BIGINT) AS mean_chars, CAST(sum(CASE WHEN {FULL} THEN 3 + {_N['phone']} + {_N['account']} ELSE 0 END) AS BIGINT) AS mentions, count(*) FILTER (NOT ({FULL})) AS zero_entity FROM calls GROUP BY 1")
 def split_zero_entity(spark, sf_dir):
-    return corpus.split_report(_records(spark, sf_dir)).select("split", "n", "mentions", "zero_entity")
+    return corpus.split_report(_records(spark, sf_dir))
 
 
 @query(f"{WITH} SELECT DISTINCT md5(text) AS md5 FROM calls WHERE doc_id % 10 < 8 AND text IN (SELECT text FROM calls WHERE doc_id % 10 = 8)")
@@ -611,7 +651,8 @@ def loss_smooth(spark, sf_dir):
     return df.select("event_id", F.round("smooth", 6).alias("smooth"))
 
 
-@query("SELECT event_type, min_by(event_id, (value, event_id)) AS best_epoch, min(value) AS best_loss, 'oscillating' AS trend FROM events GROUP BY event_type")
+@query("""WITH r AS (SELECT event_type, event_id, value, value > lag(value) OVER (PARTITION BY event_type ORDER BY event_id, value) AS up FROM events)
+  SELECT event_type, min_by(event_id, (value, event_id)) AS best_epoch, min(value) AS best_loss, CASE WHEN NOT coalesce(bool_or(up), false) THEN 'descending' WHEN count(*) > 1 THEN 'oscillating' ELSE 'one point' END AS trend FROM r GROUP BY event_type""")
 def loss_best_epoch(spark, sf_dir):
     return losses.best_epoch(table(spark, sf_dir, "events").select("event_type", "event_id", "value"), "event_id", "value", ["event_type"])
 
@@ -619,7 +660,7 @@ def loss_best_epoch(spark, sf_dir):
 @query(f"{WITH}, n AS (SELECT max(doc_id) + 1 AS n FROM calls) SELECT doc_id, CAST(doc_id // ((n + 7) // 8) AS INTEGER) AS shard FROM calls, n")
 def shard_assign(spark, sf_dir):
     df = calls(spark, sf_dir).select("doc_id")
-    return corpus.shards(df, df.agg(F.max("doc_id")).first()[0] + 1, line_col="doc_id")
+    return corpus.shards(df, df.agg(F.max("doc_id") + 1), line_col="doc_id")
 
 
 @query(f"{WITH} SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) AS BIGINT) AS rank FROM calls WHERE kind = 'lookalike'")
@@ -635,17 +676,114 @@ def conv_transcripts(spark, sf_dir):
 @query(f"{WITH} SELECT doc_id, {_masked(lambda k: f'<{k}>')} AS redacted FROM calls")
 def stream_redact(spark, sf_dir):
     """The chain over a file stream of calls; the same rows as in batch."""
-    import uuid
-
     from ..streaming.redaction import redact_stream, run_available
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/veilspan-stream").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "stream")
     calls(spark, sf_dir).select("doc_id", "text").write.parquet(f"{base}/in")
     stream = spark.readStream.schema("doc_id bigint, text string").parquet(f"{base}/in")
     run_available(redact_stream(stream).select("doc_id", "redacted"), f"{base}/out", f"{base}/state")
     return spark.read.schema("doc_id bigint, redacted string").parquet(f"{base}/out")
 
 
+@query(f"{WITH} SELECT doc_id, chr(CAST(65 + doc_id % 26 AS INTEGER)) || chr(CAST(65 + (doc_id + 9) % 26 AS INTEGER)) || chr(CAST(65 + (doc_id + 18) % 26 AS INTEGER)) AS letters FROM calls")
+def letter_focus(spark, sf_dir):
+    return calls(spark, sf_dir).select("doc_id", F.array_join(corpus.letter_focus(F.col("doc_id")), "").alias("letters"))
+
+
+@query("SELECT doc_id, substr(trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', '_', 'g'), '_'), 1, 48) AS slug FROM documents")
+def slug_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", corpus.slug(F.coalesce("text", F.lit(""))).alias("slug"))
+
+
+@query("SELECT doc_id, md5(replace(replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) AS md5 FROM documents")
+def html_escape_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(escaped(F.col("text")).cast("binary")).alias("md5"))
+
+
+_ONE = "'SG_PHONE_NUMBER' AS label, CAST(strpos(text, phone) - 1 AS INTEGER) AS s, phone"
+
+
+def _phone_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full calls with one span, the first phone number's, at a confidence of the call's own."""
+    at = F.instr("text", F.col("phone")) - 1
+    conf = (F.col("doc_id") % 100) / F.lit(100.0)
+    one = F.struct(F.col("phone").alias("text"), F.lit("SG_PHONE_NUMBER").alias("label"), at.alias("s"), (at + F.length("phone")).alias("e"), conf.alias("conf"))
+    return calls(spark, sf_dir).filter(FULL).withColumn("spans", F.array(one))
+
+
+_CUT = "substr(text, 1, strpos(text, phone) - 1) || {by} || substr(text, strpos(text, phone) + length(phone))"
+
+
+@query(f"{WITH} SELECT doc_id, {_CUT.format(by="'<SG_PHONE_NUMBER:' || printf('%.2f', (doc_id % 100)::DOUBLE / 100) || '>'")} AS redacted FROM calls WHERE {FULL}")
+def redact_confidence(spark, sf_dir):
+    return redact.redact(_phone_masked(spark, sf_dir), "tagged", with_confidence=True).select("doc_id", "redacted")
+
+
+@query(f"{WITH} SELECT doc_id, {_CUT.format(by="'[phone]'")} AS redacted FROM calls WHERE {FULL}")
+def redact_replaced(spark, sf_dir):
+    """A replacement of its own for a label."""
+    return _phone_masked(spark, sf_dir).select("doc_id", redact.blanked(F.col("text"), F.col("spans"), {"SG_PHONE_NUMBER": "[phone]"}).alias("redacted"))
+
+
+@query(f"{WITH} SELECT doc_id, phone || '=SG_PHONE_NUMBER' AS redacted FROM calls WHERE {FULL}")
+def redact_pairs(spark, sf_dir):
+    df = redact.redact(_phone_masked(spark, sf_dir), "spans")
+    return df.select("doc_id", F.array_join(F.transform("redacted", lambda x: F.concat(x["text"], F.lit("="), x["label"])), ",").alias("redacted"))
+
+
+# Sinks and sources: written to the shared folder, read back
+
+_GOLD_FILE = [("full_name", "FULL_NAME", "name"), ("sg_nric_fin", "SG_NRIC_FIN", "nric"), ("account_number", "ACCOUNT_NUMBER", "account"), ("sg_phone_number", "SG_PHONE_NUMBER", "phone"), ("email_address", "EMAIL_ADDRESS", "email")]
+
+
+@query(f"{WITH}, n AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS line FROM calls) " + " UNION ALL ".join(f"SELECT line, {k} AS gold_ix, {c} AS text, '{canon}' AS label FROM n WHERE {FULL}" for k, (_, canon, c) in enumerate(_GOLD_FILE)))
+def io_gold_lines(spark, sf_dir):
+    """A split of JSON lines, written in order; its lines are numbered when it is read."""
+    own = F.create_map(*(x for k, _, c in _GOLD_FILE for x in (F.lit(k), F.array(c))))
+    df = calls(spark, sf_dir).select("doc_id", F.col("text").alias("input"), F.when(F.expr(FULL), own).otherwise(F.create_map().cast("map<string,array<string>>")).alias("entities"))
+    path = scratch_path(spark, "gold")
+    files.write_records(df.sort("doc_id"), path)
+    return files.read_gold(spark, path)
+
+
+@query(f"{WITH} SELECT doc_id AS line, md5(text || ' é') AS md5 FROM calls")
+def io_redacted(spark, sf_dir):
+    path = scratch_path(spark, "redacted")
+    files.write_redacted(calls(spark, sf_dir).select(F.col("doc_id").cast("int").alias("line"), F.concat("text", F.lit(" é")).alias("redacted")), path)
+    return files.read_redacted(spark, path).select(F.col("line").cast("long").alias("line"), F.md5(F.col("redacted").cast("binary")).alias("md5"))
+
+
+@query(f"{WITH} SELECT doc_id AS line, 2 AS n_values, 10 + 4 AS digits FROM calls WHERE {FULL} UNION ALL SELECT doc_id, 0, 0 FROM calls WHERE NOT ({FULL})")
+def io_account_detail(spark, sf_dir):
+    """Account details, a line for every call; calls whose values never occur have empty lists."""
+    every = calls(spark, sf_dir).withColumn("accounts", F.array("account", F.substring("account", 1, 4)))
+    none = F.array().cast("array<struct<s:int,e:int,label:string>>")
+    df = every.select(F.col("doc_id").cast("int").alias("line"), "text", "accounts", none.alias("spans"), "kind")
+    survival = leaks.account_survival(df.filter(FULL), "line")
+    path = scratch_path(spark, "accounts")
+    files.write_account_detail(survival, path, calls=df)
+    own = files.read_account_detail(spark, path).groupBy("line").agg(F.sum("digits").cast("int").alias("digits"))
+    return files.read_account_calls(spark, path).join(own, "line", "left").select(F.col("line").cast("long").alias("line"), "n_values", F.coalesce("digits", F.lit(0)).alias("digits"))
+
+
+@query(f"{WITH} SELECT doc_id AS line, doc_id % 8 AS shard FROM calls")
+def io_shards(spark, sf_dir):
+    """Shards half of which were there before; a second run adds only the others."""
+    path = scratch_path(spark, "shards")
+    lines = calls(spark, sf_dir).select(F.col("doc_id").alias("line"), (F.col("doc_id") % 8).alias("shard"))
+    files.write_shards(lines.filter("shard < 4"), path)
+    files.write_shards(lines, path, spark.read.schema("line long, shard long").json(path).select("shard"))
+    return spark.read.schema("line long, shard long").json(path)
+
+
+@query(f"{WITH} SELECT doc_id AS line, CASE WHEN doc_id % 2 = 0 THEN 'rulebased' ELSE 'finetuned' END AS method FROM calls")
+def io_methods(spark, sf_dir):
+    path = scratch_path(spark, "methods")
+    own = F.when(F.col("doc_id") % 2 == 0, "rulebased").otherwise("finetuned").alias("method")
+    files.write_methods(calls(spark, sf_dir).select(F.col("doc_id").alias("line"), own), path)
+    return spark.read.schema("line long, method string").json(path)
+
+
 @query(f"{WITH} SELECT doc_id, CAST(CASE WHEN {FULL} THEN 9 ELSE 0 END AS INTEGER) AS n_spans, {_masked(lambda k: f'<{k}>')} AS redacted FROM calls")
 def flagship(spark, sf_dir):
     """Calls to masked calls: what the library is for."""

@@ -1,9 +1,12 @@
-"""Workers need the package too: send it along with the first job that runs Python."""
+"""The cluster's shared folder, and the package sent along with the first job that runs Python."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -12,6 +15,23 @@ from pyspark.sql import SparkSession
 _SENT: set[str] = set()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share (spark.checkpoint.dir); where it is unset, one is made if all
+    run in this process, and anything else is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="veilspan-")
+        atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/veilspan/{name}-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Add the package to the Python path of every worker of this application, once."""
     sc = spark.sparkContext

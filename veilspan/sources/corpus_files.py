@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,21 +27,39 @@ def read_split(spark: SparkSession, folder: str, split: str | None = None) -> tu
     return records, marked.filter("reason IS NOT NULL").select("file", "reason")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line, value of text files: lines are numbered from 0 through all files in order of
+    path, as one after the other.
+
+    A split's lines are ranked among themselves and start after the lines of all splits before
+    it, so no task holds a whole file. Empty lines count, as they do in the files.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_b"), "value")
+    sizes = raw.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    base = sizes.select(F.col("_f").alias("_bf"), F.col("_b").alias("_bb"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_f", "_b").orderBy("_at")) - 1
+    ranked = raw.withColumn("_at", F.monotonically_increasing_id()).withColumn("_r", inside)  # _at only orders a split's lines
+    joined = ranked.join(base, (F.col("_f") == F.col("_bf")) & (F.col("_b") == F.col("_bb")))
+    return joined.select("file", (F.col("_base") + F.col("_r")).alias("line"), "value")
+
+
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    """line, gold_ix, text, label of a JSON-lines gold file that carries a `line` key; labels
-    become canonical, and an unknown one is an error."""
+    """line, gold_ix, text, label of a JSON-lines gold file. A line's number is its place in the
+    file, or its own `line` key where it has one; labels become canonical, and an unknown one is
+    an error."""
     from ..operators.vocab import canon_of_model
 
-    schema = T.StructType([T.StructField("line", T.IntegerType()), *RECORD.fields])
-    by_label = spark.read.schema(schema).json(path).select("line", F.posexplode(F.map_entries("output.entities")).alias("k", "e"))
+    schema = T.StructType([T.StructField("line", T.LongType()), *RECORD.fields])
+    lines = numbered_lines(spark, path).select("line", F.from_json("value", schema).alias("r"))
+    own = F.coalesce("r.line", "line").alias("line")
+    by_label = lines.select(own, F.posexplode(F.map_entries("r.output.entities")).alias("k", "e"))
     rows = by_label.select("line", "k", "e.key", F.posexplode("e.value").alias("n", "text"))
     order = F.row_number().over(_by_line()) - 1
     return rows.select("line", order.alias("gold_ix"), "text", canon_of_model(F.col("key")).alias("label"))
 
 
 def _by_line():
-    from pyspark.sql import Window
-
     return Window.partitionBy("line").orderBy("k", "n")
 
 
@@ -61,9 +79,10 @@ def read_judged(spark: SparkSession, folder: str, method: str = "finetuned") ->
 
 
 def read_account_detail(spark: SparkSession, path: str) -> DataFrame:
-    """line, value, digits, total, redacted, labels of an account-detail file."""
+    """line, value, digits, total, redacted, labels of account-detail files: JSON lines, or an
+    array of such records on one line."""
     schema = "line int, vals array<struct<v:string,digits:int,total:int,red:int,labels:map<string,int>>>"
-    df = spark.read.schema(schema).option("multiLine", True).json(path)
+    df = spark.read.schema(schema).json(path)
     return df.select("line", F.explode("vals").alias("x")).select("line", F.col("x.v").alias("value"), "x.digits", "x.total", F.col("x.red").alias("redacted"), "x.labels")
 
 
@@ -87,9 +106,21 @@ def write_redacted(df: DataFrame, path: str, mode: str = "error") -> None:
     df.select("line", "redacted").write.mode(mode).json(path)
 
 
-def write_account_detail(survival: DataFrame, path: str, key: str = "line", mode: str = "error") -> None:
+def write_account_detail(survival: DataFrame, path: str, key: str = "line", mode: str = "error", calls: DataFrame | None = None) -> None:
+    """A line for each call with its values; with calls (key), those whose values never occur
+    have a line too, with an empty list."""
     vals = F.collect_list(F.struct(F.col("value").alias("v"), "digits", "total", F.col("redacted").alias("red"), "labels"))
-    survival.groupBy(F.col(key).alias("line")).agg(vals.alias("vals")).write.mode(mode).json(path)
+    out = survival.groupBy(F.col(key).alias("line")).agg(F.array_sort(vals, lambda a, b: F.when(a["v"] < b["v"], -1).when(a["v"] > b["v"], 1).otherwise(0)).alias("vals"))
+    if calls is not None:
+        every = calls.select(F.col(key).alias("line")).distinct()
+        out = every.join(out, "line", "left").select("line", F.coalesce("vals", F.filter("vals", lambda x: F.lit(False)), F.array().cast(out.schema["vals"].dataType)).alias("vals"))
+    out.write.mode(mode).json(path)
+
+
+def read_account_calls(spark: SparkSession, path: str) -> DataFrame:
+    """line and number of values of every line of an account-detail file, empty ones too."""
+    schema = "line int, vals array<struct<v:string>>"
+    return spark.read.schema(schema).json(path).select("line", F.size("vals").alias("n_values"))
 
 
 def write_shards(lines: DataFrame, path: str, done: DataFrame | None = None) -> None:

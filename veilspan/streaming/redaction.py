@@ -37,8 +37,9 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
 class ValueMemory(StatefulProcessor):
     """Per conversation, values found in earlier turns are masked where they come again.
 
-    Each row brings its text and the values found in it; a value is kept `ttl_ms`, so state
-    is bounded by the conversations of that time.
+    Each row brings its text and the values found in it; all rows of a conversation in a trigger
+    are taken in order of turn. A value is kept `ttl_ms`, so state is bounded by the conversations
+    of that time.
     """
 
     def __init__(self, ttl_ms: int = 3_600_000):
@@ -50,17 +51,22 @@ class ValueMemory(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         import re
 
-        for batch in rows:
-            out = []
-            for _, r in batch.sort_values("turn").iterrows():
-                for f in r["found"]:
-                    self.seen.updateValue((f["value"],), (f["label"],))
-                text = r["text"]
-                known = sorted(((k[0], v[0]) for k, v in self.seen.iterator()), key=lambda x: (-len(x[0]), x[0]))
-                for value, label in known:
-                    text = re.sub(rf"(?<![A-Za-z0-9]){re.escape(value)}(?![A-Za-z0-9])", lambda _: f"<{label}>", text)
-                out.append((key[0], r["turn"], text))
-            yield pd.DataFrame(out, columns=["conv_id", "turn", "redacted"])
+        batches = list(rows)  # what one trigger brings of one conversation
+        if not batches:
+            return
+        turns = pd.concat(batches).sort_values("turn", kind="stable")
+        known = {k[0]: v[0] for k, v in self.seen.iterator()}
+        pattern, out = None, []
+        for turn, text, found in zip(turns["turn"].tolist(), turns["text"].tolist(), turns["found"].tolist()):
+            new = {f["value"]: f["label"] for f in found if known.get(f["value"]) != f["label"]}
+            for value, label in new.items():
+                self.seen.updateValue((value,), (label,))
+            if new or (pattern is None and known):  # longer values first, all in one pattern
+                known |= new
+                values = sorted(known, key=lambda v: (-len(v), v))
+                pattern = re.compile(rf"(?<![A-Za-z0-9])(?:{'|'.join(map(re.escape, values))})(?![A-Za-z0-9])")
+            out.append((key[0], turn, pattern.sub(lambda m: f"<{known[m[0]]}>", text) if pattern else text))
+        yield pd.DataFrame(out, columns=["conv_id", "turn", "redacted"])
 
     def close(self) -> None:
         pass
