@@ -143,6 +143,78 @@ def test_language_mixtures(spark):
     assert {r["lang_pred"] for r in langid.with_language(df, empty).collect()} == {"und"}
 
 
+def brute_mixture(model, text):
+    """The same estimates by dictionaries and plain loops over whole words."""
+    def bucket(a, b, c):
+        h = (a * 0x9E3779B1 + b * 0x85EBCA6B + c * 0xC2B2AE35) & 0xFFFFFFFF
+        h = ((h ^ (h >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
+        return h >> 17
+
+    grams = Counter()
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        c = [0, *map(ord, w), 0]
+        grams.update(bucket(*c[k : k + 3]) for k in range(len(w)))
+    total = sum(grams.values())
+    p = {k: {g: float(model.table[i, g]) for g in grams} for i, k in enumerate(model.langs)}
+
+    def em(langs):
+        theta = {k: 1 / len(langs) for k in langs}
+        for _ in range(model.rounds):
+            mass = {g: sum(theta[k] * p[k][g] for k in langs) for g in grams}
+            new = {k: theta[k] * sum(n * p[k][g] / mass[g] for g, n in grams.items()) / total for k in langs}
+            done = max(abs(new[k] - theta[k]) for k in langs) < 1e-4
+            theta = new
+            if done:
+                break
+        return theta, sum(n * math.log(sum(theta[k] * p[k][g] for k in langs)) for g, n in grams.items())
+
+    theta, _ = em(model.langs)
+    order = sorted(model.langs, key=lambda k: -theta[k])
+    best = em(order[:1])
+    for k in range(2, len(order) + 1):
+        more = em(order[:k])
+        if more[1] - best[1] <= model.penalty * math.log(total + 1):
+            break
+        best = more
+    return best[0]
+
+
+def test_language_mixtures_brute_force(spark):
+    """EM, the penalised choice of languages, and accuracy on documents not learned from."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(docs)
+    rows = docs.join(langid.with_language(docs.select("doc_id", "text"), model).select("doc_id", "lang_pred", "score", "mixture"), "doc_id").collect()
+    for r in rows[::40]:
+        if r["text"] and r["mixture"]:
+            want = brute_mixture(model, r["text"])
+            got = {m["lang"]: m["share"] for m in r["mixture"]}
+            assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+    held = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 and r["lang"] and any(map(str.isalpha, r["text"] or ""))]
+    assert len(held) > 100 and sum(r["lang"] == r["lang_pred"] for r in held) >= 0.99 * len(held)
+
+
+def test_long_texts_have_their_own_trigrams(monkeypatch):
+    """Chunks add no trigram and lose none."""
+    text = "wort und noch eines " * 500 + "x" * 3000 + " ende"
+    want = langid.gram_counts(text)
+    monkeypatch.setattr(langid, "_CHUNK", 100)
+    got = langid.gram_counts(text)
+    assert (got[0] == want[0]).all() and (got[1] == want[1]).all() and want[1].sum() == sum(map(len, text.split()))
+
+
+def test_learned_spans_on_a_planted_table(spark):
+    """Credentials of labelled formats that stand alone are found, ordinary long tokens are not."""
+    rng = random.Random(8)
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    key = lambda: f"SKX-{pick(string.ascii_uppercase + string.digits, 6)}-{pick(string.digits, 8)}-{pick(string.ascii_uppercase, 6)}"
+    other = [lambda: pick("aeiou", 1) + pick(string.ascii_lowercase, 15), lambda: pick(string.digits, 14), lambda: f"{pick(string.ascii_lowercase, 6)}/{pick(string.ascii_lowercase, 7)}/{pick(string.ascii_lowercase, 4)}", lambda: f"{pick(string.ascii_lowercase, 7)}-{pick(string.ascii_lowercase, 8)}"]
+    texts = [f"api_key = {key()} set" for _ in range(300)] + [f"we saw {key()} in the log" for _ in range(200)] + [f"plain {rng.choice(other)()} words" for _ in range(400)]
+    rows = {r["doc_id"]: [x["value"] for x in r["learned"]] for r in secrets.secret_spans(table(spark, texts)).collect()}
+    hits = sum(rows[i] == [texts[i].split()[2]] for i in range(300, 500))
+    false = sum(len(v) for i, v in rows.items() if not 300 <= i < 500)
+    assert hits >= 0.9 * 200 and false <= 0.05 * hits
+
+
 def brute_base(t):
     out = []
     for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):

@@ -113,8 +113,8 @@ def ids_from_bytes(raw: bytes) -> pa.Array:
     return pa.ipc.open_stream(raw).read_all().column(0).combine_chunks()
 
 
-def exchange(docs: DataFrame, make: Callable, answer: Callable, summary: Callable | None, fill: Callable, fill_schema: str, name: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs (id, text) through blocks, parts and back.
+def exchange(docs: DataFrame, n_parts: int, make: Callable, answer: Callable, summary: Callable | None, fill: Callable, fill_schema: str, name: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs (id, text) through blocks, n_parts parts, each of which may have a task of its own, and back.
 
     make(ids, texts) -> own bytes and one ask (or None) per part; answer(asks) -> one reply per
     ask plus a summary string per part; summary(list of all parts' strings) -> what fill gets as
@@ -129,7 +129,7 @@ def exchange(docs: DataFrame, make: Callable, answer: Callable, summary: Callabl
         return pa.table({"block": table.column("block"), "part": table.column("part"), "reply": pa.array(replies, pa.binary()), "said": pa.array([said] + [None] * (n - 1), pa.string())})
 
     asks = blocks.filter("kind = 1").select("block", "part", "payload")
-    served = stage(asks.groupBy("part").applyInArrow(serve, "block bigint, part int, reply binary, said string"), f"{name}-replies", codec="none")
+    served = stage(asks.repartition(n_parts, "part").groupBy("part").applyInArrow(serve, "block bigint, part int, reply binary, said string"), f"{name}-replies", codec="none")
     unstage(blocks, part="kind=1")
     made = None
     if summary is not None:  # one short string per part

@@ -68,7 +68,7 @@ def _make(n_parts: int):
         order = np.argsort(-np.bincount(seq, minlength=len(words)), kind="stable")
         rank = np.empty(len(words), "<u4")
         rank[order] = np.arange(len(words))
-        part = np.fromiter((zlib.crc32(words[i]) % n_parts for i in order), "<u2", len(words))
+        part = np.fromiter((zlib.crc32(words[i]) % n_parts for i in order), "<u4", len(words))
         by_part = np.argsort(part, kind="stable")
         asks: list[bytes | None] = []
         for at in np.split(by_part, np.searchsorted(part[by_part], np.arange(1, n_parts))):
@@ -155,8 +155,8 @@ def _encode(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, finish:
         raise ValueError("an added token reaches over white space")
     tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    n_parts = min(parts_for(docs, PART_BYTES), 1 << 16)
-    return exchange(rows, _make(n_parts), _answer(tokenizer), None, functools.partial(_fill, finish), schema, "bpe", block_bytes)
+    n_parts = parts_for(docs, PART_BYTES)
+    return exchange(rows, n_parts, _make(n_parts), _answer(tokenizer), None, functools.partial(_fill, finish), schema, "bpe", block_bytes)
 
 
 @functools.lru_cache(maxsize=4)

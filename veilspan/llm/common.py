@@ -2,41 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import scratch_path, ship
 
 #: Rows of a document batch sent to a Python worker hold at most about this many bytes.
 BATCH_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); where it is unset, one is made if all
-    run in this process, and anything else is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="veilspan-")
-        atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/veilspan/{name}-{uuid.uuid4().hex}"
-
-
 def stage(df: DataFrame, name: str, partition_by: Sequence[str] = (), codec: str = "zstd", into: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends, lost executors cost nothing.
 

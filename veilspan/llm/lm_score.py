@@ -9,9 +9,11 @@ corpus): the background is counted over all documents, the target over all those
 A document starts from a start mark. A token's loss is -ln p(w | v); a document's score is the
 mean over its tokens of target loss less background loss, so lower is closer to the target.
 
-Counts are exact and over whole texts. They meet by hash parts of the vocabulary: within a
-part, n-grams are told apart by KEY_BITS bits, so the chance that one shares a count with
-another stays the same as the corpus grows (about 2e-6 with parts of some million n-grams).
+Counts are over whole texts, and approximate in one way. They meet by hash parts of the
+vocabulary: within a part, n-grams are told apart by KEY_BITS bits, so about two n-grams in a
+million share one count (with parts of some million n-grams, at any size of the corpus). A
+document of 1,000 tokens has such a token with a chance of 0.2 %; its loss is then off by what
+the other n-gram's count adds.
 """
 
 from __future__ import annotations
@@ -154,7 +156,7 @@ def score(docs: DataFrame, targets: DataFrame | Iterable, id_col: str = "doc_id"
     """
     tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    n_parts = min(parts_for(docs, PART_BYTES), 1 << 16)
+    n_parts = parts_for(docs, PART_BYTES)
     kind = rows.schema["id"].dataType.simpleString()
     if not isinstance(targets, DataFrame):
         targets = docs.sparkSession.createDataFrame([(i,) for i in targets], f"target {kind}")
@@ -166,7 +168,7 @@ def score(docs: DataFrame, targets: DataFrame | Iterable, id_col: str = "doc_id"
     flagged = lambda df, is_target: df.select(F.struct("id", is_target.alias("target")).alias("id"), "text")
     marked = flagged(other, F.lit(False)).unionByName(flagged(some, F.col("_target").isNotNull()))
     schema = f"id {kind}, n_tokens bigint, target_loss double, background_loss double, score double"
-    out = exchange(marked, _make(n_parts), _answer, _summary, _fill(n_parts), schema, "lm")
+    out = exchange(marked, n_parts, _make(n_parts), _answer, _summary, _fill(n_parts), schema, "lm")
     return out.withColumnRenamed("id", id_col)
 
 

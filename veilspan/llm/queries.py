@@ -82,8 +82,23 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _store.store_and_read(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+# What SQL can say of operators that it cannot express as a whole: the columns it can work out.
+
+
+def llm_secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def llm_media_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_ogg_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def llm_language_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_language_id(spark, sf_dir).select("doc_id", "held_out", (F.col("lang_pred") == _langid.UNKNOWN).alias("unknown"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith(("op", "llm_")) and callable(f)}
 
 
 SQL: dict[str, str] = {}
@@ -152,5 +167,42 @@ SELECT doc_id, domain, lang, source, n_tokens, CAST(epochs AS BIGINT) AS epoch,
 """
 
 
+def _secret_spans_sql(kind: str, place: int, pattern: str, least: str) -> str:
+    """SQL: doc_id, kind, place, s, e of a pattern's matches, by marking, cutting and adding up."""
+    return f"""SELECT doc_id, '{kind}' AS kind, {place} AS place, e - length(v) AS s, e FROM (
+      SELECT doc_id, v, ix, sum(length(v)) OVER (PARTITION BY doc_id ORDER BY ix) AS e FROM (
+        SELECT doc_id, unnest(parts) AS v, generate_subscripts(parts, 1) AS ix FROM (
+          SELECT doc_id, string_split(regexp_replace(t, '{pattern}', chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS parts FROM d))) WHERE ix % 2 = 0 AND {least}"""
+
+
+_ASSIGN = """(?i)(?:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?[A-Za-z0-9+/_.=-]+"""
+_VALUE = _ASSIGN.replace("[A-Za-z0-9+/_.=-]+", "([A-Za-z0-9+/_.=-]+)")
+
+SQL["llm_secret_base_spans"] = f"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), chr(1), ' ') AS t FROM documents),
+s AS ({_secret_spans_sql('assign', 0, _ASSIGN, f"length(regexp_extract(v, '{_VALUE}', 1)) >= 12")}
+  UNION ALL {_secret_spans_sql('access', 1, 'AKIA[A-Z0-9]+', 'length(v) >= 18')}
+  UNION ALL {_secret_spans_sql('hex', 2, '[0-9a-f]+', 'length(v) >= 16')}),
+g AS (SELECT doc_id, count(*) FILTER (place = 0) AS a, count(*) FILTER (place = 1) AS b, count(*) FILTER (place = 2) AS c,
+  string_agg(kind || ':' || CAST(CAST(s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(e AS BIGINT) AS VARCHAR), ',' ORDER BY s, place) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN g USING (doc_id)
+"""
+
+SQL["llm_media_payload"] = f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT doc_id, b, CAST(octet_length(b) AS BIGINT) AS n FROM d),
+q AS (SELECT *, CASE WHEN n = 0 THEN {_ogg.UNIT} ELSE ({_ogg.UNIT} - n % {_ogg.UNIT}) % {_ogg.UNIT} END AS pad FROM p)
+SELECT doc_id, n AS n_bytes, CAST(n + pad AS BIGINT) AS payload_bytes, sha256(b || repeat('\\xFF'::BLOB, pad)) AS payload_sha256 FROM q
+"""
+
+#: CRC-32 of the id's digits: each byte is taken in, then eight steps of one bit.
+SQL["llm_language_folds"] = """
+WITH d AS (SELECT doc_id, text, list_transform(range(1, 1 + length(CAST(doc_id AS VARCHAR))), lambda i: CAST(ord(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT)) AS bytes FROM documents),
+s AS (SELECT doc_id, text, list_prepend(4294967295::BIGINT, flatten(list_transform(bytes, lambda b: [1000 + b, 0, 0, 0, 0, 0, 0, 0, 0]))) AS steps FROM d),
+c AS (SELECT doc_id, text, xor(list_reduce(steps, lambda c, x: CASE WHEN x >= 1000 THEN xor(c, x - 1000) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295::BIGINT) AS crc FROM s)
+SELECT doc_id, crc % 5 = 0 AS held_out, text IS NULL OR NOT regexp_matches(text, '\\p{L}') AS unknown FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
