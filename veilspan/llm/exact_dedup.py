@@ -128,14 +128,15 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = _groups(counted)
     found = attach(counted, groups, ["_digest"], "group_size", n)
     stays = F.col("_id").eqNullSafe(F.col("keep_id"))
-    judged = stage(found.filter(~stays | (F.col("_rows") > 1)).select(F.col("_id").alias("_judged_id"), F.col("_digest").alias("_judged"), (~stays).alias("_goes")), "judged")
-    unstage(marked, groups)
 
     @F.arrow_udf("bigint")
     def pair(digest: pa.Array, ids: pa.Array) -> pa.Array:
         return pa.array(_pair(digest.to_pylist(), ids))
 
-    held = bloom.members(judged.select(pair(F.col("_judged"), F.xxhash64("_judged_id"))), judged.count(), max_bytes=max_filter_bytes)
+    judged = found.filter(~stays | (F.col("_rows") > 1)).select(F.col("_id").alias("_judged_id"), F.col("_digest").alias("_judged"), (~stays).alias("_goes"), pair(F.col("_digest"), F.xxhash64("_id")).alias("_pair"))
+    judged = stage(judged, "judged")
+    unstage(marked, groups)
+    held = bloom.members(judged.select("_pair"), judged.count(), max_bytes=max_filter_bytes)
     test = held.probe()
 
     @F.arrow_udf("digest binary, maybe boolean")
@@ -147,7 +148,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     full = packed(docs, _id=F.col(id_col), _d=meet(F.col(text_col), F.xxhash64(id_col)))
     once, some = full.filter(~F.col("_d.maybe")), full.filter("_d.maybe").select("_row", "_id", F.col("_d.digest").alias("_digest"))
-    met = some.join(judged, (F.col("_digest") == F.col("_judged")) & F.col("_id").eqNullSafe(F.col("_judged_id")), "left")
+    met = some.join(judged.drop("_pair"), (F.col("_digest") == F.col("_judged")) & F.col("_id").eqNullSafe(F.col("_judged_id")), "left")
     one_each = met.filter(~F.col("_goes")).dropDuplicates(["_digest", "_id"])
     parts = [x.select("_row.*") for x in (once, met.filter(F.col("_goes").isNull()), one_each)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -203,8 +203,21 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tops = stay.join(again, F.col("root") == F.col("_again")).select(*own, F.lit(False).alias("_goes"))
     judged = stage(gone.unionByName(tops).distinct(), "judged")
     unstage(groups)
-    once, some = bloom.split(docs, F.xxhash64(id_col), judged.select(F.xxhash64("_judged_id").alias("h")), judged.count(), max_filter_bytes)
-    some = packed(some, _id=F.col(id_col), _fp=fingerprint_udf(options.get("shingle", SHINGLE))(F.col(text_col)))
+    test, width = bloom.members(judged.select(F.xxhash64("_judged_id")), judged.count(), max_bytes=max_filter_bytes).probe(), options.get("shingle", SHINGLE)
+
+    @F.arrow_udf("bigint")
+    def held_back(text: pa.Array, ids: pa.Array) -> pa.Array:
+        """The fingerprint of a row that may be judged, null for the others: filter and
+        fingerprint in one worker, since two in a row would take the memory of both."""
+        maybe = test(np.asarray(ids))
+        fps = np.zeros(len(maybe), np.uint64)
+        at = np.nonzero(maybe)[0]
+        fps[at] = [fingerprint(t, width) for t in text.take(pa.array(at)).cast(pa.binary()).to_pylist()]
+        give_back()
+        return pa.array(fps.view(np.int64), mask=~maybe)
+
+    marked = packed(docs, _id=F.col(id_col), _fp=held_back(F.col(text_col), F.xxhash64(id_col)))
+    once, some = marked.filter("_fp is null").select("_row.*"), marked.filter("_fp is not null")
     met = some.join(judged, (F.col("_id") == F.col("_judged_id")) & (F.col("_fp") == F.col("_judged")), "left")
     free = met.filter(F.col("_goes").isNull()).select("_row.*")
     return once.unionByName(free).unionByName(met.filter(~F.col("_goes")).dropDuplicates(["root"]).select("_row.*"))
