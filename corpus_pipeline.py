@@ -44,7 +44,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, decoded again: counts and digests of both. Blocks are small,
     since executors still hold what the stages before left."""
-    return _bpe.round_trip(docs, _queries.tokenizer_path("byte_bpe_50k.json"), block_bytes=6 << 20)
+    return _bpe.round_trip(docs, _queries.tokenizer_path("byte_bpe_50k.json"), block_bytes=4 << 20)
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("simhash", simhash), ("mixing", mixing), ("bpe", bpe)]
