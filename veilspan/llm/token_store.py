@@ -32,7 +32,7 @@ END_ID = 1
 #: Text bytes of a file, at least, and files of a table, at most: past that, files grow.
 FILE_BYTES, MOST_FILES = 16 << 20, 100_000
 #: Text bytes encoded at a time, and words in a worker's memo; it is emptied once there are more.
-STEP_BYTES, MEMO = 4 << 20, 1_000_000
+STEP_BYTES, MEMO = 4 << 20, 600_000
 
 LAYOUT = {
     "compression": "zstd",
