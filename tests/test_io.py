@@ -107,3 +107,57 @@ def test_command_line(spark, tmp_path, capsys):
     spark.createDataFrame([(1, 0, "a b", "FULL_NAME")], "doc_id long, j int, text string, label string").write.parquet(str(tmp_path / "g"))
     main(["benchmark", str(tmp_path / "p"), str(tmp_path / "g"), "--gate", "-o", str(tmp_path / "o")])
     assert "FULL_NAME" in capsys.readouterr().out
+
+
+def test_record_files_names(spark, tmp_path):
+    import pytest
+
+    records = lambda *names: spark.createDataFrame([(n, "x", {}) for n in names], "file string, input string, entities map<string,array<string>>")
+    assert files.write_record_files(records("a.json", "b +%.json"), str(tmp_path / "f")) == 2
+    assert sorted(r["file"] for r in files.read_split(spark, str(tmp_path / "f"))[0].collect()) == ["a.json", "b +%.json"]
+    assert files.write_record_files(records(), str(tmp_path / "none")) == 0
+    assert json.loads((tmp_path / "f/a.json").read_text()) == {"input": "x", "output": {"entities": {}}}
+    for bad in (("a.json", "a.json"), (None,), ("../a.json",), (".a",)):
+        with pytest.raises(ValueError):
+            files.write_record_files(records(*bad), str(tmp_path / "bad"))
+    assert not (tmp_path / "bad").exists()
+
+
+def test_comparison_report():
+    row = lambda m, s, p, **k: {"method": m, "labels": s, "precision": p, "recall": p, "f1": p, "f_beta": p, **k}
+    rows = [row("a", "all", 0.5, label="X"), row("b", "all", 0.25, label="X"), row("b", "base", 1.0, label="Y")]
+    text = reports.format_comparison(rows, [row("a", "all", 0.5), row("b", "all", 0.25), row("b", "base", 1.0)], [{"method": "a", "nric_total": 2, "nric_protected": 1}, {"method": "b", "nric_total": 0, "nric_protected": 0}])
+    lines = [x.split() for x in text.splitlines()]
+    assert ["X", "0.50/0.50/0.50/0.50", "0.25/0.25/0.25/0.25"] in lines and ["Y", "-", "1.00/1.00/1.00/1.00"] in lines
+    assert ["a", "0.50/0.50/0.50/0.50", "-"] in lines and ["a", "1/2", "safe", "(0.50)"] in lines and ["b", "0/0", "safe", "(n/a)"] in lines
+
+
+def test_command_line_reports(spark, tmp_path, capsys):
+    import pytest
+
+    from veilspan.__main__ import main
+
+    for split, text in (("train", "a b"), ("val", "c d")):
+        put(tmp_path / f"data/{split}/1.json", {"input": text, "output": {"entities": {"full_name": [text]}}})
+    main(["splits", str(tmp_path / "data"), str(tmp_path / "built"), "--names", "train", "val"])
+    assert "train has no gold for: account_number" in capsys.readouterr().out
+    assert "".join(p.read_text() for p in (tmp_path / "built/val").glob("part*")) == '{"input":"c d","output":{"entities":{"full_name":["c d"]}}}\n'
+    put(tmp_path / "data/val/2.json", {"input": "a b", "output": {"entities": {}}})
+    with pytest.raises(SystemExit):
+        main(["splits", str(tmp_path / "data"), str(tmp_path / "again"), "--names", "train", "val"])
+    assert not (tmp_path / "again").exists()
+
+    put(tmp_path / "red.json", "".join(json.dumps({"line": k, "redacted": f"call {k}"}) + "\n" for k in range(10)))
+    main(["shards", str(tmp_path / "red.json"), str(tmp_path / "sh"), "--pieces", "3"])
+    assert sorted(p.name for p in (tmp_path / "sh").glob("shard=*")) == ["shard=0", "shard=1", "shard=2"]
+    put(tmp_path / "j/judge_result_rulebased_0.json", {"assessed": 10, "leaked_lines": [3], "details": [{"line": 3, "type": "Full NRIC", "value": "call"}]})
+    spark.createDataFrame([(k, f"f_{k % 2}_x") for k in range(10)], "line int, file string").write.parquet(str(tmp_path / "names"))
+    main(["leaks", str(tmp_path / "j"), str(tmp_path / "red.json"), str(tmp_path / "names"), str(tmp_path / "html")])
+    assert "'leaked_files': 1" in capsys.readouterr().out
+    assert '<span class="leak">call</span> 3' in "".join(p.read_text() for p in (tmp_path / "html").glob("part*"))
+
+    spark.createDataFrame([(1, 0, "a b", "FULL_NAME"), (1, 1, "x@y.sg", "EMAIL_ADDRESS")], "doc_id long, i int, text string, label string").write.parquet(str(tmp_path / "p"))
+    spark.createDataFrame([(1, 0, "a b", "FULL_NAME"), (1, 1, "S1234567A", "SG_NRIC_FIN")], "doc_id long, j int, text string, label string").write.parquet(str(tmp_path / "g"))
+    main(["compare", str(tmp_path / "g"), f"one={tmp_path / 'p'}", "-o", str(tmp_path / "cmp")])
+    lines = [x.split() for x in capsys.readouterr().out.splitlines()]
+    assert ["FULL_NAME", "1.00/1.00/1.00/1.00"] in lines and ["one", "0.50/0.50/0.50/0.50"] in lines and ["one", "0/1", "safe", "(0.00)"] in lines

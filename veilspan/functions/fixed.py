@@ -23,6 +23,24 @@ GROUP_SYNONYMS = {
     "NRIC": ["NRIC_FIN", "NRIC", "SG_NRIC"],
 }
 
+# Fixed values. The model recognizer's own label names, each with the rule entity it stands for.
+MODEL_SYNONYMS = {
+    "sg_phone_number": "SG_PHONE_NUMBER",
+    "sg_contact_number": "SG_PHONE_NUMBER",
+    "sg_mobile_number": "SG_PHONE_NUMBER",
+    "phone_number": "SG_PHONE_NUMBER",
+    "contact_number": "SG_PHONE_NUMBER",
+    "mobile_number": "SG_PHONE_NUMBER",
+    "contact": "SG_PHONE_NUMBER",
+    "sg_address": "SG_ADDRESS",
+    "address": "SG_ADDRESS",
+    "sg_address_unit_number": "SG_UNIT_NUMBER",
+    "sg_address_block_number": "SG_ADDRESS_BLOCK_NUMBER",
+    "email_address": "EMAIL_ADDRESS",
+    "sg_nric_fin": "SG_NRIC_FIN",
+    "sg_postal_code": "SG_POSTAL_CODE",
+}
+
 # Fixed values. Rule patterns.
 PHONE = r"(?<!\d)(?<!\d[ -])(?:\+?65[ -]*)?[3689](?:[ -]*\d){7}(?![ -]*\d)"
 ACCOUNT = r"\b\d{10}\b"
@@ -106,3 +124,4 @@ COMPLETE_DIGITS = 8
 NRIC_RULE = r"\b[STFGM]\d{7}[A-Z]\b"
 EMAIL_RULE = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b"
 PERSON_RULE = r"(?<=\b[Nn]ame is |\bthis is |\bThis is )[A-Z][a-z]+(?: [A-Z][a-z]+){1,3}\b"
+PERSON_CAPITALISED = r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\b"

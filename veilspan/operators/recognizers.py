@@ -135,6 +135,9 @@ REGISTRY: list[Recognizer] = [
     Recognizer("SG_ADDRESS", AREA, _plain(X.HIGH), True),
 ]
 ENTITIES = list(dict.fromkeys(r.label for r in REGISTRY))
+#: Names by capitals alone, for callers without a name model: REGISTRY + [CAPITALISED_NAME]. It
+#: also takes other runs of capitalised words, so it is not in the registry itself.
+CAPITALISED_NAME = Recognizer("PERSON", X.PERSON_CAPITALISED, _plain(X.MODERATE))
 #: Overlaps of one type are resolved among these; pattern recognizers report every match.
 ADDRESS_ENTITIES = ["SG_POSTAL_CODE", "SG_UNIT_NUMBER", "SG_ADDRESS_BLOCK_NUMBER", "SG_ADDRESS"]
 
@@ -166,14 +169,19 @@ def resolve_same_type(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans, order), F.array().cast(RULE_SPAN), step)
 
 
-def rule_spans(text: Column, entities: Sequence[str] = ENTITIES, threshold: float = X.RULE_THRESHOLD) -> Column:
-    """Rule spans of a text column, in order of start and end; only asked-for entities are run."""
-    unknown = set(entities) - set(ENTITIES)
+def rule_spans(text: Column, entities: Sequence[str] = ENTITIES, threshold: float = X.RULE_THRESHOLD, registry: Sequence[Recognizer] | None = None) -> Column:
+    """Rule spans of a text column, in order of start and end; only asked-for entities are run.
+
+    registry takes the place of REGISTRY: own recognizers, of known or new entities.
+    """
+    own = REGISTRY if registry is None else registry
+    known = list(dict.fromkeys(r.label for r in own))
+    unknown = set(entities) - set(known)
     if unknown:
         raise ValueError(f"no recognizer for {sorted(unknown)}")
     by_label: list[Column] = []
-    for label in (x for x in ENTITIES if x in entities):
-        spans = F.concat(*(r.spans(text) for r in REGISTRY if r.label == label))
+    for label in (x for x in known if x in entities):
+        spans = F.concat(*(r.spans(text) for r in own if r.label == label))
         by_label.append(resolve_same_type(spans) if label in ADDRESS_ENTITIES else spans)
     every = F.filter(F.concat(*by_label), lambda m: m["score"] >= threshold)
     return F.array_sort(every, lambda a, b: F.when(a["s"] < b["s"], -1).when(a["s"] > b["s"], 1).when(a["e"] < b["e"], -1).when(a["e"] > b["e"], 1).otherwise(0))
@@ -197,3 +205,24 @@ def rule_predictions(df: DataFrame, text_col: str = "text", entities: Sequence[s
     )
     keep = lambda p: p["label"].isNotNull() & (F.length(p["text"]) > 0) & not_speaker(p["text"], p["label"])
     return with_rule_spans(df, text_col, entities, threshold, "_spans").withColumn("predictions", F.filter(made, keep)).drop("_spans")
+
+
+def model_recognizer(text: Column, spans: Column, entities: Sequence[str] = ENTITIES, names: dict[str, str] = X.MODEL_SYNONYMS) -> Column:
+    """A model's raw spans, array<struct<s,e,label,conf>> in its own label names, as rule spans.
+
+    A label that names does not hold, or whose entity is not asked for, is dropped, and so is a
+    value that only says its label, a generic word, or one that cannot be of its entity. Order
+    stays. Null spans give null, an empty array an empty one.
+    """
+    from .predicates import generic_words, implausible, label_literal
+
+    entity = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+
+    def named(m: Column) -> Column:
+        return F.struct(m["s"].cast("int").alias("s"), m["e"].cast("int").alias("e"), F.try_element_at(entity, m["label"]).alias("label"), m["conf"].cast("double").alias("score"), m["label"].alias("own"))
+
+    def sound(m: Column) -> Column:
+        bad = lambda v: label_literal(v, m["own"]) | generic_words(v, m["label"]) | implausible(v, m["label"])
+        return m["label"].isin(list(entities)) & ~let(cut(text, m["s"], m["e"]), bad)
+
+    return F.transform(F.filter(F.transform(spans, named), sound), lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), m["label"].alias("label"), m["score"].alias("score")))

@@ -127,6 +127,37 @@ def rec_person(spark, sf_dir):
     return _rule(spark, sf_dir, "PERSON")
 
 
+@query(f"{WITH} SELECT doc_id, s, e, value FROM ({sql_spans(X.PERSON_CAPITALISED)})")
+def rec_person_capitalised(spark, sf_dir):
+    """Names by capitals alone, through a registry of one's own."""
+    df = calls(spark, sf_dir)
+    spans = rec.rule_spans(F.col("text"), ["PERSON"], registry=[rec.CAPITALISED_NAME])
+    return _hits(df, spans).select("doc_id", "m.s", "m.e", cut(F.col("text"), F.col("m.s"), F.col("m.e")).alias("value"))
+
+
+#: What a model might say of a call: its label, the value as SQL, and the entity that is kept.
+_RAW_SPANS = [
+    ("contact_number", "'contact number'", None), ("address", "'Mailing address '", None), ("contact", "'Mr Tan'", None), ("email_address", "'Email'", None),
+    ("mobile_number", "phone", "SG_PHONE_NUMBER"), ("contact", "phone", "SG_PHONE_NUMBER"), ("sg_postal_code", "postal", "SG_POSTAL_CODE"), ("sg_nric_fin", "nric", "SG_NRIC_FIN"),
+    ("sg_nric_fin", "digits", None), ("sg_address_unit_number", "unit", "SG_UNIT_NUMBER"), ("address", "area", "SG_ADDRESS"), ("full_name", "name", None),
+]
+_RAW_TEXT = " || '; ' || ".join(v for _, v, _ in _RAW_SPANS)
+
+
+@query(f"{WITH}, t AS (SELECT *, {_RAW_TEXT} AS t FROM calls) " + " UNION ALL ".join(
+    f"SELECT doc_id, {k} AS i, '{entity}' AS label, {v} AS value, CAST(length({' || '.join([chr(39) * 2, *(x + ' || ' + repr('; ') for _, x, _ in _RAW_SPANS[:k])])}) AS INTEGER) AS s FROM t" for k, (_, v, entity) in enumerate(_RAW_SPANS) if entity))
+def model_recognized(spark, sf_dir):
+    """A model's raw labels as entities: synonyms, without words that only name a label."""
+    spans, at = [], F.lit(0)
+    for k, (label, v, _) in enumerate(_RAW_SPANS):
+        end = at + F.length(F.expr(v))
+        spans.append(F.struct(at.alias("s"), end.alias("e"), F.lit(label).alias("label"), F.lit(k / 100).alias("conf")))
+        at = end + 2
+    df = calls(spark, sf_dir).select("doc_id", F.expr(_RAW_TEXT).alias("text"), F.array(*spans).alias("raw"))
+    kept = _hits(df, rec.model_recognizer(F.col("text"), F.col("raw")))
+    return kept.select("doc_id", F.round(F.col("m.score") * 100).cast("int").alias("i"), "m.label", cut(F.col("text"), F.col("m.s"), F.col("m.e")).alias("value"), "m.s")
+
+
 _STREET = "CASE WHEN area = 'Ang Mo Kio' THEN 'Mo Kio' WHEN area = 'Toa Payoh' THEN area ELSE substr(block, 5) || ' ' || area END || ' Street 21'"
 
 
@@ -784,6 +815,17 @@ def io_methods(spark, sf_dir):
     return spark.read.schema("line long, method string").json(path)
 
 
+@query("SELECT r_name AS file, 'é ' || r_name AS input, r_name AS value FROM region UNION ALL SELECT n_name, 'é ' || n_name, n_name FROM nation")
+def io_record_files(spark, sf_dir):
+    """A file for each record of two small tables, and the folder read as a split."""
+    names = table(spark, sf_dir, "region").select(F.col("r_name").alias("n")).unionByName(table(spark, sf_dir, "nation").select(F.col("n_name").alias("n")))
+    records = names.select(F.concat("n", F.lit(".json")).alias("file"), F.concat(F.lit("é "), "n").alias("input"), F.create_map(F.lit("full_name"), F.array("n")).alias("entities"))
+    path = scratch_path(spark, "records")
+    files.write_record_files(records, path)
+    got, _ = files.read_split(spark, path)
+    return got.select(F.regexp_replace("file", r"\.json$", "").alias("file"), "input", F.col("entities")["full_name"][0].alias("value"))
+
+
 @query(f"{WITH} SELECT doc_id, CAST(CASE WHEN {FULL} THEN 9 ELSE 0 END AS INTEGER) AS n_spans, {_masked(lambda k: f'<{k}>')} AS redacted FROM calls")
 def flagship(spark, sf_dir):
     """Calls to masked calls: what the library is for."""

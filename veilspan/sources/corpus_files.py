@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,12 +15,17 @@ RECORD = T.StructType([T.StructField("input", T.StringType()), T.StructField("ou
 _READ = T.StructType([*RECORD.fields, T.StructField("_corrupt_record", T.StringType())])
 
 
+def file_name() -> Column:
+    """The name of a row's file; Spark gives it as a part of a URI."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def read_split(spark: SparkSession, folder: str, split: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(records: file, input, entities, split; rejects: file, reason) of all JSON files below a
     folder, one record each, `example.json` left out. A file that does not parse, or lacks
     input or output, is a reject."""
     raw = spark.read.schema(_READ).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("mode", "PERMISSIVE").json(folder)
-    named = raw.select(F.col("_metadata.file_name").alias("file"), "input", "output", "_corrupt_record").filter("file <> 'example.json'")
+    named = raw.select(file_name().alias("file"), "input", "output", "_corrupt_record").filter("file <> 'example.json'")
     reason = (
         F.when(F.col("_corrupt_record").isNotNull(), "not JSON")
         .when(F.col("input").isNull(), "no input")
@@ -34,7 +43,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     A split's lines are ranked among themselves and start after the lines of all splits before
     it, so no task holds a whole file. Empty lines count, as they do in the files.
     """
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_b"), "value")
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("_f"), file_name().alias("file"), F.col("_metadata.file_block_start").alias("_b"), "value")
     sizes = raw.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
     base = sizes.select(F.col("_f").alias("_bf"), F.col("_b").alias("_bb"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"))
@@ -102,6 +111,32 @@ def write_by_key(records: DataFrame, path: str, key: str, mode: str = "error") -
     records.repartition(key).write.mode(mode).partitionBy(key).json(path)
 
 
+def write_record_files(records: DataFrame, folder: str, name_col: str = "file") -> int:
+    """<folder>/<name> for each record (name, input, entities), as read_split reads them; returns how many.
+
+    Tasks write their own files, so a task that runs again writes the same bytes again. Names
+    must be plain (no folder, no leading dot or underscore, which Spark would not read) and each may
+    occur once; others are an error before anything is written. The
+    folder is a path or URI that every executor reaches. Null inputs count as empty.
+    """
+    name = F.col(name_col)
+    bad = records.groupBy(name.alias("name")).count().filter((F.col("count") > 1) | F.col("name").isNull() | F.col("name").rlike(r"/|^[._]|^$")).limit(1).collect()
+    if bad:
+        raise ValueError(f"not a file name for one record: {bad[0]['name']!r}")
+    line = F.to_json(F.struct(F.coalesce("input", F.lit("")).alias("input"), F.struct(F.coalesce("entities", F.create_map().cast(ENTITIES)).alias("entities")).alias("output")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
+        for b in batches:
+            for own, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                with fs.open_output_stream(f"{base}/{own}") as out:
+                    out.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    return records.select(name.alias("name"), line.alias("line")).mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def write_redacted(df: DataFrame, path: str, mode: str = "error") -> None:
     df.select("line", "redacted").write.mode(mode).json(path)
 

@@ -71,3 +71,24 @@ def format_gate(rows: Iterable, threshold: float = 0.8) -> str:
     lines = [f"PER-LABEL GATE (P, R and F1 > {threshold:g})", "-" * 78]
     lines += [f"{r['label']:<20} P={r['precision']:.4f} R={r['recall']:.4f} F1={r['f1']:.4f} [{'PASS' if r['passed'] else 'FAIL'}]" for r in rows]
     return "\n".join([*lines, f"ALL {len(rows)} LABELS PASS: {all(r['passed'] for r in rows)}"]) + "\n"
+
+
+def format_comparison(rows: Iterable, overall: Iterable, protection: Iterable = (), title: str = "comparison") -> str:
+    """Arms side by side, a table for each label set: cells are P/R/F1/F-beta, `-` where an arm has none.
+
+    rows: method, labels, label and scores; overall: method, labels and scores; protection:
+    method, nric_total, nric_protected. Methods, label sets and labels stand in order of first mention.
+    """
+    rows, overall = list(rows), list(overall)
+    cell = lambda r: "/".join(f"{r[k]:.2f}" for k in ("precision", "recall", "f1", "f_beta")) if r else "-"
+    arms, sets = (list(dict.fromkeys(r[k] for r in [*overall, *rows])) for k in ("method", "labels"))
+    lines = [title, "=" * 78]
+    for s in sets:
+        own = {(r["label"], r["method"]): r for r in rows if r["labels"] == s}
+        lines += ["", f"BY LABEL, {s} (precision/recall/F1/F-beta)", f"{'label':<20}" + "".join(f"{a:>23}" for a in arms)]
+        lines += [f"{k:<20}" + "".join(f"{cell(own.get((k, a))):>23}" for a in arms) for k in dict.fromkeys(k for k, _ in own)]
+    total = {(r["method"], r["labels"]): r for r in overall}
+    lines += ["", "OVERALL (precision/recall/F1/F-beta)", f"{'method':<20}" + "".join(f"{s:>23}" for s in sets)]
+    lines += [f"{a:<20}" + "".join(f"{cell(total.get((a, s))):>23}" for s in sets) for a in arms]
+    said = [f"{r['method']:<20}{r['nric_protected']}/{r['nric_total']} safe" + (f" ({r['nric_protected'] / r['nric_total']:.2f})" if r["nric_total"] else " (n/a)") for r in protection]
+    return "\n".join([*lines, *(["", "WHOLE NATIONAL IDS (safe: a piece was caught)", *said] if said else [])]) + "\n"
