@@ -60,6 +60,61 @@ def test_blocks_of_any_size(spark, monkeypatch):
     assert blocks.gather(np.array([5, 0]), np.array([2, 3])).tolist() == [5, 6, 0, 1, 2]
 
 
+def test_fans():
+    assert blocks.fans_for(1) == [1] and blocks.fans_for(4096) == [4096]
+    for n in (4097, 10**6, 4096**2, 4096**2 + 1):
+        fans = blocks.fans_for(n)
+        assert n <= math.prod(fans) and max(fans) <= blocks.MOST_ASKS
+    assert len(blocks.fans_for(10**6)) == 2 and len(blocks.fans_for(4096**2 + 1)) == 3
+
+
+@pytest.mark.parametrize("levels", [2, 3])
+def test_levels_of_parts_change_nothing(spark, monkeypatch, levels):
+    """Small blocks that ask two parts each, which are parts of parts: ids and losses are the same."""
+    rng = random.Random(levels)
+    texts = [*TEXTS[:8], *(" ".join(f"w{int(rng.paretovariate(0.5)) % 997}" for _ in range(rng.randrange(60))) for _ in range(300))]
+    docs, path, target = table(spark, texts), tokenizer_path("byte_bpe_50k.json"), set(range(0, 300, 3))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    losses = lm_score.score(docs, target).select("doc_id", "n_tokens", *(F.round(c, 9) for c in ("target_loss", "background_loss", "score")))
+    want = rows(bpe.round_trip(docs, path)), [repr(r) for r in rows(losses)]
+    names = []
+    stage = blocks.stage
+    monkeypatch.setattr(blocks, "stage", lambda df, name, *a, **k: names.append(name) or stage(df, name, *a, **k))
+    monkeypatch.setattr(blocks, "MOST_ASKS", 2)
+    for m in (bpe, lm_score):
+        monkeypatch.setattr(m, "parts_for", lambda *_: 2**levels)
+    exchange = blocks.exchange
+    for m in (bpe, lm_score):
+        monkeypatch.setattr(m, "exchange", lambda *a, **k: exchange(*a, **{**k, "block_bytes": 500}))
+    assert rows(bpe.round_trip(docs, path)) == want[0]
+    losses = lm_score.score(docs, target).select("doc_id", "n_tokens", *(F.round(c, 9) for c in ("target_loss", "background_loss", "score")))
+    assert [repr(r) for r in rows(losses)] == want[1]
+    assert names.count("bpe-relays") == names.count("lm-relays") == levels - 1
+
+
+def test_messages_grow_with_the_blocks(spark, monkeypatch):
+    """However many parts there are, a block or relay sends MOST_ASKS messages at most, and there
+    are hardly more relays than blocks."""
+    sent, stage, most = {}, blocks.stage, 4
+
+    def counted(df, name, *a, **k):
+        out = stage(df, name, *a, **k)
+        if name in ("bpe-blocks", "bpe-relays"):
+            sent.setdefault(name, []).append((out.filter("kind = 0").count(), out.filter("kind = 1").count()))
+        return out
+
+    monkeypatch.setattr(blocks, "stage", counted)
+    monkeypatch.setattr(blocks, "MOST_ASKS", most)
+    for n_blocks, n_parts in ((20, 8), (40, 16)):
+        texts = [" ".join(f"w{(7 * i + k) % 211}" for k in range(200)) for i in range(10 * n_blocks)]
+        monkeypatch.setattr(bpe, "parts_for", lambda *_, n=n_parts: n)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        bpe.round_trip(docs, tokenizer_path("byte_bpe_50k.json"), block_bytes=10_000).count()
+    assert all(m <= most * senders for level in sent.values() for senders, m in level), sent
+    for (n, _), (relays, _) in zip(sent["bpe-blocks"], sent["bpe-relays"], strict=True):
+        assert 20 <= n and relays <= n + most, sent
+
+
 def test_token_store_is_the_librarys(spark, tmp_path):
     path, ids = tokenizer_path("word_bpe_49k.json"), [5, 3, 9, 1, 7, 0, 2, 8, 4, 6, 10]
     _, want = library("word_bpe_49k.json", TEXTS)

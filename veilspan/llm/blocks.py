@@ -7,11 +7,19 @@ in the order it asked. A block and its replies then meet on the block id, and ea
 items are filled in by position. What is shuffled is compressed and grows with the distinct
 items of the blocks; no key is hot, since a block asks for an item once however often it
 occurs. Blocks are staged before use, so a retried task cannot renumber them.
+
+Blocks and parts both grow with the input. A block therefore asks MOST_ASKS parts at most: where
+there are more, they are parts of parts, and between two levels stand relays. A relay takes one
+part's asks of a group of blocks, tells their items apart once more, and asks the part's own
+parts as a block would. There are about as many relays at a level as blocks, and each sends
+MOST_ASKS messages at most, so their number is bounded by the blocks, not by blocks times parts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import prod
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +36,41 @@ from .common import give_back, stage, unstage
 BLOCK_BYTES = 20 << 20
 
 BLOCK_SCHEMA = "block bigint, part int, payload binary, kind int"
+REPLY_SCHEMA = "block bigint, part int, reply binary"
+
+#: Parts that a block or a relay asks, at most.
+MOST_ASKS = 4096
+#: Tasks of one shuffle, at most; past that a task takes several blocks or parts, one after another.
+MOST_TASKS = 50_000
+
+
+class Protocol(NamedTuple):
+    """What an operator says at each place. Leaves are numbered; a part is a range of them.
+
+    make(ids, texts) -> own bytes and one ask (or None) per part of the first level
+    split(asks, stride, fan) -> own bytes and one ask (or None) for each of fan parts, each of
+        which has stride leaves
+    join(own, replies by part) -> one reply per ask of that split
+    answer(asks) -> one reply per ask and a list of numbers, for a leaf
+    fill(own, sums of those numbers over all leaves, replies by part) -> a table
+    """
+
+    make: Callable
+    split: Callable
+    join: Callable
+    answer: Callable
+    fill: Callable
+
+
+def fans_for(n_parts: int) -> list[int]:
+    """How many parts are asked at each level; their product is at least n_parts."""
+    levels = 1
+    while MOST_ASKS**levels < n_parts:
+        levels += 1
+    fan = max(1, int(n_parts ** (1 / levels)))
+    while fan**levels < n_parts:
+        fan += 1
+    return [fan] * levels
 
 
 def pack(*arrays: np.ndarray | bytes) -> bytes:
@@ -68,22 +111,21 @@ def narrow(a: np.ndarray) -> np.ndarray:
     return a.astype(np.min_scalar_type(int(a.max())) if len(a) else "u1")
 
 
-def _blocks(make: Callable, arrow_id: pa.DataType, block_bytes: int):
-    """mapInArrow body over (id, text): make(ids, texts) -> (own, [ask of part 0, ...]).
+def _message_rows(sender: int, own: bytes, asks: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    parts, payloads = zip((-1, own), *asks)
+    n = len(parts)
+    return pa.RecordBatch.from_arrays([pa.array([sender] * n, pa.int64()), pa.array(parts, pa.int32()), pa.array(payloads, pa.binary()), pa.array([0] + [1] * (n - 1), pa.int32())], ["block", "part", "payload", "kind"])
 
-    make may empty the list of texts as it goes.
-    """
+
+def _blocks(make: Callable, arrow_id: pa.DataType, block_bytes: int):
+    """mapInArrow body over (id, text), by Protocol.make, which may empty the list of texts as it goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, size, k = [], [], 0, TaskContext.get().partitionId() << 32
 
         def close():
             own, asks = make(pa.array(ids, arrow_id), texts)
-            some = [(p, a) for p, a in enumerate(asks) if a is not None]
-            n = len(some)
-            parts, payloads = zip((-1, own), *some)
-            kinds = [0] + [1] * n
-            return pa.RecordBatch.from_arrays([pa.array([k] * (n + 1), pa.int64()), pa.array(parts, pa.int32()), pa.array(payloads, pa.binary()), pa.array(kinds, pa.int32())], ["block", "part", "payload", "kind"])
+            return _message_rows(k, own, [(p, a) for p, a in enumerate(asks) if a is not None])
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
@@ -113,35 +155,80 @@ def ids_from_bytes(raw: bytes) -> pa.Array:
     return pa.ipc.open_stream(raw).read_all().column(0).combine_chunks()
 
 
-def exchange(docs: DataFrame, n_parts: int, make: Callable, answer: Callable, summary: Callable | None, fill: Callable, fill_schema: str, name: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs (id, text) through blocks, n_parts parts, each of which may have a task of its own, and back.
+def _spread(df: DataFrame, n: int, key: str):
+    return df.repartition(max(1, min(n, MOST_TASKS)), key).groupBy(key)
+
 
-    make(ids, texts) -> own bytes and one ask (or None) per part; answer(asks) -> one reply per
-    ask plus a summary string per part; summary(list of all parts' strings) -> what fill gets as
-    its second argument; fill(own, made, replies by part) -> a table of fill_schema.
+def _replies(table: pa.Table, fan: int) -> dict[int, bytes]:
+    return dict(zip((p % fan for p in table.column("part").to_pylist()), table.column("reply").to_pylist()))
+
+
+def _ask(asks: DataFrame, n_asking: int, n_parts: int, fans: list[int], says: Protocol, totals: bool, name: str) -> tuple[DataFrame, list[int]]:
+    """Replies to asks (block, part, payload), staged, and the leaves' totals.
+
+    n_parts parts are asked by about n_asking blocks each; fans are the levels below.
     """
-    blocks = stage(docs.mapInArrow(_blocks(make, to_arrow_type(docs.schema[0].dataType), block_bytes), BLOCK_SCHEMA), f"{name}-blocks", ["kind"], codec="none")
+    if not fans:
+        return _answered(asks, n_parts, says, totals, name)
+    fan, stride = fans[0], prod(fans[1:])
+    groups = max(1, -(-n_asking // fan))
+
+    def relay(table: pa.Table) -> pa.Table:
+        sender, part = table.column("relay")[0].as_py(), table.column("part")[0].as_py()
+        own, kids = says.split(table.column("payload").to_pylist(), stride, fan)
+        whose = pack(np.asarray(table.column("block"), "<i8"), np.array([part], "<i8"), own)
+        give_back()
+        return pa.Table.from_batches([_message_rows(sender, whose, [(part * fan + c, a) for c, a in enumerate(kids) if a is not None])])
+
+    def back(own: pa.Table, replies: pa.Table) -> pa.Table:
+        blocks, part, raw = unpack(own.column("payload")[0].as_py())
+        out = says.join(raw, _replies(replies, fan))
+        give_back()
+        return pa.table({"block": pa.array(blocks, pa.int64()), "part": pa.array(np.repeat(part, len(blocks)), pa.int32()), "reply": pa.array(out, pa.binary())})
+
+    grouped = asks.withColumn("relay", F.pmod(F.xxhash64("block"), F.lit(groups)) * n_parts + F.col("part"))
+    relays = stage(_spread(grouped, groups * n_parts, "relay").applyInArrow(relay, BLOCK_SCHEMA), f"{name}-relays", ["kind"], codec="none")
+    inner, made = _ask(relays.filter("kind = 1").select("block", "part", "payload"), groups, n_parts * fan, fans[1:], says, totals, name)
+    own = relays.filter("kind = 0").select("block", "payload")
+    served = stage(_spread(own, groups * n_parts, "block").cogroup(_spread(inner, groups * n_parts, "block")).applyInArrow(back, REPLY_SCHEMA), f"{name}-replies", codec="none")
+    unstage(relays, inner)
+    return served, made
 
+
+def _answered(asks: DataFrame, n_parts: int, says: Protocol, totals: bool, name: str) -> tuple[DataFrame, list[int]]:
     def serve(table: pa.Table) -> pa.Table:
-        replies, said = answer(table.column("payload").to_pylist())
+        replies, said = says.answer(table.column("payload").to_pylist())
         n = len(replies)
         give_back()
-        return pa.table({"block": table.column("block"), "part": table.column("part"), "reply": pa.array(replies, pa.binary()), "said": pa.array([said] + [None] * (n - 1), pa.string())})
+        return pa.table({"block": table.column("block"), "part": table.column("part"), "reply": pa.array(replies, pa.binary()), "said": pa.array([said] + [None] * (n - 1), pa.list_(pa.int64()))})
+
+    served = stage(_spread(asks, n_parts, "part").applyInArrow(serve, f"{REPLY_SCHEMA}, said array<bigint>"), f"{name}-answers", codec="none")
+    made = []
+    if totals:  # a row for each number
+        sums = served.select(F.posexplode("said")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
+        made = [r["n"] for r in sorted(sums)]
+    replies = served.select("block", "part", "reply")
+    replies._veilspan_path = served._veilspan_path
+    return replies, made
+
+
+def exchange(docs: DataFrame, fans: list[int], says: Protocol, fill_schema: str, name: str, totals: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs (id, text) through blocks, levels of parts, and back: fill's rows.
 
-    asks = blocks.filter("kind = 1").select("block", "part", "payload")
-    served = stage(asks.repartition(n_parts, "part").groupBy("part").applyInArrow(serve, "block bigint, part int, reply binary, said string"), f"{name}-replies", codec="none")
+    fans is fans_for of the parts wanted; a leaf may have a task of its own.
+    """
+    blocks = stage(docs.mapInArrow(_blocks(says.make, to_arrow_type(docs.schema[0].dataType), block_bytes), BLOCK_SCHEMA), f"{name}-blocks", ["kind"], codec="none")
+    own = blocks.filter("kind = 0").select("block", "payload")
+    n_blocks = own.count()
+    served, made = _ask(blocks.filter("kind = 1").select("block", "part", "payload"), n_blocks, fans[0], fans[1:], says, totals, name)
     unstage(blocks, part="kind=1")
-    made = None
-    if summary is not None:  # one short string per part
-        made = summary([r["said"] for r in served.filter(F.col("said").isNotNull()).select("said").collect()])
 
     def join(own: pa.Table, replies: pa.Table) -> pa.Table:
-        by_part = dict(zip(replies.column("part").to_pylist(), replies.column("reply").to_pylist()))
+        by_part = _replies(replies, fans[0])
         give_back()  # what the last block left
-        return fill(own.column("payload")[0].as_py(), made, by_part)
+        return says.fill(own.column("payload")[0].as_py(), made, by_part)
 
-    own = blocks.filter("kind = 0").select("block", "payload")
-    return own.groupBy("block").cogroup(served.select("block", "part", "reply").groupBy("block")).applyInArrow(join, fill_schema)
+    return _spread(own, n_blocks, "block").cogroup(_spread(served, n_blocks, "block")).applyInArrow(join, fill_schema)
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

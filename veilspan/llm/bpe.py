@@ -17,6 +17,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Callable
 from itertools import count
+from math import prod
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, exchange, gather, ids_from_bytes, ids_to_bytes, narrow, pack, unpack
+from .blocks import BLOCK_BYTES, Protocol, exchange, fans_for, gather, ids_from_bytes, ids_to_bytes, narrow, pack, unpack
 from .common import parts_for, tune
 
 _WORDS = re.compile(r"\s*\S+|\s+")
@@ -53,7 +54,21 @@ def load_tokenizer(path: str):
     return t
 
 
-def _make(n_parts: int):
+def _asks(words: list[bytes], part: np.ndarray, n_parts: int) -> tuple[np.ndarray, list[bytes | None]]:
+    """Where each word stands by part, and the parts' words, in order within a part."""
+    by_part = np.argsort(part, kind="stable")
+    place = np.empty(len(words), "<u4")
+    place[by_part] = np.arange(len(words))
+    asks: list[bytes | None] = []
+    for at in np.split(by_part, np.searchsorted(part[by_part], np.arange(1, n_parts))):
+        own = [words[i] for i in at]
+        asks.append(pack(narrow(np.fromiter(map(len, own), "<u4", len(own))), b"".join(own)) if own else None)
+    return place, asks
+
+
+def _make(n_leaves: int, n_parts: int):
+    stride = n_leaves // n_parts
+
     def make(ids: pa.Array, texts: list[bytes]) -> tuple[bytes, list[bytes | None]]:
         slots: defaultdict[str, int] = defaultdict(count().__next__)
         seqs = []
@@ -68,30 +83,61 @@ def _make(n_parts: int):
         order = np.argsort(-np.bincount(seq, minlength=len(words)), kind="stable")
         rank = np.empty(len(words), "<u4")
         rank[order] = np.arange(len(words))
-        part = np.fromiter((zlib.crc32(words[i]) % n_parts for i in order), "<u4", len(words))
-        by_part = np.argsort(part, kind="stable")
-        asks: list[bytes | None] = []
-        for at in np.split(by_part, np.searchsorted(part[by_part], np.arange(1, n_parts))):
-            own = [words[i] for i in order[at]]
-            asks.append(pack(narrow(np.fromiter(map(len, own), "<u4", len(own))), b"".join(own)) if own else None)
-        return pack(ids_to_bytes(ids), lengths, rank[seq], narrow(part)), asks
+        words = [words[i] for i in order]
+        part = np.fromiter((zlib.crc32(w) % n_leaves // stride for w in words), "<u4", len(words))
+        return pack(ids_to_bytes(ids), lengths, rank[seq], narrow(part)), _asks(words, part, n_parts)[1]
 
     return make
 
 
+def _numbered(asks: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
+    """The distinct words of asks, and the number of each word of each ask."""
+    slots: defaultdict[bytes, int] = defaultdict(count().__next__)
+    seqs = []
+    for a in asks:
+        lengths, raw = unpack(a)
+        seqs.append(np.fromiter(map(slots.__getitem__, _cut(lengths, raw)), "<i8", len(lengths)))
+    return list(slots), seqs
+
+
+def _split(n_leaves: int):
+    def split(asks: list[bytes], stride: int, fan: int) -> tuple[bytes, list[bytes | None]]:
+        words, seqs = _numbered(asks)
+        part = np.fromiter((zlib.crc32(w) % n_leaves // stride % fan for w in words), "<u4", len(words))
+        place, kids = _asks(words, part, fan)
+        return pack(np.fromiter(map(len, seqs), "<u4", len(seqs)), place[np.concatenate(seqs)], narrow(np.sort(part))), kids
+
+    return split
+
+
+def _filled(part: np.ndarray, replies: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lengths, starts, ids) of words, given the part of each."""
+    lengths, starts, flat, base = np.zeros(len(part), "<i8"), np.zeros(len(part), "<i8"), [], 0
+    for p, reply in replies.items():
+        n, ids = unpack(reply)
+        at = np.nonzero(part == p)[0]
+        lengths[at] = n
+        starts[at] = base + np.cumsum(n, dtype="<i8") - n
+        flat.append(ids)
+        base += len(ids)
+    return lengths, starts, np.concatenate(flat) if flat else np.zeros(0, "<u2")
+
+
+def _join(own: bytes, replies: dict[int, bytes]) -> list[bytes]:
+    sizes, seq, part = unpack(own)
+    lengths, starts, values = _filled(part, replies)
+    return [pack(narrow(lengths[s]), values[gather(starts[s], lengths[s])]) for s in np.split(seq, np.cumsum(sizes)[:-1])]
+
+
 def _cut(lengths: np.ndarray, raw: bytes) -> list[bytes]:
     ends = np.cumsum(lengths).tolist()
     return [raw[i:j] for i, j in zip([0, *ends], ends)]
 
 
 def _answer(path: str):
-    def answer(asks: list[bytes]) -> tuple[list[bytes], str]:
-        slots: defaultdict[bytes, int] = defaultdict(count().__next__)
-        seqs = []
-        for a in asks:
-            lengths, raw = unpack(a)
-            seqs.append(np.fromiter(map(slots.__getitem__, _cut(lengths, raw)), "<i8", len(lengths)))
-        words, t = list(slots), load_tokenizer(path)
+    def answer(asks: list[bytes]) -> tuple[list[bytes], list[int]]:
+        words, seqs = _numbered(asks)
+        t = load_tokenizer(path)
         lengths, ids = np.zeros(len(words), "<u4"), []
         for k in range(0, len(words), 4096):
             got = [e.ids for e in t.encode_batch_fast([w.decode() for w in words[k : k + 4096]], add_special_tokens=False)]
@@ -100,7 +146,7 @@ def _answer(path: str):
         flat = np.concatenate(ids) if ids else np.zeros(0, "<u4")
         starts = np.cumsum(lengths, dtype="<i8") - lengths
         small = flat.astype("<u2") if not len(flat) or flat.max() < 1 << 16 else flat
-        return [pack(narrow(lengths[s]), small[gather(starts[s], lengths[s].astype("<i8"))]) for s in seqs], ""
+        return [pack(narrow(lengths[s]), small[gather(starts[s], lengths[s].astype("<i8"))]) for s in seqs], []
 
     return answer
 
@@ -109,17 +155,9 @@ def _id_lists(ids: pa.Array, lists: pa.ListArray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, lists], ["id", "ids"])
 
 
-def _fill(finish: Callable, own: bytes, _made: None, replies: dict[int, bytes]) -> pa.Table:
+def _fill(finish: Callable, own: bytes, _made: list, replies: dict[int, bytes]) -> pa.Table:
     raw_ids, doc_lengths, seq, part = unpack(own)
-    lengths, starts, flat, base = np.zeros(len(part), "<i8"), np.zeros(len(part), "<i8"), [], 0
-    for p, reply in replies.items():
-        n, ids = unpack(reply)
-        at = np.nonzero(part == p)[0]
-        lengths[at] = n
-        starts[at] = base + np.cumsum(n, dtype="<i8") - n
-        flat.append(ids)
-        base += len(ids)
-    values = np.concatenate(flat) if flat else np.zeros(0, "<u2")
+    lengths, starts, values = _filled(part, replies)
     words = np.concatenate([[0], np.cumsum(doc_lengths, dtype="<i8")])
     doc_ids, out, at = ids_from_bytes(raw_ids), [], 0
     while at < len(doc_ids):  # a bounded number of words at a time, one document at least
@@ -155,8 +193,10 @@ def _encode(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, finish:
         raise ValueError("an added token reaches over white space")
     tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    n_parts = parts_for(docs, PART_BYTES)
-    return exchange(rows, n_parts, _make(n_parts), _answer(tokenizer), None, functools.partial(_fill, finish), schema, "bpe", block_bytes)
+    fans = fans_for(parts_for(docs, PART_BYTES))
+    n = prod(fans)
+    says = Protocol(_make(n, fans[0]), _split(n), _join, _answer(tokenizer), functools.partial(_fill, finish))
+    return exchange(rows, fans, says, schema, "bpe", block_bytes=block_bytes)
 
 
 @functools.lru_cache(maxsize=4)

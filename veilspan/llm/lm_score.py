@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterable
 from itertools import count
+from math import prod
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .blocks import exchange, ids_from_bytes, ids_to_bytes, narrow, pack, unpack
+from .blocks import Protocol, exchange, fans_for, ids_from_bytes, ids_to_bytes, narrow, pack, unpack
 from .common import parts_for, stage, tune
 
 ALPHA, BETA = 10.0, 1.0
@@ -74,50 +75,89 @@ def _bounds(part: np.ndarray, n_parts: int) -> np.ndarray:
     return np.searchsorted(part, np.arange(n_parts + 1))
 
 
-def _make(n_parts: int):
+def _deltas(keys: np.ndarray) -> np.ndarray:
+    return narrow(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _leaf_keys(leaf: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Keys that ascend with (leaf, key), for leaves numbered within a part."""
+    return (leaf.astype(np.uint64) << np.uint64(KEY_BITS)) | key
+
+
+def _make(n_leaves: int, n_parts: int):
+    stride = n_leaves // n_parts
+
     def make(ids: pa.Array, texts: list[bytes]) -> tuple[bytes, list[bytes | None]]:
-        b = _Block(texts, n_parts)
+        b = _Block(texts, n_leaves)
         in_target = ids.field("target").to_numpy(zero_copy_only=False).astype(bool)
         of_target = np.repeat(in_target, b.lengths)
         word, pair = b.word_place[b.tokens - 1], b.pair_place[b.pair_of]
         counts = [(np.bincount(x, minlength=n), np.bincount(x[of_target], minlength=n)) for x, n in ((word, len(b.word_place)), (pair, len(b.pair_place)))]
         some = b.lengths > 0
         starts = np.array([some.sum(), (some & in_target).sum()], "<i8")
-        wb, pb = _bounds(b.word_part, n_parts), _bounds(b.pair_part, n_parts)
-        asks: list[bytes | None] = []
-        for p in range(n_parts):
-            w, q = slice(wb[p], wb[p + 1]), slice(pb[p], pb[p + 1])
-            if w.start == w.stop and q.start == q.stop and not (p == 0 and starts[0]):
-                asks.append(None)
-                continue
-            deltas = [narrow(np.diff(k, prepend=np.uint64(0))) for k in (b.word_key[w], b.pair_key[q])]
-            asks.append(pack(starts if not p else starts * 0, *deltas, *(narrow(n[s]) for c, s in zip(counts, (w, q)) for n in c)))
+        keys = [_leaf_keys(leaf % stride, key) for leaf, key in ((b.word_part, b.word_key), (b.pair_part, b.pair_key))]
+        bounds = [_bounds(leaf // stride, n_parts) for leaf in (b.word_part, b.pair_part)]
         # The texts themselves are smaller than their token numbers; they are split again later.
-        return pack(ids_to_bytes(ids.field("id")), np.fromiter(map(len, texts), "<i8", len(texts)), b"".join(texts)), asks
+        return pack(ids_to_bytes(ids.field("id")), np.fromiter(map(len, texts), "<i8", len(texts)), b"".join(texts)), _asks(starts, keys, counts, bounds)
 
     return make
 
 
-def _answer(asks: list[bytes]) -> tuple[list[bytes], str]:
+def _asks(starts: np.ndarray, keys: list[np.ndarray], counts: list, bounds: list[np.ndarray]) -> list[bytes | None]:
+    """Each part's starts (the first part has them all), word and bigram keys and counts, or None."""
+    asks: list[bytes | None] = []
+    for p in range(len(bounds[0]) - 1):
+        cuts = [slice(x[p], x[p + 1]) for x in bounds]
+        if all(c.start == c.stop for c in cuts) and not (p == 0 and starts.any()):
+            asks.append(None)
+            continue
+        asks.append(pack(starts if not p else starts * 0, *(_deltas(k[c]) for k, c in zip(keys, cuts)), *(narrow(n[c]) for c, s in zip(cuts, counts) for n in s)))
+    return asks
+
+
+def _merged(raw: list[list], k: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Distinct keys of asks, words (k = 0) or bigrams (1), their two totals, and where each ask's are."""
+    keys = [np.cumsum(r[1 + k].astype(np.uint64), dtype=np.uint64) for r in raw]
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    totals = [np.bincount(at, np.concatenate([r[3 + 2 * k + m] for r in raw]).astype(np.float64), len(distinct)).astype(np.int64) for m in (0, 1)]
+    return distinct, totals, np.split(at, np.cumsum([len(x) for x in keys])[:-1])
+
+
+def _split(asks: list[bytes], stride: int, fan: int) -> tuple[bytes, list[bytes | None]]:
+    raw = [unpack(a) for a in asks]
+    keys, counts, bounds, places = [], [], [], []
+    for k in (0, 1):
+        distinct, totals, at = _merged(raw, k)
+        leaf = (distinct >> np.uint64(KEY_BITS)).astype(np.int64)
+        keys.append(_leaf_keys(leaf % stride, distinct & np.uint64((1 << KEY_BITS) - 1)))
+        bounds.append(_bounds(leaf // stride, fan))
+        counts.append(totals)
+        places += [np.fromiter(map(len, at), "<u4", len(at)), narrow(np.concatenate(at))]
+    return pack(*places), _asks(sum(r[0] for r in raw), keys, counts, bounds)
+
+
+def _join(own: bytes, replies: dict[int, bytes]) -> list[bytes]:
+    got = [unpack(replies[c]) for c in sorted(replies)]
+    raw, out = unpack(own), []
+    for k in (0, 1):
+        totals = [np.concatenate([r[2 * k + m] for r in got]) for m in (0, 1)]
+        out.append([[narrow(t[at]) for t in totals] for at in np.split(raw[2 * k + 1], np.cumsum(raw[2 * k])[:-1])])
+    return [pack(*w, *p) for w, p in zip(*out)]
+
+
+def _answer(asks: list[bytes]) -> tuple[list[bytes], list[int]]:
+    """Replies, and of this leaf: vocabulary, background and target tokens, background and target
+    documents with tokens."""
     raw = [unpack(a) for a in asks]
-    starts = sum(r[0] for r in raw)
     replies: list[list] = [[] for _ in asks]
     said = []
     for k in (0, 1):
-        keys = [np.cumsum(r[1 + k].astype(np.uint64)) for r in raw]
-        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = [np.bincount(at, np.concatenate([r[3 + 2 * k + m] for r in raw]).astype(np.float64), len(distinct)).astype(np.int64) for m in (0, 1)]
-        ends = np.cumsum([len(x) for x in keys])
-        for i, (n, e) in enumerate(zip(map(len, keys), ends)):
-            replies[i] += [narrow(t[at[e - n : e]]) for t in totals]
+        distinct, totals, places = _merged(raw, k)
+        for reply, at in zip(replies, places):
+            reply += [narrow(t[at]) for t in totals]
         if k == 0:
             said = [len(distinct), *(int(t.sum()) for t in totals)]
-    return [pack(*r) for r in replies], ",".join(map(str, [*said, *starts]))
-
-
-def _summary(parts: Iterable[str]) -> list[int]:
-    """Vocabulary, background and target tokens, background and target documents with tokens."""
-    return [sum(x) for x in zip(*(map(int, s.split(",")) for s in parts))] or [0] * 5
+    return [pack(*r) for r in replies], [*said, *(int(x) for x in sum(r[0] for r in raw))]
 
 
 def _fill(n_parts: int):
@@ -126,7 +166,7 @@ def _fill(n_parts: int):
         ends = np.cumsum(sizes)
         b = _Block([text[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())], n_parts)
         got = [unpack(replies[p]) for p in sorted(replies)]
-        vocabulary, *totals = made
+        vocabulary, *totals = made or [0] * 5
         losses = []
         for m in (0, 1):
             word = np.concatenate([r[m] for r in got]).astype(np.float64) if got else np.zeros(0)
@@ -156,7 +196,7 @@ def score(docs: DataFrame, targets: DataFrame | Iterable, id_col: str = "doc_id"
     """
     tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    n_parts = parts_for(docs, PART_BYTES)
+    fans = fans_for(parts_for(docs, PART_BYTES))
     kind = rows.schema["id"].dataType.simpleString()
     if not isinstance(targets, DataFrame):
         targets = docs.sparkSession.createDataFrame([(i,) for i in targets], f"target {kind}")
@@ -168,7 +208,8 @@ def score(docs: DataFrame, targets: DataFrame | Iterable, id_col: str = "doc_id"
     flagged = lambda df, is_target: df.select(F.struct("id", is_target.alias("target")).alias("id"), "text")
     marked = flagged(other, F.lit(False)).unionByName(flagged(some, F.col("_target").isNotNull()))
     schema = f"id {kind}, n_tokens bigint, target_loss double, background_loss double, score double"
-    out = exchange(marked, n_parts, _make(n_parts), _answer, _summary, _fill(n_parts), schema, "lm")
+    says = Protocol(_make(prod(fans), fans[0]), _split, _join, _answer, _fill(prod(fans)))
+    out = exchange(marked, fans, says, schema, "lm", totals=True)
     return out.withColumnRenamed("id", id_col)
 
 
