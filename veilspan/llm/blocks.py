@@ -117,8 +117,11 @@ def _message_rows(sender: int, own: bytes, asks: list[tuple[int, bytes]]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array([sender] * n, pa.int64()), pa.array(parts, pa.int32()), pa.array(payloads, pa.binary()), pa.array([0] + [1] * (n - 1), pa.int32())], ["block", "part", "payload", "kind"])
 
 
-def _blocks(make: Callable, arrow_id: pa.DataType, block_bytes: int):
-    """mapInArrow body over (id, text), by Protocol.make, which may empty the list of texts as it goes."""
+def _blocks(make: Callable, arrow_id: pa.DataType, block_bytes: int, keep: Callable | None):
+    """mapInArrow body over (id, text), by Protocol.make, which may empty the list of texts as it goes.
+
+    Only rows whose id keep(ids) is true for are taken, if there is a keep.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, size, k = [], [], 0, TaskContext.get().partitionId() << 32
@@ -128,6 +131,8 @@ def _blocks(make: Callable, arrow_id: pa.DataType, block_bytes: int):
             return _message_rows(k, own, [(p, a) for p, a in enumerate(asks) if a is not None])
 
         for b in batches:
+            if keep is not None:
+                b = b.filter(pa.array(keep(b.column(0))))
             for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
                 t = t or b""
                 if texts and size + len(t) > block_bytes:
@@ -212,12 +217,13 @@ def _answered(asks: DataFrame, n_parts: int, says: Protocol, totals: bool, name:
     return replies, made
 
 
-def exchange(docs: DataFrame, fans: list[int], says: Protocol, fill_schema: str, name: str, totals: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def exchange(docs: DataFrame, fans: list[int], says: Protocol, fill_schema: str, name: str, totals: bool = False, block_bytes: int = BLOCK_BYTES, keep: Callable | None = None) -> DataFrame:
     """docs (id, text) through blocks, levels of parts, and back: fill's rows.
 
-    fans is fans_for of the parts wanted; a leaf may have a task of its own.
+    keep(ids) -> booleans, the rows to take; it is told here so that a task needs no second
+    Python worker. fans is fans_for of the parts wanted; a leaf may have a task of its own.
     """
-    blocks = stage(docs.mapInArrow(_blocks(says.make, to_arrow_type(docs.schema[0].dataType), block_bytes), BLOCK_SCHEMA), f"{name}-blocks", ["kind"], codec="none")
+    blocks = stage(docs.mapInArrow(_blocks(says.make, to_arrow_type(docs.schema[0].dataType), block_bytes, keep), BLOCK_SCHEMA), f"{name}-blocks", ["kind"], codec="none")
     own = blocks.filter("kind = 0").select("block", "payload")
     n_blocks = own.count()
     served, made = _ask(blocks.filter("kind = 1").select("block", "part", "payload"), n_blocks, fans[0], fans[1:], says, totals, name)

@@ -19,7 +19,7 @@ the other n-gram's count adds.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from itertools import count
 from math import prod
 
@@ -185,6 +185,14 @@ def _fill(n_parts: int):
     return fill
 
 
+def _surely_other(may_be_target: Callable):
+    def keep(ids: pa.StructArray) -> np.ndarray:
+        h = ids.field("h")
+        return np.asarray(h.is_null()) | ~may_be_target(np.asarray(h.fill_null(0)))
+
+    return keep
+
+
 def score(docs: DataFrame, targets: DataFrame | Iterable, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col, n_tokens, target_loss, background_loss, score.
 
@@ -202,14 +210,15 @@ def score(docs: DataFrame, targets: DataFrame | Iterable, id_col: str = "doc_id"
         targets = docs.sparkSession.createDataFrame([(i,) for i in targets], f"target {kind}")
     named = targets.select(F.col(targets.columns[0]).alias("_target")).distinct()
     named = stage(named.filter(F.col("_target").isNotNull()), "targets")
-    # Only rows that may be targets meet the ids in a join; the other texts stay where they are.
-    other, some = bloom.split(rows, F.xxhash64("id"), named.select(F.xxhash64("_target").alias("h")), named.count())
-    some = some.join(named, F.col("id") == F.col("_target"), "left")
-    flagged = lambda df, is_target: df.select(F.struct("id", is_target.alias("target")).alias("id"), "text")
-    marked = flagged(other, F.lit(False)).unionByName(flagged(some, F.col("_target").isNotNull()))
+    # Only rows that may be targets meet the ids in a join; the other texts stay where they are,
+    # and the worker that makes blocks tells them, by a hash that the joined rows lack.
+    held = bloom.members(named.select(F.xxhash64("_target")), named.count())
+    some = rows.filter(held.maybe(F.xxhash64("id"))).join(named, F.col("id") == F.col("_target"), "left")
+    flagged = lambda df, is_target, h: df.select(F.struct("id", is_target.alias("target"), h.alias("h")).alias("id"), "text")
+    marked = flagged(rows, F.lit(False), F.xxhash64("id")).unionByName(flagged(some, F.col("_target").isNotNull(), F.lit(None).cast("long")))
     schema = f"id {kind}, n_tokens bigint, target_loss double, background_loss double, score double"
     says = Protocol(_make(prod(fans), fans[0]), _split, _join, _answer, _fill(prod(fans)))
-    out = exchange(marked, fans, says, schema, "lm", totals=True)
+    out = exchange(marked, fans, says, schema, "lm", totals=True, keep=_surely_other(held.probe()))
     return out.withColumnRenamed("id", id_col)
 
 
