@@ -210,10 +210,11 @@ def score(docs: DataFrame, targets: DataFrame | Iterable, id_col: str = "doc_id"
         targets = docs.sparkSession.createDataFrame([(i,) for i in targets], f"target {kind}")
     named = targets.select(F.col(targets.columns[0]).alias("_target")).distinct()
     named = stage(named.filter(F.col("_target").isNotNull()), "targets")
-    # Only rows that may be targets meet the ids in a join; the other texts stay where they are,
-    # and the worker that makes blocks tells them, by a hash that the joined rows lack.
+    # Only rows that may be targets meet the ids in a join, staged first; the other texts stay
+    # where they are, and the worker that makes blocks tells them, by a hash that the staged rows
+    # lack. So no task has two Python workers.
     held = bloom.members(named.select(F.xxhash64("_target")), named.count())
-    some = rows.filter(held.maybe(F.xxhash64("id"))).join(named, F.col("id") == F.col("_target"), "left")
+    some = stage(rows.filter(held.maybe(F.xxhash64("id"))).join(named, F.col("id") == F.col("_target"), "left"), "may-be-targets")
     flagged = lambda df, is_target, h: df.select(F.struct("id", is_target.alias("target"), h.alias("h")).alias("id"), "text")
     marked = flagged(rows, F.lit(False), F.xxhash64("id")).unionByName(flagged(some, F.col("_target").isNotNull(), F.lit(None).cast("long")))
     schema = f"id {kind}, n_tokens bigint, target_loss double, background_loss double, score double"
