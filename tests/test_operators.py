@@ -218,3 +218,13 @@ def test_gold_problems(spark):
     df = spark.createDataFrame([(1, "Blk 45, 610045 and 45", {"sg_address_block_number": ["45"], "sg_postal_code": ["610045"], "full_name": ["Blk 45"], "odd": ["zz"]}), (2, None, None)], "doc_id long, input string, entities map<string,array<string>>")
     got = {(r["problem"], r["value"]): (r["listed"], r["occurs"]) for r in corpus.gold_problems(df).collect()}
     assert got == {("count", "zz"): (1, 0), ("label", "odd"): (0, 0)}
+
+
+def test_calls_are_dealt_to_more_tasks_as_there_are_more(spark, monkeypatch):
+    """One row group of orders, a thousand and a half of them: tasks hold as many calls as they may, and no more."""
+    from veilspan.plans import calls as C
+
+    monkeypatch.setattr(C, "CALLS_PER_TASK", 100)
+    df = C.calls(spark, "/root/testdata/sf0.001")
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 1500 and len(sizes) == 15 and max(sizes) < 110
