@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions import fixed as X
 from veilspan.functions import text as T
-from veilspan.operators import corpus, leaks, losses, matching, methods, normalize, predicates, recognizers, redact, vocab, windows
+from veilspan.operators import corpus, leaks, losses, matching, methods, normalize, predicates, recognizers, redact, textwise, vocab, windows
 
 
 def one(spark, column):
@@ -228,3 +228,50 @@ def test_calls_are_dealt_to_more_tasks_as_there_are_more(spark, monkeypatch):
     df = C.calls(spark, "/root/testdata/sf0.001")
     sizes = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert sum(sizes) == 1500 and len(sizes) == 15 and max(sizes) < 110
+
+
+def odd_texts(n=400):
+    """Pieces that patterns look for, joined in ways that bend them."""
+    rng = random.Random(11)
+    pieces = [
+        "+65 9123-4567", "6591234567", "65 6123 4567", "3 6-9 1234 5678", "9123 4567", "+9", "1234567890", "910045", "#05-123", "7-11", "#7 - 11", "01:40-01:41", "$53-54", "1-1-5-2", "S1234567A", "T7654321b",
+        "a.b+c@x-y.com", "@", "a@b.c", "x@y.sg@z.org", "at foo.com.sg", "At sb-group.com", "my name is Ann Lee", "this is Bob Ray Tan", "postal code", "Singapore", "blk 12a", "Block  7", "Toa Payoh", "Marina East",
+        "Ang Mo Kio Street 21 5b", "w" * 70, "Jalan Besar Road", "ave", "located at the Big Green Gate 1 2 3 4", "visa", "kwh", "5th floor", "nric", "Tan,", "nine one two three four five six seven", "double oh", "one moment", "phone",
+        "unit", "reference number", "é", "٣٤٥٦٧٨", "ſtreet", "\U0001f600", "\u0001", "\n", ",", ".", "-", "#", "  ", "Speaker_01",
+    ]
+    return ["", *("".join(rng.choice(pieces) + rng.choice(["", " ", " ", " ", ", "]) for _ in range(rng.randint(1, 14))) for _ in range(n)), *(" ".join(rng.choice(pieces) for _ in range(500)) for _ in range(4))]
+
+
+def test_finders_are_the_patterns():
+    """Each finder against Python's engine over the pattern as fixed."""
+    pairs = [(textwise.phones, X.PHONE), (textwise.accounts, X.ACCOUNT), (textwise.nrics, X.NRIC_RULE), (textwise.emails, X.EMAIL_RULE), (textwise.persons, X.PERSON_RULE), (textwise.postals, X.POSTAL), (textwise.units, X.UNIT), (textwise.nrics_boosted, X.NRIC_BOOST)]
+    either = [(textwise.blocks, X.BLOCK), (textwise.suffixes, recognizers.SUFFIX), (textwise.areas, recognizers.AREA), (textwise.spoken_runs, normalize.RUN)]
+    for t in odd_texts(3000):
+        for finder, pattern in pairs:
+            assert finder(t) == [m.span() for m in re.finditer(pattern, t)], (pattern, t)
+        for finder, pattern in either:
+            assert finder(t) == [m.span() for m in re.finditer(pattern, t, re.I)], (pattern, t)
+        assert textwise.emails_boosted(t) == [m.span(2) for m in re.finditer(X.EMAIL_BOOST, t)], t
+
+
+def test_rules_and_chain_text_by_text_are_those_of_columns(spark):
+    """The workers' rules and chain against the column expressions, on odd texts and null."""
+    rows = [(i, t) for i, t in enumerate([*odd_texts(150), None])]
+    df = spark.createDataFrame(rows, "i int, text string").repartition(4)
+    text = T.clean_marks(F.coalesce("text", F.lit("")))
+    detect = windows.rules_detector()
+    column = lambda chunk, off, end: detect(chunk, off, end)  # noqa: E731 - without the mark of the rule detector
+    both = recognizers.with_rule_spans(df).select("i", "text", F.col("spans").alias("own"), T.let(text, lambda t: recognizers.rule_spans(t)).alias("want"))
+    for r in both.collect():
+        assert r["own"] == r["want"], r["text"]
+    mine = {r["i"]: r["spans"] for r in windows.document_spans(df, detect, size=60, overlap=20).collect()}
+    for r in windows.document_spans(df.filter("length(text) < 900 OR text IS NULL"), column, size=60, overlap=20).collect():
+        assert [tuple(x) for x in mine[r["i"]]] == [tuple(x) for x in r["spans"]], r["text"]
+
+
+def test_rule_spans_are_worked_out_once(spark):
+    """A filter above the predictions does not bring a second copy of the rules."""
+    df = recognizers.rule_predictions(spark.createDataFrame([(1, "call 9123 4567")], "doc_id long, text string")).filter(F.size("predictions") > 0)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") <= 1 and plan.count("run(text") == 1
+    assert df.first()["predictions"][0]["text"] == "9123 4567"

@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.text import clean_marks
 from ..operators.redact import tagged
-from ..operators.windows import chain, document_spans, rules_detector
+from ..operators.windows import document_spans, rules_detector
 from ..session import ship
 
 
@@ -77,10 +76,9 @@ def redact_conversations(turns: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame
     from ..operators.predicates import propagates
 
     ship(turns.sparkSession)
-    # One column, named once: Spark would copy the chain to every place that names it.
-    spans = chain(clean_marks(F.coalesce("text", F.lit(""))), rules_detector())
-    own = F.transform(F.filter(spans, lambda m: propagates(m["text"], m["label"])), lambda m: F.struct(m["text"].alias("value"), m["label"].alias("label")))
-    rows = turns.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), own.alias("found"))
+    marked = document_spans(turns, rules_detector(), "text", "_spans")
+    own = F.transform(F.filter("_spans", lambda m: propagates(m["text"], m["label"])), lambda m: F.struct(m["text"].alias("value"), m["label"].alias("label")))
+    rows = marked.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), own.alias("found"))
     kind = turns.schema["conv_id"].dataType.simpleString()
     turn = turns.schema["turn"].dataType.simpleString()
     return rows.groupBy("conv_id").transformWithStateInPandas(ValueMemory(ttl_ms), f"conv_id {kind}, turn {turn}, redacted string", "Append", "processingTime")
