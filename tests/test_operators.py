@@ -275,3 +275,14 @@ def test_rule_spans_are_worked_out_once(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython [") <= 1 and plan.count("run(text") == 1
     assert df.first()["predictions"][0]["text"] == "9123 4567"
+
+
+def test_standalone_counts_of_odd_values(spark):
+    """Null, empty and nested values, and texts that are null."""
+    rows = [("ab 12 x12 12. é12é a1", ["12", "b 12", "", None, "?!", "12."]), (None, ["a"]), ("x", None)]
+    df = spark.createDataFrame(rows, "t string, v array<string>")
+    got = [None if r["c"] is None else [tuple(x) for x in r["c"]] for r in df.select(corpus.standalone_counts(F.col("t"), F.col("v")).alias("c")).collect()]
+    assert got[0] == [("b 12", 0), ("12.", 3), ("12", 3), ("?!", 0), ("", 0)] and got[1] == [("a", 0)] and got[2] is None
+    for t in odd_texts(300):
+        for v in ("12", "9123", "@", "Tan", "."):
+            assert textwise.standalone(t, v) == [m.span() for m in re.finditer(rf"(?<![A-Za-z0-9]){re.escape(v)}(?![A-Za-z0-9])", t)]

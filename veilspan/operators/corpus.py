@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import fixed as X
-from ..functions.text import spans_of, standalone
+from . import textwise
 
 MODEL_LABELS = [x[0] for x in X.LABELS]
 
@@ -46,16 +46,7 @@ def standalone_counts(text: Column, values: Column) -> Column:
     """array<struct<value,n>>: occurrences of each distinct value with no letter or digit at
     either side, longest values first (then by value), leaving out those inside a span that a
     longer value took. Trailing punctuation of a value does not count."""
-    order = lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0)
-    none = F.array().cast("array<struct<s:int,e:int>>")
-    start = F.struct(none.alias("taken"), F.array().cast("array<struct<value:string,n:int>>").alias("out"))
-
-    def step(acc: Column, v: Column) -> Column:
-        core = F.rtrim(v, F.lit(".,?!- "))
-        hits = F.filter(F.when(core == "", none).otherwise(spans_of(text, standalone(core))), lambda m: ~F.exists(acc["taken"], lambda k: (k["s"] <= m["s"]) & (m["e"] <= k["e"])))
-        return F.struct(F.concat(acc["taken"], hits).alias("taken"), F.array_append(acc["out"], F.struct(v.alias("value"), F.size(hits).alias("n"))).alias("out"))
-
-    return F.aggregate(F.array_sort(F.array_distinct(values), order), start, step, lambda acc: acc["out"])
+    return textwise.standalone_column(SparkSession.active(), text, values)
 
 
 def gold_problems(records: DataFrame, key: str = "doc_id", text_col: str = "input", entities_col: str = "entities", labels: list[str] = MODEL_LABELS) -> DataFrame:

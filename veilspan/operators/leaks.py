@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
-from ..functions.text import cut, quoted, spans_of
+from ..functions.text import quoted, spans_of
+from . import textwise
 from .predicates import digit_count
-from .recognizers import AREA, SUFFIX
-
-TAG = r"<[A-Z_]+(?::[0-9.]+)?>"
 
 
 def account_survival(calls: DataFrame, key: str = "doc_id", text_col: str = "text", accounts_col: str = "accounts", spans_col: str = "spans") -> DataFrame:
@@ -55,19 +53,8 @@ def residual_leaks(redacted: DataFrame, key: str = "line", text_col: str = "reda
     international numbers (toll-free ones excepted), and an address counts when block or unit,
     street or area, and postal code all stand in the text.
     """
-    plain = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), TAG, " ")
-    df = redacted.withColumn("_t", plain)
-    t = F.col("_t")
-
-    def hits(kind: str, pattern: str) -> Column:
-        return F.transform(spans_of(t, pattern), lambda m: F.struct(F.lit(kind).alias("type"), cut(t, m["s"], m["e"]).alias("value")))
-
-    phones = F.filter(hits("Full Mobile", X.PHONE), lambda x: ~x["value"].rlike(r"^(?:\+?65[ -]*)?1?[ -]*800"))
-    has = lambda p, i=False: t.rlike(("(?iU)" if i else "(?U)") + p)
-    full = (has(X.BLOCK, True) | has(X.UNIT)) & (has(SUFFIX, True) | has(AREA, True)) & has(X.POSTAL)
-    address = F.when(full, F.array(F.struct(F.lit("Full Address").alias("type"), F.regexp_extract(t, "(?U)(" + X.POSTAL + ")", 1).alias("value")))).otherwise(F.array().cast("array<struct<type:string,value:string>>"))
-    every = F.concat(hits("Full NRIC", X.NRIC_RULE), phones, address)
-    return df.select(key, F.posexplode(every).alias("n", "x")).select(key, "n", "x.type", "x.value")
+    df = redacted.select(key, textwise.leak_column(redacted.sparkSession, F.col(text_col)).alias("_x"))
+    return df.select(key, F.posexplode("_x").alias("n", "x")).select(key, "n", "x.type", "x.value")
 
 
 def leak_items(leaks: DataFrame, key: str = "line") -> DataFrame:
