@@ -282,7 +282,30 @@ def test_standalone_counts_of_odd_values(spark):
     rows = [("ab 12 x12 12. é12é a1", ["12", "b 12", "", None, "?!", "12."]), (None, ["a"]), ("x", None)]
     df = spark.createDataFrame(rows, "t string, v array<string>")
     got = [None if r["c"] is None else [tuple(x) for x in r["c"]] for r in df.select(corpus.standalone_counts(F.col("t"), F.col("v")).alias("c")).collect()]
-    assert got[0] == [("b 12", 0), ("12.", 3), ("12", 3), ("?!", 0), ("", 0)] and got[1] == [("a", 0)] and got[2] is None
+    assert got[0] == [("b 12", 0), ("12.", 3), ("12", 0), ("?!", 0), ("", 0)] and got[1] == [("a", 0)] and got[2] is None
     for t in odd_texts(300):
         for v in ("12", "9123", "@", "Tan", "."):
             assert textwise.standalone(t, v) == [m.span() for m in re.finditer(rf"(?<![A-Za-z0-9]){re.escape(v)}(?![A-Za-z0-9])", t)]
+
+
+def test_overall_works_counts_out_once(spark):
+    found = matching.outcomes(spark.createDataFrame([(1, 0, "x", "FULL_NAME")], "doc_id long, i int, text string, label string"), spark.createDataFrame([(1, 0, "x", "FULL_NAME"), (1, 1, "y", "SG_ADDRESS")], "doc_id long, j int, text string, label string"))
+    df = matching.overall(matching.label_counts(found))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join FullOuter") == 1
+    assert sorted((r["labels"], r["tp"], r["fp"], r["fn"]) for r in df.collect()) == [("all", 1, 0, 1), ("base", 0, 0, 1)]
+
+
+def test_normalized_text_by_text_is_that_of_columns(spark):
+    df = spark.createDataFrame([(t,) for t in [*odd_texts(100), None]], "t string")
+    for r in df.select("t", textwise.normalized_column(spark, F.col("t")).alias("own"), normalize.normalized(T.clean_marks(F.col("t"))).alias("want")).collect():
+        assert r["own"] == r["want"], r["t"]
+
+
+def test_accounts_are_plain_substrings(spark):
+    """Values of pattern characters, nested in longer ones, and odd arrays."""
+    rows = [(1, r"a\\Eb 1.1 1.1 aaaa", [r"\\E", "1.1", "aa", "zz", "", None, "aa"], [(4, 6, "B"), (6, 9, "A"), (5, 9, "A")]), (2, None, ["x"], None), (3, "x", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, accounts array<string>, spans array<struct<s:int,e:int,label:string>>")
+    got = {r["value"]: (r["digits"], r["total"], r["redacted"], r["labels"]) for r in leaks.account_survival(df).collect()}
+    at = rows[0][1].find("1.1")
+    labels = {x[2]: 1 for x in rows[0][3] if x[0] < at + 3 and at < x[1]}
+    assert got.keys() == {r"\\E", "1.1", "aa"} and got["aa"] == (0, 2, 0, {}) and got["1.1"][:2] == (2, 2) and set(labels) <= set(got["1.1"][3])

@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
-from ..functions.text import quoted, spans_of
 from . import textwise
-from .predicates import digit_count
 
 
 def account_survival(calls: DataFrame, key: str = "doc_id", text_col: str = "text", accounts_col: str = "accounts", spans_col: str = "spans") -> DataFrame:
@@ -17,17 +15,8 @@ def account_survival(calls: DataFrame, key: str = "doc_id", text_col: str = "tex
 
     The occurrences meet the call's spans by interval overlap.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    values = calls.withColumn("value", F.explode(F.array_distinct(accounts_col))).filter(F.length("value") > 0)
-
-    def labels(o: Column) -> Column:
-        return F.array_distinct(F.transform(F.filter(spans_col, lambda m: (o["s"] < m["e"]) & (m["s"] < o["e"])), lambda m: m["label"]))
-
-    hits = F.transform(spans_of(text, quoted(F.col("value"))), labels)
-    df = values.select(key, "value", digit_count(F.col("value")).alias("digits"), hits.alias("_h")).filter(F.size("_h") > 0)
-    names = F.array_sort(F.array_distinct(F.flatten("_h")))
-    counted = F.map_from_entries(F.transform(names, lambda n: F.struct(n, F.size(F.filter(F.flatten("_h"), lambda x: x == n)))))
-    return df.select(key, "value", "digits", F.size("_h").alias("total"), F.size(F.filter("_h", lambda x: F.size(x) > 0)).alias("redacted"), counted.alias("labels"))
+    found = textwise.survival_column(calls.sparkSession, F.col(text_col), F.col(accounts_col), F.col(spans_col))
+    return calls.select(key, found.alias("_v")).select(key, F.explode("_v").alias("v")).select(key, "v.*")
 
 
 def recoverable(survival: DataFrame, key: str = "doc_id") -> DataFrame:
