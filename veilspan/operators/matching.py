@@ -117,9 +117,9 @@ def gate(counts: DataFrame, threshold: float = X.GATE, labels: list[str] = CANON
 
 
 def overall(counts: DataFrame) -> DataFrame:
-    """Sums over all nine labels and over the base seven, with scores."""
-    rows = [counts.filter(F.col("label").isin(names)).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn"))).select(F.lit(k).alias("labels"), "*") for k, names in (("all", CANON), ("base", BASE))]
-    return with_scores(rows[0].unionByName(rows[1]))
+    """Sums over all nine labels and over the base seven, with scores; the counts are worked out once."""
+    sums = [F.struct(F.lit(k).alias("labels"), *(F.coalesce(F.sum(F.when(F.col("label").isin(names), F.col(c))), F.lit(0)).alias(c) for c in ("tp", "fp", "fn"))) for k, names in (("all", CANON), ("base", BASE))]
+    return with_scores(counts.agg(F.array(*sums).alias("_s")).select(F.explode("_s").alias("s")).select("s.*"))
 
 
 def nric_protection(found: DataFrame) -> DataFrame:
