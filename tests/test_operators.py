@@ -230,6 +230,16 @@ def test_calls_are_dealt_to_more_tasks_as_there_are_more(spark, monkeypatch):
     assert sum(sizes) == 1500 and len(sizes) == 15 and max(sizes) < 110
 
 
+@pytest.mark.parametrize("name", ["pred_postal_ctx", "pred_unit_ctx", "pred_block_ctx", "split_disjoint"])
+def test_texts_are_made_after_calls_are_dealt(spark, name):
+    """No filter brings a copy of the text below the exchange that deals keys out."""
+    from veilspan.plans.catalogue import QUERIES
+
+    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 24))
+    dealt = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("Exchange RoundRobinPartitioning")[1:]
+    assert dealt and not any("Good morning" in part.split("FileScan")[0] for part in dealt)
+
+
 def odd_texts(n=400):
     """Pieces that patterns look for, joined in ways that bend them."""
     rng = random.Random(11)
