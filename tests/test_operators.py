@@ -319,3 +319,36 @@ def test_accounts_are_plain_substrings(spark):
     at = rows[0][1].find("1.1")
     labels = {x[2]: 1 for x in rows[0][3] if x[0] < at + 3 and at < x[1]}
     assert got.keys() == {r"\\E", "1.1", "aa"} and got["aa"] == (0, 2, 0, {}) and got["1.1"][:2] == (2, 2) and set(labels) <= set(got["1.1"][3])
+
+
+def test_outcomes_in_rows_are_those_of_tables(spark):
+    """Calls matched from their own rows: the same as from two tables, without a shuffle; null and empty sides, odd values."""
+    rng = random.Random(5)
+    texts, names = ["610045", "610", "Blk 5, x", "blk 5", "", None, ".,", "x", "X.", "x y"], [*vocab.CANON, "contact", "postal_code", "other", "OTHER", None]
+    rows = [(i, [(n, rng.choice(texts), rng.choice(names)) for n in range(rng.randint(0, 7))], [(n, rng.choice(texts), rng.choice(names)) for n in range(rng.randint(0, 7))]) for i in range(200)]
+    rows += [(200, None, [(0, "x", "EMAIL")]), (201, [(0, "x", "EMAIL")], None)]
+    df = spark.createDataFrame(rows, "doc_id long, p array<struct<i:int,text:string,label:string>>, g array<struct<j:int,text:string,label:string>>")
+    own = matching.outcomes_in_rows(df, "p", "g")
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
+    each = lambda c: df.select("doc_id", F.explode(c).alias("x")).select("doc_id", "x.*")
+    kept = lambda out: (out["pairs"], out["hits"], sorted(map(str, out["fp"])), sorted(map(str, out["fn"])))
+    want = {r["doc_id"]: kept(r["out"]) for r in matching.outcomes(each("p"), each("g")).collect()}
+    got = {r["doc_id"]: kept(r["out"]) for r in own.collect()}
+    assert len(got) == 202 and {k: v for k, v in got.items() if k in want} == want and all(v == ([], [], [], []) for k, v in got.items() if k not in want)
+    q = lambda a, b: matching.match_quality(F.lit(a), F.lit(b))
+    by = {r["doc_id"]: r["out"] for r in own.collect()}
+    quality = {(a, b): one(spark, q(a, b)) for a in texts if a is not None for b in texts if b is not None}
+    for i, p, g in rows[:200]:
+        found = {(m["i"], m["j"]): -m["k"] for m in by[i]["pairs"]}
+        groups = lambda x: {**{v[1]: v[4] for v in X.LABELS}, **{n: k for k, v in X.GROUP_SYNONYMS.items() for n in v}}.get(x.upper(), x.upper())
+        wanted = {(a[0], b[0]): quality[a[1], b[1]] for a in p for b in g if None not in (*a, *b) and groups(a[2]) == groups(b[2]) and quality[a[1], b[1]] > 0}
+        assert found == wanted
+
+
+@pytest.mark.parametrize("name", ["score_overall", "score_by_label", "gate", "nric_protection"])
+def test_scores_of_calls_shuffle_counts_only(spark, name):
+    """After calls are dealt, no exchange by call: what shuffles is counts by label, or counts."""
+    from veilspan.plans.catalogue import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" not in plan and plan.count("RoundRobinPartitioning") == 1

@@ -28,40 +28,66 @@ def _quality(p: Column, g: Column) -> Column:
 PAIR = "struct<k:double,i:int,j:int,pred_label:string,gold_label:string>"
 
 
-def outcomes(pred: DataFrame, gold: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row per call: key and out, a struct of arrays.
+ITEMS = "array<struct<n:int,t:string,label:string,g:string>>"
 
-    pairs: possible matches, pred (key, i, text, label) with gold (key, j, text, label) of the
-    same group and positive quality, best first, then in order of prediction and gold (k is
-    minus the quality). hits: those a greedy pass keeps. fp (i, label) and fn (j, label): what
-    no kept pair holds. Each side is grouped by call once, and a call is matched in one row, so
-    nothing shuffles again. A null key meets nothing.
+
+def _own(n: Column, text: Column, label: Column) -> Column:
+    return F.struct(n.cast("int").alias("n"), cleaned(text).alias("t"), label.alias("label"), match_group(label).alias("g"))
+
+
+def settled(preds: Column, golds: Column) -> Column:
+    """The out of outcomes, from both sides of a call as arrays of ITEMS.
+
+    One test leaves few pairs before qualities are worked out: columns inside array functions
+    are interpreted, so what is asked of all pairs is asked first and once.
     """
-    own = lambda n: F.struct(F.col(n).cast("int").alias("n"), cleaned(F.col("text")).alias("t"), "label", match_group(F.col("label")).alias("g"))
-    p = pred.groupBy(key).agg(F.collect_list(own("i")).alias("_p"))
-    g = gold.groupBy(key).agg(F.collect_list(own("j")).alias("_g"))
-    none = F.array().cast("array<struct<n:int,t:string,label:string,g:string>>")
-    both = p.join(g, key, "full").select(key, F.coalesce("_p", none).alias("_p"), F.coalesce("_g", none).alias("_g"))
 
     def met(x: Column, y: Column) -> Column:
-        return F.struct((-_quality(x["t"], y["t"])).alias("k"), x["n"].alias("i"), y["n"].alias("j"), x["label"].alias("pred_label"), y["label"].alias("gold_label"))
+        n, m = F.length(x["t"]), F.length(y["t"])
+        k = F.when(x["t"] == y["t"], -2.0).otherwise(-(F.least(n, m) / F.greatest(n, m)))
+        return F.struct(k.alias("k"), x["n"].alias("i"), y["n"].alias("j"), x["label"].alias("pred_label"), y["label"].alias("gold_label"))
 
     def of(x: Column) -> Column:
-        return F.filter(F.transform(F.filter("_g", lambda y: y["g"] == x["g"]), lambda y: met(x, y)), lambda m: m["k"] < 0)
+        near = F.filter(golds, lambda y: (y["g"] == x["g"]) & (y["t"].contains(x["t"]) | x["t"].contains(y["t"])) & (y["t"] != ""))
+        return F.transform(near, lambda y: met(x, y))
 
     def step(kept: Column, c: Column) -> Column:
         return F.when(F.exists(kept, lambda k: (k["i"] == c["i"]) | (k["j"] == c["j"])), kept).otherwise(F.array_append(kept, c))
 
-    def left(side: str, taken: Column, name: str) -> Column:
-        rest = F.filter(side, lambda x: ~F.exists(taken, lambda h: h[name] == x["n"]))
-        return F.transform(rest, lambda x: F.struct(x["n"].alias(name), x["label"].alias("label")))
+    def left(side: Column, taken: Column, name: str) -> Column:
+        none = F.filter(side, lambda x: ~F.coalesce(F.array_contains(taken, x["n"]), F.lit(False)))
+        return F.transform(none, lambda x: F.struct(x["n"].alias(name), x["label"].alias("label")))
 
-    def settled(pairs: Column) -> Column:
+    def told(pairs: Column) -> Column:
         hits = F.aggregate(pairs, F.array().cast(f"array<{PAIR}>"), step)
-        return let(hits, lambda h: F.struct(pairs.alias("pairs"), h.alias("hits"), left("_p", h, "i").alias("fp"), left("_g", h, "j").alias("fn")))
+        rest = lambda h: F.struct(pairs.alias("pairs"), h.alias("hits"), let(h["i"], lambda t: left(preds, t, "i")).alias("fp"), let(h["j"], lambda t: left(golds, t, "j")).alias("fn"))
+        return let(hits, rest)
 
-    pairs = F.array_sort(F.flatten(F.transform("_p", of))).cast(f"array<{PAIR}>")
-    return both.select(key, let(pairs, settled).alias("out"))
+    pairs = F.flatten(F.transform(F.filter(preds, lambda x: x["t"] != ""), of)).cast(f"array<{PAIR}>")
+    return let(F.sort_array(pairs), told)
+
+
+def outcomes(pred: DataFrame, gold: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row per call: key and out, a struct of arrays.
+
+    pairs: possible matches, pred (key, i, text, label) with gold (key, j, text, label) of the
+    same group and positive quality, best first, then in order of prediction and gold (k is
+    minus the quality). hits: those a greedy pass keeps. fp (i, label) and fn (j, label): what
+    no kept pair holds. Each side is grouped by call once, and a call is matched in one row, so
+    nothing shuffles again. A null key meets nothing.
+    """
+    listed = lambda df, n, name: df.groupBy(key).agg(F.collect_list(_own(F.col(n), F.col("text"), F.col("label"))).alias(name))
+    none = F.array().cast(ITEMS)
+    both = listed(pred, "i", "_p").join(listed(gold, "j", "_g"), key, "full").select(key, F.coalesce("_p", none).alias("_p"), F.coalesce("_g", none).alias("_g"))
+    return both.select(key, settled(F.col("_p"), F.col("_g")).alias("out"))
+
+
+def outcomes_in_rows(calls: DataFrame, pred_col: str, gold_col: str, key: str = "doc_id") -> DataFrame:
+    """The same of calls that have both sides in their row, as arrays of pred (i, text, label) and
+    gold (j, text, label): one row per call, and nothing shuffles. Null arrays count as empty."""
+    items = lambda c, n: F.coalesce(F.transform(c, lambda x: _own(x[n], x["text"], x["label"])), F.array().cast(ITEMS))
+    both = lambda p: let(items(gold_col, "j"), lambda g: settled(p, g))
+    return calls.select(key, let(items(pred_col, "i"), both).alias("out"))
 
 
 def _listed(found: DataFrame, what: str, key: str) -> DataFrame:

@@ -38,10 +38,6 @@ def canon_of_rule(entity: Column) -> Column:
 
 def match_group(label: Column) -> Column:
     """The group within which two labels match; a label outside all groups is its own."""
-    up = F.upper(label)
-    out = up
-    for _, canon, _, _, group, _ in fixed.LABELS:
-        out = F.when(up == canon, group).otherwise(out)
-    for group, names in fixed.GROUP_SYNONYMS.items():
-        out = F.when(up.isin(names), group).otherwise(out)
-    return out
+    groups = {x[1]: x[4] for x in fixed.LABELS} | {name: group for group, names in fixed.GROUP_SYNONYMS.items() for name in names}
+    known = F.create_map(*(F.lit(x) for kv in groups.items() for x in kv))
+    return F.coalesce(known[F.upper(label)], F.upper(label))
