@@ -352,3 +352,18 @@ def test_scores_of_calls_shuffle_counts_only(spark, name):
 
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(doc_id" not in plan and plan.count("RoundRobinPartitioning") == 1
+
+
+def test_label_report_of_odd_records(spark, monkeypatch):
+    """Null and repeated keys, null and empty entities, unknown labels; tasks as there are records."""
+    monkeypatch.setattr(corpus, "RECORDS_PER_TASK", 2)
+    rows = [(1, {"full_name": ["a", "a", None], "odd": ["x"]}), (1, {"full_name": ["b"], "sg_address": []}), (2, {"full_name": ["a"], "email_address": None}), (None, {"full_name": ["c"], "sg_address": ["d"]}), (None, {"full_name": ["c"]}), (3, None)]
+    df = spark.createDataFrame(rows * 4, "doc_id long, entities map<string,array<string>>")
+    report = corpus.label_report(df)
+    assert "hashpartitioning(_key#" in (plan := report._jdf.queryExecution().executedPlan().toString()) and ", 12), REPARTITION_BY_NUM" in plan
+    got = {r["label"]: (r["mentions"], r["files"]) for r in report.collect()}
+    assert got.keys() == set(corpus.MODEL_LABELS) and {k: v for k, v in got.items() if v != (0, 0)} == {"full_name": (28, 2), "sg_address": (4, 0)}
+    old = corpus.mentions(df).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("f")).collect()
+    assert {r["label"]: (r["n"], r["f"]) for r in old if r["label"] != "odd"} == {k: v for k, v in got.items() if v != (0, 0)}
+    assert [tuple(r) for r in corpus.label_report(df.limit(0), labels=["full_name"]).collect()] == [("full_name", 0, 0)]
+    assert sorted(r["label"] for r in corpus.missing_labels(df).collect()) == sorted(set(corpus.MODEL_LABELS) - {"full_name", "sg_address"})

@@ -18,11 +18,25 @@ def mentions(records: DataFrame, key: str = "doc_id", entities_col: str = "entit
     return by_label.select(key, F.col("e.key").alias("label"), F.posexplode("e.value").alias("n", "text"))
 
 
+#: Keys of records that one task of label_report holds.
+RECORDS_PER_TASK = 50_000
+
+
 def label_report(records: DataFrame, key: str = "doc_id", entities_col: str = "entities", labels: list[str] = MODEL_LABELS) -> DataFrame:
-    """label, mentions, files for every label in the list; missing ones count nothing."""
-    own = mentions(records, key, entities_col).groupBy("label").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct(key).alias("files"))
-    dim = records.sparkSession.createDataFrame([(x,) for x in labels], "label string")
-    return F.broadcast(dim).join(own, "label", "left").na.fill(0)
+    """label, mentions, files for every label in the list; missing ones count nothing.
+
+    Files are distinct keys, so records of one key meet: one row a record, in as many tasks as
+    there are records to hold, so that none holds more as there are more. Records are counted
+    first, by their keys alone. Those without a key are no file; they are spread out.
+    """
+    tasks = max(records.sparkSession.sparkContext.defaultParallelism, -(-records.count() // RECORDS_PER_TASK))
+    sizes = [F.nullif(F.array_size(F.col(entities_col)[x]), F.lit(0)).alias(f"_{i}") for i, x in enumerate(labels)]
+    apart = F.when(F.col(key).isNull(), F.monotonically_increasing_id() % tasks).alias("_apart")
+    met = records.select(F.col(key).alias("_key"), apart, *sizes).repartition(tasks, "_key", "_apart").groupBy("_key", "_apart")
+    own = met.agg(*(F.sum(f"_{i}").alias(f"_{i}") for i in range(len(labels))))
+    file = lambda i: F.col("_key").isNotNull() & F.col(f"_{i}").isNotNull()
+    sums = [F.struct(F.lit(x).alias("label"), F.coalesce(F.sum(f"_{i}"), F.lit(0)).alias("mentions"), F.count_if(file(i)).alias("files")) for i, x in enumerate(labels)]
+    return own.agg(F.array(*sums).alias("_s")).select(F.inline("_s"))
 
 
 def missing_labels(records: DataFrame, key: str = "doc_id", entities_col: str = "entities", labels: list[str] = MODEL_LABELS) -> DataFrame:
