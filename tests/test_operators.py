@@ -354,6 +354,75 @@ def test_scores_of_calls_shuffle_counts_only(spark, name):
     assert "hashpartitioning(doc_id" not in plan and plan.count("RoundRobinPartitioning") == 1
 
 
+def odd_sides(n=300):
+    """Calls of predictions and gold: null, empty, equal, nested and bent texts, null and repeated numbers, null items and sides."""
+    rng = random.Random(17)
+    texts = ["610045", "610", "1", "Blk 5, x", "blk 5", "", None, ".,", "x", "X.", "x y", "\u00e9tage 5", "\u00c9TAGE", "\u0391\u03a3", "\u03b1\u03c2", "\u0130", "a\u2003b", "\u2003", "a  b", "\U0001f600 5", "\ua7cb", "\u0264"]
+    names = [*vocab.CANON, "contact", "Postal_Code", "other", "OTHER", "", "\u00df", "SS", None]
+    item = lambda k: None if rng.random() < 0.03 else (rng.choice([k, k, k, k, 0, None, -1 << 31, (1 << 31) - 1]), rng.choice(texts), rng.choice(names[rng.choice([0, 6]) :]))
+    side = lambda: None if rng.random() < 0.05 else [item(k) for k in range(rng.choice([0, 1, 3, 9, 30]))]
+    same = [(k, "aaaaaaaaaaaa"[: 1 + k % 12], "OTHER") for k in range(40)]
+    return [*((i, side(), side()) for i in range(n)), (n, same, same[::-1]), (n + 1, None, None)]
+
+
+ODD_SIDES = "doc_id long, p array<struct<i:int,text:string,label:string>>, g array<struct<j:int,text:string,label:string>>"
+
+
+def test_calls_matched_in_workers_are_those_of_columns(spark):
+    """A batch of calls in workers against the columns of one call, which sorts and folds as they stand."""
+    df = spark.createDataFrame(odd_sides(), ODD_SIDES).repartition(2)
+    items = lambda c, n: F.coalesce(F.transform(c, lambda x: matching._own(x[n], x["text"], x["label"])), F.array().cast(matching.ITEMS))
+    want = {r["doc_id"]: r["out"] for r in df.select("doc_id", T.let(items("p", "i"), lambda p: T.let(items("g", "j"), lambda g: matching.settled(p, g))).alias("out")).collect()}
+    own = {r["doc_id"]: r["out"] for r in matching.outcomes_in_rows(df, "p", "g").collect()}
+    assert own == want and sum(len(r["hits"]) for r in want.values()) > 100
+    found = matching.label_counts(spark.createDataFrame([(k, v) for k, v in want.items()], matching.outcomes_in_rows(df, "p", "g").schema))
+    wide = df.withColumn("p", F.transform("p", lambda x: F.struct(F.lit("more").alias("more"), x["label"].alias("label"), x["text"].alias("text"), x["i"].cast("long").alias("i"))))
+    for calls in (df, wide):
+        assert sorted(map(str, matching.label_counts_in_rows(calls, "p", "g").collect())) == sorted(map(str, found.collect()))
+    assert matching.label_counts_in_rows(df.limit(0), "p", "g").collect() == []
+
+
+def test_batches_are_settled_in_parts_as_whole(monkeypatch):
+    """Few pairs at once and no round over the whole batch: the same pairs, the same kept."""
+    import pyarrow as pa
+
+    from veilspan.operators import matchwise
+
+    kind = lambda n: pa.list_(pa.struct([(n, pa.int32()), ("text", pa.string()), ("label", pa.string())]))
+    listed = lambda side, n: pa.array([None if x is None else [y and dict(zip((n, "text", "label"), y)) for y in x] for x in side], kind(n))
+    rows = odd_sides()
+    p, g = listed([r[1] for r in rows], "i"), listed([r[2] for r in rows], "j")
+    want, counts = matchwise.told(matchwise.settle(p, g), len(p)), matchwise.counted(matchwise.settle(p, g))
+    for pairs, rounds in ((1, 0), (7, 1), (1 << 20, 0)):
+        monkeypatch.setattr(matchwise, "PAIRS_AT_ONCE", pairs)
+        monkeypatch.setattr(matchwise, "ROUNDS", rounds)
+        assert matchwise.told(matchwise.settle(p, g), len(p)) == want and matchwise.counted(matchwise.settle(p, g)) == counts
+
+
+def test_cleaning_in_workers_is_that_of_columns(spark):
+    """Every code point between letters, ends of words, and bytes that are no text."""
+    from veilspan.operators import matchwise
+
+    texts = [f"A{chr(c)}B" for c in range(0x110000) if not 0xD800 <= c < 0xE000] + ["\u0391\u03a3", "\u0391\u03a3 \u0392", " - ", ""]
+    bytes_ = spark.createDataFrame([(b"a\xffB",), (b"\xe2\x82 x",)], "b binary").select(F.expr("cast(b AS string)").alias("t"))
+    df = spark.createDataFrame([(" ".join(texts[k : k + 997]),) for k in range(0, len(texts), 997)], "t string").unionByName(bytes_)
+    got = df.select(F.col("t").cast("binary").alias("t"), matching.cleaned(F.col("t")).alias("c"), F.upper("t").alias("u")).collect()
+    import pyarrow as pa
+
+    own = matchwise.cleaned(pa.array([bytes(r["t"]) for r in got], pa.binary()).view(pa.string())).to_pylist()
+    assert own == [r["c"] for r in got]
+    assert all(matchwise.match_group(bytes(r["t"]).decode()) == r["u"] for r in got[:-2])
+
+
+@pytest.mark.parametrize("name", ["score_overall", "score_by_label", "gate", "nric_protection"])
+def test_scores_of_calls_are_matched_in_batches(spark, name):
+    """No fold of columns over pairs, which Spark interprets call by call."""
+    from veilspan.plans.catalogue import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert ("ArrowEvalPython" if name == "nric_protection" else "MapInArrow") in plan and "aggregate(" not in plan
+
+
 def test_label_report_of_odd_records(spark, monkeypatch):
     """Null and repeated keys, null and empty entities, unknown labels; tasks as there are records."""
     monkeypatch.setattr(corpus, "RECORDS_PER_TASK", 2)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions.text import let
+from . import matchwise
 from .vocab import BASE, CANON, match_group
 
 
@@ -36,7 +37,8 @@ def _own(n: Column, text: Column, label: Column) -> Column:
 
 
 def settled(preds: Column, golds: Column) -> Column:
-    """The out of outcomes, from both sides of a call as arrays of ITEMS.
+    """The out of outcomes, from both sides of a call as arrays of ITEMS: the plain statement of what
+    matchwise does in workers, against which tests hold it.
 
     One test leaves few pairs before qualities are worked out: columns inside array functions
     are interpreted, so what is asked of all pairs is asked first and once.
@@ -76,18 +78,34 @@ def outcomes(pred: DataFrame, gold: DataFrame, key: str = "doc_id") -> DataFrame
     no kept pair holds. Each side is grouped by call once, and a call is matched in one row, so
     nothing shuffles again. A null key meets nothing.
     """
-    listed = lambda df, n, name: df.groupBy(key).agg(F.collect_list(_own(F.col(n), F.col("text"), F.col("label"))).alias(name))
-    none = F.array().cast(ITEMS)
-    both = listed(pred, "i", "_p").join(listed(gold, "j", "_g"), key, "full").select(key, F.coalesce("_p", none).alias("_p"), F.coalesce("_g", none).alias("_g"))
-    return both.select(key, settled(F.col("_p"), F.col("_g")).alias("out"))
+    own = lambda n: F.struct(F.col(n).cast("int").alias(n), F.col("text").cast("string").alias("text"), F.col("label").cast("string").alias("label"))
+    listed = lambda df, n, name: df.groupBy(key).agg(F.collect_list(own(n)).alias(name))
+    both = listed(pred, "i", "_p").join(listed(gold, "j", "_g"), key, "full")
+    return both.select(key, matchwise.settled_column(pred.sparkSession, F.col("_p"), F.col("_g")).alias("out"))
 
 
 def outcomes_in_rows(calls: DataFrame, pred_col: str, gold_col: str, key: str = "doc_id") -> DataFrame:
     """The same of calls that have both sides in their row, as arrays of pred (i, text, label) and
     gold (j, text, label): one row per call, and nothing shuffles. Null arrays count as empty."""
-    items = lambda c, n: F.coalesce(F.transform(c, lambda x: _own(x[n], x["text"], x["label"])), F.array().cast(ITEMS))
-    both = lambda p: let(items(gold_col, "j"), lambda g: settled(p, g))
-    return calls.select(key, let(items(pred_col, "i"), both).alias("out"))
+    return calls.select(key, matchwise.settled_column(calls.sparkSession, *_sides(calls, pred_col, gold_col)).alias("out"))
+
+
+def _sides(calls: DataFrame, pred_col: str, gold_col: str) -> list[Column]:
+    """Both sides with the fields that workers read; arrays that have just these go as they are."""
+
+    def items(c: str, n: str) -> Column:
+        fields = f"array<struct<{n}:int,text:string,label:string>>"
+        if calls.select(c).schema[0].dataType.simpleString() == fields:
+            return F.col(c)
+        return F.transform(c, lambda x: F.struct(x[n].cast("int").alias(n), x["text"].cast("string").alias("text"), x["label"].cast("string").alias("label")))
+
+    return [items(pred_col, "i"), items(gold_col, "j")]
+
+
+def label_counts_in_rows(calls: DataFrame, pred_col: str, gold_col: str) -> DataFrame:
+    """label_counts of such calls: each batch of calls is counted where it is matched."""
+    counts = matchwise.counts(calls, *_sides(calls, pred_col, gold_col))
+    return counts.groupBy("label").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
 
 
 def _listed(found: DataFrame, what: str, key: str) -> DataFrame:
