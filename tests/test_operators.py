@@ -414,6 +414,14 @@ def test_cleaning_in_workers_is_that_of_columns(spark):
     assert all(matchwise.match_group(bytes(r["t"]).decode()) == r["u"] for r in got[:-2])
 
 
+def test_labels_that_are_no_text_are_counted(spark):
+    """Bytes that are no UTF-8 stay as they are in labels and match their own kind."""
+    item = lambda n: f"array(named_struct('{n}', 0, 'text', 'x', 'label', cast(b AS string)))"
+    df = spark.createDataFrame([(b"a\xff",), (b"a\xff",), (b"b",)], "b binary").selectExpr(f"{item('i')} AS p", f"{item('j')} AS g")
+    got = matching.label_counts_in_rows(df, "p", "g").select(F.col("label").cast("binary").alias("b"), "tp", "fp", "fn").collect()
+    assert sorted((bytes(r["b"]), r["tp"], r["fp"], r["fn"]) for r in got) == [(b"a\xff", 2, 0, 0), (b"b", 1, 0, 0)]
+
+
 @pytest.mark.parametrize("name", ["score_overall", "score_by_label", "gate", "nric_protection"])
 def test_scores_of_calls_are_matched_in_batches(spark, name):
     """No fold of columns over pairs, which Spark interprets call by call."""

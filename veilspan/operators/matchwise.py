@@ -83,12 +83,12 @@ class Texts:
 
 @dataclass
 class Settled:
-    """Of a batch: both sides, the names of labels, and possible pairs by their items' places, best
+    """Of a batch: both sides, the distinct labels, and possible pairs by their items' places, best
     first within a call, with minus the quality and whether they are kept."""
 
     preds: Side
     golds: Side
-    names: list[str]
+    labels: pa.Array
     k: np.ndarray
     pi: np.ndarray
     gi: np.ndarray
@@ -122,12 +122,12 @@ def _texts(values: pa.Array) -> tuple[np.ndarray, Texts]:
     return np.append(own, -1)[raw], Texts(data, end - size, end, np.asarray(pc.utf8_length(texts), np.int64), bits)
 
 
-def _sides(pred_lists: pa.Array, gold_lists: pa.Array) -> tuple[Side, Side, Texts, list[str]]:
+def _sides(pred_lists: pa.Array, gold_lists: pa.Array) -> tuple[Side, Side, Texts, pa.Array]:
     lists = (pred_lists, gold_lists)
     items = [x.flatten() for x in lists]
     field = lambda name: pa.concat_arrays([pc.struct_field(x, name) for x in items])
     text, texts = _texts(field("text"))
-    label, names = _encoded(field("label"))
+    label, labels = _encoded(field("label"))
     at, out = 0, []
     for x, own, n in zip(lists, items, ("i", "j")):
         call = np.repeat(np.arange(len(x)), np.asarray(pc.fill_null(pc.list_value_length(x), 0), np.int64))
@@ -139,7 +139,7 @@ def _sides(pred_lists: pa.Array, gold_lists: pa.Array) -> tuple[Side, Side, Text
             key = np.arange(len(own))
         out.append(Side(call, number, text[at:end], label[at:end], key))
         at = end
-    return out[0], out[1], texts, names.to_pylist()
+    return out[0], out[1], texts, labels
 
 
 def _pairs(preds: Side, golds: Side, texts: Texts, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,9 +200,9 @@ def _greedy(i: np.ndarray, j: np.ndarray, free_i: np.ndarray, free_j: np.ndarray
 
 def settle(pred_lists: pa.Array, gold_lists: pa.Array) -> Settled:
     """Predictions (i, text, label) and gold (j, text, label) of a batch of calls."""
-    preds, golds, texts, names = _sides(pred_lists, gold_lists)
-    own: dict[str, int] = {}
-    groups = np.array([*(own.setdefault(match_group(x), len(own)) for x in names), -1], np.int64)
+    preds, golds, texts, labels = _sides(pred_lists, gold_lists)
+    names, own = pc.cast(labels, pa.binary()).to_pylist(), {}
+    groups = np.array([*(own.setdefault(match_group(x.decode("utf-8", "replace")), len(own)) for x in names), -1], np.int64)
     rank = np.zeros(len(names) + 1, np.int64)
     rank[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
     pi, gi = _pairs(preds, golds, texts, groups)
@@ -211,15 +211,15 @@ def settle(pred_lists: pa.Array, gold_lists: pa.Array) -> Settled:
     order = np.lexsort((rank[golds.label[gi]], rank[preds.label[pi]], golds.n[gi], preds.n[pi], k, preds.call[pi]))
     pi, gi, k = pi[order], gi[order], k[order]
     kept = _greedy(preds.key[pi], golds.key[gi], preds.n[pi] == _NONE, golds.n[gi] == _NONE)
-    return Settled(preds, golds, names, k, pi, gi, kept)
+    return Settled(preds, golds, labels, k, pi, gi, kept)
 
 
 def counted(s: Settled) -> pa.RecordBatch:
     """label, tp, fp, fn of a batch: hits and misses by gold label, false alarms by predicted label."""
-    count = lambda label: np.bincount(label + 1, minlength=len(s.names) + 1)
+    count = lambda label: np.bincount(label + 1, minlength=len(s.labels) + 1)
     counts = [count(s.golds.label[s.gi[s.kept]]), count(s.preds.label[s.fp()]), count(s.golds.label[s.fn()])]
     there = np.flatnonzero(np.sum(counts, axis=0))
-    label = pa.array([(None, *s.names)[x] for x in there], pa.string())
+    label = s.labels.take(pa.array(there - 1, mask=there == 0))
     return pa.RecordBatch.from_arrays([label, *(pa.array(c[there], pa.int64()) for c in counts)], ["label", "tp", "fp", "fn"])
 
 
@@ -231,9 +231,8 @@ def _listed(size: int, call: np.ndarray, columns: dict[str, pa.Array]) -> pa.Arr
 
 def told(s: Settled, size: int) -> pa.Array:
     """The out of matching.outcomes, of a batch of so many calls."""
-    names = pa.array(s.names, pa.string())
     number = lambda x: pa.array(np.where(x == _NONE, 0, x).astype(np.int32), mask=x == _NONE)
-    label = lambda x: names.take(pa.array(x, mask=x < 0))
+    label = lambda x: s.labels.take(pa.array(x, mask=x < 0))
     out = {}
     for name, at in (("pairs", slice(None)), ("hits", s.kept)):
         pi, gi = s.pi[at], s.gi[at]
